@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.normal import upper_tail
 from factsieve.functions.rounding import ratio
-from factsieve.operators.order_statistics import cell, counted_before, rung
+from factsieve.operators.order_statistics import RUNG, before, cell, measured
 
 RANK_CELLS = 64
 
@@ -22,20 +22,17 @@ def ranked_values(df: DataFrame, value: str, group: str, a: str, b: str) -> Data
     give each cell its offset; inside a cell a running sum orders the values. No task sees
     more than one cell, and no global sort takes place.
     """
-    x = F.col(value).cast("double")
-    samples = df.select(x.alias("_v"), (F.col(group) == a).alias("_is_a"), F.col(group).alias("_g"))
-    samples = samples.filter(F.col("_g").isin(a, b) & F.col("_v").isNotNull() & ~F.isnan("_v"))
-    values = samples.groupBy("_v").agg(F.count("*").alias("_n"), F.count_if("_is_a").alias("_n_a"))
-    placed = values.withColumn("_rung", rung(F.col("_v")))
-    spans = placed.groupBy("_rung").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    placed = placed.join(spans, "_rung").withColumn(
-        "_cell", cell(F.col("_v"), F.col("_low"), F.col("_high"), RANK_CELLS)
+    samples = measured(df.filter(F.col(group).isin(a, b)), value, [group]).withColumnRenamed(group, "_group")
+    values = samples.groupBy("_v").agg(
+        F.expr("count(*) AS _n"), F.count_if(F.col("_group") == a).alias("_n_a")
     )
-    cells = placed.groupBy("_rung", "_cell").agg(F.sum("_n").alias("_in_cell"))
-    cells = cells.withColumn("_start", counted_before([], ["_rung", "_cell"], "_in_cell"))
+    placed = values.selectExpr("*", RUNG)
+    spans = placed.groupBy("_rung").agg(F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"))
+    placed = placed.join(spans, "_rung").selectExpr("_v", "_n", "_n_a", "_rung", cell(RANK_CELLS))
+    cells = placed.groupBy("_rung", "_cell").agg(F.expr("sum(_n) AS _in_cell"))
+    cells = cells.selectExpr("_rung", "_cell", f"{before([], '_rung, _cell', '_in_cell')} AS _start")
     located = placed.join(cells, ["_rung", "_cell"])
-    before = F.col("_start") + counted_before(["_rung", "_cell"], ["_v"], "_n")
-    return located.select("_v", "_n", "_n_a", before.alias("_before"))
+    return located.selectExpr("_v", "_n", "_n_a", f"_start + {before(['_rung', '_cell'], '_v')} AS _before")
 
 
 def mann_whitney(
@@ -49,18 +46,17 @@ def mann_whitney(
     as twice their value in decimals, so they stay exact beyond 2^53.
     """
     ranked = ranked_values(df, value, group, a, b)
-    wide = "decimal(20,0)"
-    n, n_a, before = F.col("_n").cast(wide), F.col("_n_a"), F.col("_before").cast(wide)
-    ties = F.col("_n").cast("double")
+    ranks = "CAST(_n_a AS DECIMAL(20,0)) * (CAST(_before AS DECIMAL(20,0)) * 2 + _n + 1)"
+    ties = "CAST(_n AS DOUBLE)"
     sums = ranked.agg(
-        F.coalesce(F.sum("_n_a"), F.lit(0)).alias("n_a"),
-        F.coalesce(F.sum("_n") - F.sum("_n_a"), F.lit(0)).alias("n_b"),
-        F.sum((n_a.cast(wide) * (before * 2 + n + 1).cast(wide)).cast("decimal(38,0)")).alias("_twice_ranks"),
-        F.sum(ties * ties * ties - ties).alias("_ties"),
+        F.expr("coalesce(sum(_n_a), 0L) AS n_a"),
+        F.expr("coalesce(sum(_n) - sum(_n_a), 0L) AS n_b"),
+        F.expr(f"sum(CAST({ranks} AS DECIMAL(38,0))) AS _twice_ranks"),
+        F.expr(f"sum({ties} * {ties} * {ties} - {ties}) AS _ties"),
     )
     a_n, b_n = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    lowest = F.col("n_a").cast(wide) * (F.col("n_a") + 1).cast(wide)
-    scored = sums.withColumn("u", ((F.col("_twice_ranks") - lowest) / 2).cast("double"))
+    lowest = "CAST(n_a AS DECIMAL(19,0)) * CAST(n_a + 1 AS DECIMAL(19,0))"
+    scored = sums.withColumn("u", F.expr(f"CAST(_twice_ranks - {lowest} AS DOUBLE) / 2D"))
     other = a_n * b_n - F.col("u")
     side = {"greater": F.col("u"), "less": other, "two-sided": F.greatest(F.col("u"), other)}[alternative]
     total = a_n + b_n

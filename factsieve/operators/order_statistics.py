@@ -1,136 +1,153 @@
-"""Exact percentiles without a global sort and without gathering a group in one task.
-
-Values are placed on a ladder: a coarse rung (logarithm of the size, so any scale of data
-spreads over it) and, inside a rung, a fine cell (linear between the rung's own smallest
-and largest value). Both maps never reverse the order of two values, so counts per rung
-and per cell locate the wanted ranks exactly, whatever the distribution. Only values in
-the cells that hold a wanted rank are ever sorted. Rungs and cells are bounded in number,
-and every count is pre-aggregated before its shuffle, so repeated values cost nothing.
+"""Exact percentiles: built-in for small inputs, a value ladder for large ones.
+
+The built-in exact percentile keeps a count per distinct value and ends in one task per
+group. That is the fastest way while the input is small, which is checked against the size
+of the files under the plan. Beyond that limit the ladder takes over.
+
+On the ladder, values lie on a coarse rung (logarithm of the size, so any scale of data
+spreads over it) and, inside a rung, in a fine cell (linear between the rung's own smallest
+and largest value). Both maps never reverse the order of two values, so counts per rung and
+per cell locate the wanted ranks exactly, whatever the distribution. Only the values of
+cells that hold a wanted rank are ever sorted. Rungs and cells are bounded in number, and
+every count is pre-aggregated before its shuffle, so repeated values cost nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.operators.attach import known_keys
+from factsieve.sources.sizes import is_small
 
 RUNGS_PER_UNIT = 512
 CELLS_PER_RUNG = 1024
 
+# Coarse position of _v: never decreasing in the value; negative values lie below zero.
+_SIZE = f"floor(least(log1p(abs(_v)) * {RUNGS_PER_UNIT}D, 1e15D))"
+RUNG = f"CASE WHEN _v < 0 THEN -{_SIZE} - 1 ELSE {_SIZE} END AS _rung"
 
-def rung(value: Column) -> Column:
-    """Coarse position: never decreasing in ``value``; negative values lie below zero."""
-    size = F.floor(F.least(F.log1p(F.abs(value)) * F.lit(float(RUNGS_PER_UNIT)), F.lit(1e15)))
-    return F.when(value < 0, -size - 1).otherwise(size)
 
+def cell(cells: int) -> str:
+    """Fine position of _v between the smallest (_low) and largest (_high) value of its rung."""
+    return f"CASE WHEN _high > _low THEN floor((_v - _low) / (_high - _low) * {cells}D) ELSE 0L END AS _cell"
 
-def cell(value: Column, low: Column, high: Column, cells: int = CELLS_PER_RUNG) -> Column:
-    """Fine position between the smallest and largest value of a rung."""
-    share = (value - low) / (high - low)
-    return F.when(high > low, F.floor(share * F.lit(float(cells)))).otherwise(F.lit(0).cast("bigint"))
 
+def before(keys: list[str], order: str, count: str = "_n") -> str:
+    """Running total of a count over the rows ahead of this one."""
+    within = f"PARTITION BY {', '.join(quoted(keys))} " if keys else ""
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"coalesce(sum({count}) OVER ({within}ORDER BY {order} {frame}), 0L)"
 
-def counted_before(keys: list[str], order: list[str], count: str) -> Column:
-    """Running total of ``count`` over the rows ahead of this one."""
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(count).over(ahead), F.lit(0))
+
+def quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
 def measured(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Group keys and the value as double ``_v``, without missing ones."""
     rows = known_keys(df, by).select(*by, F.col(value).cast("double").alias("_v"))
-    return rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-
-def _wanted(probs: dict[str, float], kind: str, total: Column) -> dict[str, Column]:
-    """1-based ranks each percentile needs, by a name of their own."""
-    ranks: dict[str, Column] = {}
-    for name, p in probs.items():
-        if kind == "discrete":
-            ranks[f"{name}_at"] = F.greatest(F.ceil(F.lit(float(p)) * total), F.lit(1))
-        else:
-            place = (total - 1) * F.lit(float(p))
-            ranks[f"{name}_at"] = F.floor(place) + 1
-            ranks[f"{name}_next"] = F.ceil(place) + 1
-    return ranks
-
-
-def _any_inside(ranks: dict[str, Column], before: Column, count: Column) -> Column:
-    hit = F.lit(False)
-    for rank in ranks.values():
-        hit = hit | ((rank > before) & (rank <= before + count))
-    return hit
+    return rows.filter("_v IS NOT NULL AND NOT isnan(_v)")
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, kind: str = "interpolated"
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    by: list[str] | None = None,
+    kind: str = "interpolated",
+    small_input: int | None = None,
 ) -> DataFrame:
     """Exact percentiles of one column, one output column per entry of ``probs``.
 
     ``kind='discrete'`` returns the first value whose rank reaches ``p * n`` (SQL
     ``percentile_disc``); ``'interpolated'`` returns the linear blend of the two values
     around ``p * (n - 1)``. NULL and NaN values, and NULL group keys, are left out.
+    ``small_input`` overrides the size in bytes up to which the built-in is used.
     """
     by = list(by or [])
-    total = F.col("_total")
-    ranks = _wanted(probs, kind, total)
-    placed = measured(df, value, by).withColumn("_rung", rung(F.col("_v")))
+    if is_small(df, small_input):
+        return measured(df, value, by).groupBy(*by).agg(*[_built_in("_v", p, kind, n) for n, p in probs.items()])
+    return _on_ladder(measured(df, value, by), probs, by, kind)
 
-    rungs = placed.groupBy(*by, "_rung").agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    )
-    rungs = rungs.withColumn("_before", counted_before(by, ["_rung"], "_n")).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*by))
-    )
-    rungs = rungs.filter(_any_inside(ranks, F.col("_before"), F.col("_n"))).drop("_n")
 
-    inside = placed.join(rungs, [*by, "_rung"]).withColumn("_cell", cell(F.col("_v"), F.col("_low"), F.col("_high")))
-    place = [*by, "_rung", "_cell", "_before", "_total"]
-    values = inside.groupBy(*place, "_v").agg(F.count("*").alias("_n"))
+def _built_in(column: str, p: float, kind: str, name: str) -> Column:
+    function = "percentile_disc" if kind == "discrete" else "percentile_cont"
+    return F.expr(f"CAST({function}({float(p)!r}D) WITHIN GROUP (ORDER BY {column}) AS DOUBLE)").alias(name)
 
-    cells = values.groupBy(*place).agg(F.sum("_n").alias("_n"))
-    cells = cells.withColumn("_start", F.col("_before") + counted_before([*by, "_rung"], ["_cell"], "_n"))
-    cells = cells.filter(_any_inside(ranks, F.col("_start"), F.col("_n"))).select(*by, "_rung", "_cell", "_start")
 
-    sorted_cells = values.join(cells, [*by, "_rung", "_cell"])
-    first = F.col("_start") + counted_before([*by, "_rung", "_cell"], ["_v"], "_n")
-    sorted_cells = sorted_cells.withColumn("_first", first)
+def _ranks(probs: dict[str, float], kind: str) -> dict[str, str]:
+    """1-based ranks each percentile needs, by a name of their own."""
+    ranks: dict[str, str] = {}
+    for name, p in probs.items():
+        if kind == "discrete":
+            ranks[f"{name}_at"] = f"greatest(ceil({float(p)!r}D * _total), 1L)"
+        else:
+            ranks[f"{name}_at"] = f"floor((_total - 1) * {float(p)!r}D) + 1"
+            ranks[f"{name}_next"] = f"ceil((_total - 1) * {float(p)!r}D) + 1"
+    return ranks
+
 
+def _on_ladder(values: DataFrame, probs: dict[str, float], by: list[str], kind: str) -> DataFrame:
+    ranks = _ranks(probs, kind)
+    keys = quoted(by)
+    holds = " OR ".join(f"({rank} > _start AND {rank} <= _start + _n)" for rank in ranks.values())
+    placed = values.selectExpr(*keys, "_v", RUNG)
+
+    rungs = placed.groupBy(*by, "_rung").agg(F.expr("count(*) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"))
+    whole = f"sum(_n) OVER ({'PARTITION BY ' + ', '.join(keys) if keys else ''})"
+    rungs = rungs.selectExpr("*", f"{before(by, '_rung')} AS _start", f"{whole} AS _total")
+    rungs = rungs.filter(holds).drop("_n")
+
+    inside = placed.join(rungs, [*by, "_rung"]).selectExpr("*", cell(CELLS_PER_RUNG))
+    counts = inside.groupBy(*by, "_rung", "_cell", "_start", "_total", "_v").agg(F.expr("count(*) AS _n"))
+
+    cells = counts.groupBy(*by, "_rung", "_cell", "_start", "_total").agg(F.expr("sum(_n) AS _n"))
+    offset = f"_start + {before([*by, '_rung'], '_cell')} AS _start"
+    cells = cells.selectExpr(*keys, "_rung", "_cell", "_n", "_total", offset).filter(holds).drop("_n", "_total")
+
+    sorted_cells = counts.drop("_start").join(cells, [*by, "_rung", "_cell"])
+    first = f"_start + {before([*by, '_rung', '_cell'], '_v')} AS _start"
+    ordered = sorted_cells.selectExpr(*keys, "_v", "_n", "_total", first)
     picked = [
-        F.max(F.when((rank > F.col("_first")) & (rank <= F.col("_first") + F.col("_n")), F.col("_v"))).alias(name)
+        F.expr(f"max(CASE WHEN {rank} > _start AND {rank} <= _start + _n THEN _v END) AS `{name}`")
         for name, rank in ranks.items()
     ]
-    found = sorted_cells.groupBy(*by).agg(*picked, F.max("_total").alias("_total"))
-    return found.select(*by, *[_blend(name, p, kind).alias(name) for name, p in probs.items()])
+    found = ordered.groupBy(*by).agg(*picked, F.expr("max(_total) AS _total"))
+    return found.selectExpr(*keys, *[_blend(name, p, kind) for name, p in probs.items()])
 
 
-def _blend(name: str, p: float, kind: str) -> Column:
-    low = F.col(f"{name}_at")
+def _blend(name: str, p: float, kind: str) -> str:
+    low, high = f"`{name}_at`", f"`{name}_next`"
     if kind == "discrete":
-        return low
-    high = F.col(f"{name}_next")
-    place = (F.col("_total") - 1) * F.lit(float(p))
-    share = place - F.floor(place)
-    step = high - low
-    return F.when(share < 0.5, low + step * share).otherwise(high - step * (F.lit(1.0) - share))
+        return f"{low} AS `{name}`"
+    place = f"(_total - 1) * {float(p)!r}D"
+    share = f"({place} - floor({place}))"
+    return (
+        f"CASE WHEN {share} < 0.5D THEN {low} + ({high} - {low}) * {share} "
+        f"ELSE {high} - ({high} - {low}) * (1D - {share}) END AS `{name}`"
+    )
 
 
-def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], kind: str) -> DataFrame:
+def column_quantiles(
+    df: DataFrame, wanted: dict[str, tuple[str, float]], kind: str, small_input: int | None = None
+) -> DataFrame:
     """Percentiles of several columns in one pass: one row, one column per name.
 
-    ``wanted`` maps an output name to ``(column, p)``. The columns are stacked into one
-    long column keyed by name, so they share the passes and shuffles of one operator.
+    ``wanted`` maps an output name to ``(column, p)``. On the ladder the columns are
+    stacked into one long column keyed by name, so they share its passes and shuffles.
     """
     columns = sorted({column for column, _ in wanted.values()})
+    if is_small(df, small_input):
+        return df.agg(*[_built_in(f"nanvl(`{c}`, NULL)", p, kind, name) for name, (c, p) in wanted.items()])
     levels = sorted({p for _, p in wanted.values()})
     level_names = {f"p{i}": p for i, p in enumerate(levels)}
     by_level = {p: name for name, p in level_names.items()}
-    stacked = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "_column", "_value")
-    found = quantiles(stacked, "_value", level_names, by=["_column"], kind=kind)
+    stacked = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns]).unpivot([], columns, "_column", "_value")
+    found = quantiles(stacked, "_value", level_names, ["_column"], kind, small_input)
     return found.agg(
         *[
-            F.max(F.when(F.col("_column") == column, F.col(by_level[p]))).alias(name)
+            F.expr(f"max(CASE WHEN _column = '{column}' THEN {by_level[p]} END) AS `{name}`")
             for name, (column, p) in wanted.items()
         ]
     )

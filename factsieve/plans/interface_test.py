@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,17 +19,17 @@ A, B = "A", "B"
 
 @dataclass(frozen=True)
 class Experiment:
-    participants: DataFrame
-    events: DataFrame
+    participants: Callable[[], DataFrame]
+    events: Callable[[], DataFrame]
     name: str
 
 
 def members(test: Experiment) -> DataFrame:
-    return test.participants.filter(F.col("ab_test") == test.name)
+    return test.participants().filter(F.col("ab_test") == test.name)
 
 
 def goal_events(test: Experiment) -> DataFrame:
-    return test.events.filter(F.col("event_name").isin(REGISTRATION, PURCHASE))
+    return test.events().filter(F.col("event_name").isin(REGISTRATION, PURCHASE))
 
 
 def merged(test: Experiment) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,12 +26,15 @@ LIMITS = [
 
 @dataclass(frozen=True)
 class Market:
-    """Tables of the listings database and the values that single out its parts."""
+    """Tables of the listings database and the values that single out its parts.
 
-    flats: DataFrame
-    advertisement: DataFrame
-    city: DataFrame
-    settlement_type: DataFrame
+    Tables are given as functions, so a query opens only the ones it reads.
+    """
+
+    flats: Callable[[], DataFrame]
+    advertisement: Callable[[], DataFrame]
+    city: Callable[[], DataFrame]
+    settlement_type: Callable[[], DataFrame]
     main_city_id: object
     main_city: str
     target_type: object
@@ -39,7 +43,7 @@ class Market:
 
 
 def bounds(market: Market) -> DataFrame:
-    found = trim_bounds(market.flats, LIMITS)
+    found = trim_bounds(market.flats(), LIMITS)
     return found.select(
         F.col("total_area_high").alias("total_area_limit"),
         F.col("rooms_high").alias("rooms_limit"),
@@ -55,7 +59,7 @@ def usual_flats(market: Market) -> DataFrame:
     ``id`` is the key of the table, so filtering its rows equals filtering by a list of the
     ids that pass, and one scan of flats serves in place of a scan and a semi-join.
     """
-    return percentile_trim(market.flats, LIMITS)
+    return percentile_trim(market.flats(), LIMITS)
 
 
 def usual_ids(market: Market) -> DataFrame:
@@ -64,19 +68,19 @@ def usual_ids(market: Market) -> DataFrame:
 
 def usual_advertisements(market: Market) -> DataFrame:
     """Advertisements of flats without outliers, by semi-join on the id list."""
-    return keep_listed(market.advertisement, usual_ids(market), "id")
+    return keep_listed(market.advertisement(), usual_ids(market), "id")
 
 
 def listed_with_flat(market: Market) -> DataFrame:
     """Advertisements left-joined to flats of one type; the filter makes the join inner."""
-    joined = market.advertisement.join(market.flats, "id", "left")
+    joined = market.advertisement().join(market.flats(), "id", "left")
     return joined.filter(F.col("type_id") == market.target_type)
 
 
 def closed_listings(market: Market) -> DataFrame:
     """Removed listings of the target type with region, time on market and price per area."""
     flats = usual_flats(market).filter(F.col("type_id") == market.target_type)
-    removed = market.advertisement.filter(F.col("days_exposition").isNotNull())
+    removed = market.advertisement().filter(F.col("days_exposition").isNotNull())
     return flats.join(removed, "id").select(
         "*",
         region_label(F.col("city_id"), market.main_city_id).alias("region_cat"),
@@ -142,7 +146,7 @@ def _season_listings(market: Market) -> DataFrame:
     """Listings of the target type opened in the covered years, with both dates."""
     flats = usual_flats(market).filter(F.col("type_id") == market.target_type).select("id", "total_area")
     opened = F.col("first_day_exposition")
-    ads = market.advertisement.filter(years_between(opened, market.first_year, market.last_year))
+    ads = market.advertisement().filter(years_between(opened, market.first_year, market.last_year))
     return ads.join(flats, "id").select(
         "id",
         "total_area",
@@ -191,15 +195,19 @@ def season_prices(market: Market) -> DataFrame:
 
 
 def town_listings(market: Market) -> DataFrame:
-    """Listings without outliers outside the main city, with town and settlement type.
+    """Listings without outliers outside the main city, with their town.
 
-    The town must be known (its name is compared), so that join is inner; the type may be
-    missing and then forms a group of its own.
+    The town must be known (its name is compared), so the join is inner.
     """
-    towns = market.city.filter(F.col("city") != market.main_city)
+    towns = market.city().filter(F.col("city") != market.main_city)
     flats = usual_flats(market).join(towns, "city_id")
-    listings = market.advertisement.join(flats, "id").join(market.settlement_type, "type_id", "left")
-    return listings.withColumn("price_qm", ratio(F.col("last_price"), F.col("total_area")))
+    price = ratio(F.col("last_price"), F.col("total_area"))
+    return market.advertisement().join(flats, "id").withColumn("price_qm", price)
+
+
+def typed_listings(market: Market) -> DataFrame:
+    """The same with the settlement type; an unknown type forms a group of its own."""
+    return town_listings(market).join(market.settlement_type(), "type_id", "left")
 
 
 def cities_count(market: Market) -> DataFrame:
@@ -229,37 +237,37 @@ def cities_above_avg(market: Market) -> DataFrame:
     return shares.orderBy(F.desc("perc_closed_adv"), F.desc("count_adv"))
 
 
-def _prices(market: Market, by: str) -> DataFrame:
-    groups = town_listings(market).groupBy(by).agg(
+def _prices(listings: DataFrame, by: str) -> DataFrame:
+    groups = listings.groupBy(by).agg(
         half_up(F.avg("price_qm"), 0).alias("price_qm"), half_up(F.avg("total_area"), 2).alias("avg_tot_area")
     )
     return groups.orderBy(F.col("price_qm").desc_nulls_first(), F.col("avg_tot_area").desc_nulls_first())
 
 
 def price_by_city(market: Market) -> DataFrame:
-    return _prices(market, "city")
+    return _prices(town_listings(market), "city")
 
 
 def price_by_type(market: Market) -> DataFrame:
-    return _prices(market, "type")
+    return _prices(typed_listings(market), "type")
 
 
-def _days(market: Market, by: str) -> DataFrame:
-    removed = town_listings(market).filter(F.col("days_exposition").isNotNull())
+def _days(listings: DataFrame, by: str) -> DataFrame:
+    removed = listings.filter(F.col("days_exposition").isNotNull())
     groups = removed.groupBy(by).agg(half_up(F.avg("days_exposition"), 0).alias("avg_days_exp"))
     return groups.orderBy("avg_days_exp")
 
 
 def days_by_city(market: Market) -> DataFrame:
-    return _days(market, "city")
+    return _days(town_listings(market), "city")
 
 
 def days_by_type(market: Market) -> DataFrame:
-    return _days(market, "type")
+    return _days(typed_listings(market), "type")
 
 
 def bucket_counts(market: Market) -> DataFrame:
     """Advertisements by time-on-market label, the unlabelled ones under the last."""
-    return market.advertisement.groupBy(days_label(F.col("days_exposition")).alias("category_days_exp")).agg(
+    return market.advertisement().groupBy(days_label(F.col("days_exposition")).alias("category_days_exp")).agg(
         F.count("*").alias("count_adv")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,21 +23,25 @@ MOBILE, DESKTOP = "mobile", "desktop"
 
 @dataclass(frozen=True)
 class Sales:
-    """Ticket orders, events (one row per ``event_id``) and rates (one row per date)."""
+    """Ticket orders, events (one row per ``event_id``) and rates (one row per date).
 
-    orders: DataFrame
-    events: DataFrame
-    rates: DataFrame
+    Tables are given as functions, so a query opens only the ones it reads.
+    """
+
+    orders: Callable[[], DataFrame]
+    events: Callable[[], DataFrame]
+    rates: Callable[[], DataFrame]
 
 
 def with_events(orders: DataFrame, sales: Sales) -> DataFrame:
     """Orders with their event; orders of unknown events stay."""
-    return orders.join(replace_labels(sales.events, "event_type_description", labels.EVENT_LABEL_MERGE), "event_id", "left")
+    return orders.join(replace_labels(sales.events(), "event_type_description", labels.EVENT_LABEL_MERGE), "event_id", "left")
 
 
 def with_rates(orders: DataFrame, sales: Sales) -> DataFrame:
     """Orders with the currency rate of their day, if there is one."""
-    return orders.join(sales.rates, orders["created_dt_msk"] == sales.rates["data"], "left")
+    rates = sales.rates()
+    return orders.join(rates, orders["created_dt_msk"] == rates["data"], "left")
 
 
 def derived(orders: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def derived(orders: DataFrame) -> DataFrame:
 
 def priced(sales: Sales) -> DataFrame:
     """All order rows with rates and derived columns, duplicates included."""
-    return derived(with_rates(sales.orders, sales))
+    return derived(with_rates(sales.orders(), sales))
 
 
 def deduplicated(sales: Sales) -> DataFrame:
@@ -68,7 +73,7 @@ def deduplicated(sales: Sales) -> DataFrame:
     in those agree in all. Duplicates are dropped first, on the narrow order rows, and the
     joins see each order once.
     """
-    return derived(with_rates(drop_hidden_duplicates(sales.orders, "order_id"), sales))
+    return derived(with_rates(drop_hidden_duplicates(sales.orders(), "order_id"), sales))
 
 
 def clean_orders(sales: Sales) -> DataFrame:

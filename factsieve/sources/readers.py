@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@lru_cache(maxsize=256)
+def _stored_schema(application: str, path: str) -> T.StructType:
+    return SparkSession.active().read.parquet(path).schema
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A parquet table. Its schema is read from a file footer once per application."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(_stored_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
 def read_jdbc(

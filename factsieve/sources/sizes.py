@@ -1,0 +1,20 @@
+"""How much data lies under a DataFrame, read from its plan without running a job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT = 256 * 1024 * 1024
+
+
+def source_bytes(df: DataFrame) -> float:
+    """Total size of the files and local rows the plan reads; infinite where unknown."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return float("inf")
+    leaves = plan.queryExecution().analyzed().collectLeaves()
+    return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    return source_bytes(df) <= (SMALL_INPUT if limit is None else limit)
