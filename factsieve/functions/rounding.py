@@ -43,5 +43,14 @@ def ratio(x: Column, y: Column) -> Column:
     return F.try_divide(x.cast("double"), y.cast("double"))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of amounts in decimals: the same in whatever order tasks deliver the rows."""
+    return F.sum(x.cast("decimal(24,6)")).cast("double")
+
+
+def exact_mean(x: Column) -> Column:
+    return ratio(exact_sum(x), F.count(x))
+
+
 def percent(x: Column, total: Column) -> Column:
     return ratio(x, total) * F.lit(100.0)

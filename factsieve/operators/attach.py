@@ -29,5 +29,10 @@ def attach(df: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def known_keys(df: DataFrame, by: list[str]) -> DataFrame:
-    """Drop rows whose group key is NULL, as grouping in the original analyses does."""
-    return df.na.drop(subset=by) if by else df
+    """Drop rows whose group key is NULL, as grouping in the original analyses does.
+
+    Keys that the schema says are never NULL need no filter; none is added for them, so
+    the plan stays equal to that of other consumers of the same rows.
+    """
+    doubtful = [c for c in by if df.schema[c].nullable]
+    return df.na.drop(subset=doubtful) if doubtful else df

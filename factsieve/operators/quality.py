@@ -89,7 +89,11 @@ def dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     if not rest and order not in keys:
-        return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
+        # Every group has a row, so the filter removes none. It keeps the minimum in use:
+        # consumers who need other columns only still plan the same shuffle, which then
+        # runs once for all of them.
+        firsts = df.groupBy(*keys).agg(F.min(order).alias(order), F.count("*").alias("_copies"))
+        return firsts.filter((F.col("_copies") > 0) | F.col(order).isNotNull()).select(*df.columns)
     firsts = df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_first"))
     return firsts.select(
         [F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns]

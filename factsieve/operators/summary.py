@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.rounding import half_even, percent, ratio
-from factsieve.operators.attach import attach, known_keys, scalar_row
+from factsieve.operators.attach import attach, known_keys
 from factsieve.operators.order_statistics import measured, quantiles
 from factsieve.operators.trimming import iqr_fences
 
@@ -28,28 +28,26 @@ def pivot_mean(df: DataFrame, row: str, column: str, values: dict[str, str], ave
 
 def column_shares(table: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """Every cell as a percentage of its column total, ``<column>_pct``."""
-    totals = scalar_row(table.agg(*[F.sum(c).alias(c) for c in columns]))
-    return table.withColumns(
-        {f"{c}_pct": half_even(percent(F.col(c), totals.getField(c)), digits) for c in columns}
-    )
-
-
-def add_share(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Unrounded percentage of the column total beside each column."""
-    totals = scalar_row(table.agg(*[F.sum(c).alias(c) for c in columns]))
-    return table.withColumns({f"{c}_pct": percent(F.col(c), totals.getField(c)) for c in columns})
+    totals = table.agg(*[F.sum(c).alias(f"{c}_sum") for c in columns])
+    shares = {f"{c}_pct": half_even(percent(F.col(c), F.col(f"{c}_sum")), digits) for c in columns}
+    return attach(table, totals, []).withColumns(shares).drop(*totals.columns)
 
 
-def add_heat(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Position of each value between the column's extremes, 0 to 1 (cell shading)."""
-    extremes = [f(c).alias(f"{c}_{name}") for c in columns for name, f in (("low", F.min), ("high", F.max))]
-    held = scalar_row(table.agg(*extremes))
+def add_share(table: DataFrame, columns: list[str], shaded: list[str] | None = None) -> DataFrame:
+    """Unrounded percentage of the column total beside each column.
 
-    def position(c: str) -> Column:
-        low, high = held.getField(f"{c}_low"), held.getField(f"{c}_high")
-        return ratio(F.col(c) - low, high - low)
-
-    return table.withColumns({f"{c}_heat": position(c) for c in columns})
+    ``shaded`` columns also get ``<column>_heat``: where the share lies between the lowest
+    and the highest one, 0 to 1 (cell shading). Totals and extremes are one aggregate row.
+    """
+    shaded = list(shaded or [])
+    figures = [F.sum(c).alias(f"{c}_sum") for c in columns]
+    figures += [f(c).alias(f"{c}_{end}") for c in shaded for end, f in (("low", F.min), ("high", F.max))]
+    held = table.agg(*figures)
+    added = {f"{c}_pct": percent(F.col(c), F.col(f"{c}_sum")) for c in columns}
+    for c in shaded:
+        low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+        added[f"{c}_heat"] = ratio(F.col(c) - low, high - low)
+    return attach(table, held, []).withColumns(added).drop(*held.columns)
 
 
 def add_mean(table: DataFrame, column: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.operators.attach import attach, known_keys, scalar_row
+from factsieve.operators.attach import attach, known_keys
 from factsieve.operators.order_statistics import column_quantiles, quantiles
 
 
@@ -32,23 +32,33 @@ def trim_bounds(df: DataFrame, limits: list[Limit]) -> DataFrame:
     return column_quantiles(df, wanted, kind="discrete")
 
 
-def within(limits: list[Limit], bounds: Column) -> Column:
-    """Condition that a row lies strictly between its bounds."""
+def within(limits: list[Limit]) -> Column:
+    """Condition that a row lies strictly between the bounds beside it."""
     keep = F.lit(True)
     for limit in limits:
         value = F.col(limit.column)
         inside = F.lit(True)
         if limit.low is not None:
-            inside = inside & (value > bounds.getField(f"{limit.column}_low"))
+            inside = inside & (value > F.col(f"{limit.column}_low"))
         if limit.high is not None:
-            inside = inside & (value < bounds.getField(f"{limit.column}_high"))
+            inside = inside & (value < F.col(f"{limit.column}_high"))
         keep = keep & (inside | value.isNull() if limit.keep_null else inside)
     return keep
 
 
+def _keep_where(df: DataFrame, one_row: DataFrame, condition: Column) -> DataFrame:
+    """Filter rows by a condition that names columns of a one-row table.
+
+    The row comes from a global aggregate, so it is broadcast whatever the input size. As a
+    join condition the test stays above the shuffles of ``df``. As a filter it would sink
+    below them, and the pass that finds the bounds could no longer share them.
+    """
+    return df.join(F.broadcast(one_row), condition).select(*[df[c] for c in df.columns])
+
+
 def percentile_trim(df: DataFrame, limits: list[Limit]) -> DataFrame:
     """Rows strictly inside the percentile bounds of every limited column."""
-    return df.filter(within(limits, scalar_row(trim_bounds(df, limits))))
+    return _keep_where(df, trim_bounds(df, limits), within(limits))
 
 
 def percentile_cap(df: DataFrame, caps: dict[str, float], positive: list[str]) -> DataFrame:
@@ -56,17 +66,17 @@ def percentile_cap(df: DataFrame, caps: dict[str, float], positive: list[str]) -
 
     Columns in ``positive`` must also be above zero. The caps come from all rows given.
     """
-    bounds = scalar_row(cap_values(df, caps))
     keep = F.lit(True)
     for column in positive:
         keep = keep & (F.col(column) > 0)
     for column in caps:
-        keep = keep & (F.col(column) <= bounds.getField(column))
-    return df.filter(keep)
+        keep = keep & (F.col(column) <= F.col(f"{column}_cap"))
+    return _keep_where(df, cap_values(df, caps), keep)
 
 
 def cap_values(df: DataFrame, caps: dict[str, float]) -> DataFrame:
-    return column_quantiles(df, {c: (c, p) for c, p in caps.items()}, kind="interpolated")
+    """One row with ``<column>_cap`` for every capped column."""
+    return column_quantiles(df, {f"{c}_cap": (c, p) for c, p in caps.items()}, kind="interpolated")
 
 
 def iqr_fences(df: DataFrame, value: str, by: list[str] | None = None, k: float = 1.5) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factsieve.functions import labels
 from factsieve.functions.calendar import is_weekend, iso_weekday, season
 from factsieve.functions.categories import change_class, in_home_currency, unit_price
-from factsieve.functions.rounding import half_even, percent, ratio
+from factsieve.functions.rounding import exact_mean, exact_sum, half_even, percent, ratio
 from factsieve.operators import summary
 from factsieve.operators.hypothesis import mann_whitney
 from factsieve.operators.quality import drop_hidden_duplicates, narrow_integers, replace_labels, top_k
@@ -95,7 +95,7 @@ def autumn(orders: DataFrame) -> DataFrame:
 
 def caps(sales: Sales) -> DataFrame:
     found = cap_values(deduplicated(sales), CAPS)
-    return found.select(F.col("revenue_rub").alias("revenue_q99"), F.col("tickets_count").alias("tickets_q99"))
+    return found.select(F.col("revenue_rub_cap").alias("revenue_q99"), F.col("tickets_count_cap").alias("tickets_q99"))
 
 
 # Seasons ------------------------------------------------------------------------------
@@ -145,7 +145,7 @@ def ticket_price_change(sales: Sales) -> DataFrame:
 def daily_activity(sales: Sales) -> DataFrame:
     days = summary.activity(
         autumn(clean_orders(sales)), "created_dt_msk", "order_id", "user_id", "unique_users",
-        half_even(F.avg("one_ticket_revenue_rub"), 2).alias("avg_one_ticket_revenue"),
+        half_even(exact_mean(F.col("one_ticket_revenue_rub")), 2).alias("avg_one_ticket_revenue"),
     )
     per_user = half_even(ratio(F.col("orders"), F.col("unique_users")), 2)
     return days.withColumn("orders_per_user", per_user).orderBy("created_dt_msk")
@@ -168,18 +168,17 @@ def users_per_weekday(sales: Sales, approximate: float | None = None) -> DataFra
 
 def region_summary(sales: Sales) -> DataFrame:
     regions = summary.activity(autumn(clean_tickets(sales)), "region_name", "order_id", "event_id", "events")
-    shares = summary.add_share(regions, ["events", "orders"])
-    return summary.add_heat(shares, ["events_pct", "orders_pct"]).orderBy(F.desc("events"))
+    columns = ["events", "orders"]
+    return summary.add_share(regions, columns, shaded=columns).orderBy(F.desc("events"))
 
 
 def partner_summary(sales: Sales) -> DataFrame:
     partners = summary.activity(
         autumn(clean_orders(sales)), "service_name", "order_id", "event_id", "events",
-        F.sum("revenue_rub").alias("total_revenue"),
+        exact_sum(F.col("revenue_rub")).alias("total_revenue"),
     )
-    shares = summary.add_share(partners, ["events", "orders", "total_revenue"])
-    heat = summary.add_heat(shares, ["events_pct", "orders_pct", "total_revenue_pct"])
-    return heat.orderBy(F.desc("events"))
+    columns = ["events", "orders", "total_revenue"]
+    return summary.add_share(partners, columns, shaded=columns).orderBy(F.desc("events"))
 
 
 def top_share(table: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -256,7 +255,7 @@ def selected(
 
 
 def _figures() -> list[Column]:
-    return [F.sum("revenue_rub").alias("revenue"), F.count("order_id").alias("orders")]
+    return [exact_sum(F.col("revenue_rub")).alias("revenue"), F.count("order_id").alias("orders")]
 
 
 def _with_mean_order(table: DataFrame) -> DataFrame:

@@ -240,12 +240,12 @@ def ticket_price_change(s: tickets.Sales) -> DataFrame:
 
 
 def region_summary(s: tickets.Sales) -> DataFrame:
-    return rounded(tickets.region_summary(s), 6, "events_pct", "orders_pct", "events_pct_heat", "orders_pct_heat")
+    return rounded(tickets.region_summary(s), 6, "events_pct", "orders_pct", "events_heat", "orders_heat")
 
 
 def partner_summary(s: tickets.Sales) -> DataFrame:
-    shares = ["events_pct", "orders_pct", "total_revenue_pct"]
-    table = rounded(tickets.partner_summary(s), 6, *shares, *[f"{c}_heat" for c in shares])
+    columns = ["events", "orders", "total_revenue"]
+    table = rounded(tickets.partner_summary(s), 6, *[f"{c}_{f}" for c in columns for f in ("pct", "heat")])
     return rounded(table, 2, "total_revenue")
 
 

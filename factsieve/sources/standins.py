@@ -2,6 +2,10 @@
 
 The original inputs are not public, so each is built from the driver's parquet tables by
 fixed expressions; NULLs and unmatched keys are injected by modulus on the key.
+
+Joins between tables that both grow with the data are marked as sort-merge joins. Without
+the mark a small run may broadcast either side, depending on which stage ends first, and
+two uses of one input in a query then differ in plan and run twice.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def flats(spark: SparkSession, folder: str) -> DataFrame:
     )
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = load(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(
+    joined = lines.join(orders.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).join(
         customers, F.col("c_custkey") == F.col("o_custkey")
     )
     height = (F.lit(240) + F.col("d") % 160).cast("double") / F.lit(100.0)
@@ -93,7 +97,9 @@ def ticket_orders(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(F.count("*").alias("n"), F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
     )
-    rows = orders.join(days, ["o_custkey", "o_orderdate"]).join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = orders.join(days.hint("merge"), ["o_custkey", "o_orderdate"]).join(
+        lines.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
     age = (
         F.when(F.col("o_orderkey") % 5 == 0, 0)
         .when(F.col("o_orderkey") % 5 == 1, 6)

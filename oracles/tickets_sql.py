@@ -102,7 +102,7 @@ def _share(column: str) -> str:
 
 def _heat(column: str) -> str:
     span = f"(max({column}) OVER () - min({column}) OVER ())"
-    return f"round(({column} - min({column}) OVER ()) / nullif({span}, 0), 6) AS {column}_heat"
+    return f"round(({column} - min({column}) OVER ()) / nullif({span}, 0), 6) AS {column.removesuffix('_pct')}_heat"
 
 
 FIGURES = """round(sum(revenue_rub), 2) AS revenue, count(order_id) AS orders,
@@ -229,7 +229,7 @@ def statements() -> dict[str, str]:
                            ELSE 'zero' END AS change_class FROM changes"""),
         "daily_activity": _orders(TO_AUTUMN, f"""
             SELECT created_dt_msk, count(order_id) AS orders, count(DISTINCT user_id) AS unique_users,
-                   {even('avg(one_ticket_revenue_rub)', 2)} AS avg_one_ticket_revenue,
+                   {even('CAST(sum(CAST(one_ticket_revenue_rub AS DECIMAL(24,6))) AS DOUBLE) / count(one_ticket_revenue_rub)', 2)} AS avg_one_ticket_revenue,
                    {even('CAST(count(order_id) AS DOUBLE) / count(DISTINCT user_id)', 2)} AS orders_per_user
             FROM autumn GROUP BY created_dt_msk"""),
         "orders_per_weekday": _weekday("count(order_id)", "orders"),
