@@ -22,20 +22,16 @@ def cents(x: Column) -> Column:
 
     ``x * 100`` can land on a tie that the exact product misses by less than one unit in
     the last place. ``slip`` is that error, recovered without loss by splitting ``x`` into
-    two short halves, and decides such ties; a true tie goes to the even cent.
+    two short halves (Dekker's product), and decides such ties; a true tie goes to the even
+    cent.
     """
-    product = x * F.lit(100.0)
+    scaled = x * F.lit(100.0)
     spread = x * F.lit(134217729.0)
     high = spread - (spread - x)
-    slip = (high * F.lit(100.0) - product) + (x - high) * F.lit(100.0)
-    below = F.floor(product).cast("double")
-    whole = (
-        F.when(product - below != 0.5, F.rint(product))
-        .when(slip > 0, below + 1.0)
-        .when(slip < 0, below)
-        .otherwise(F.rint(product))
-    )
-    return whole / F.lit(100.0)
+    slip = (high * F.lit(100.0) - scaled) + (x - high) * F.lit(100.0)
+    below = F.floor(scaled).cast("double")
+    tie = scaled - below == 0.5
+    return F.when(tie & (slip > 0), below + 1.0).when(tie & (slip < 0), below).otherwise(F.rint(scaled)) / 100.0
 
 
 def ratio(x: Column, y: Column) -> Column:

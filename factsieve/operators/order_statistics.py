@@ -67,13 +67,20 @@ def quantiles(
     """
     by = list(by or [])
     if is_small(df, small_input):
-        return measured(df, value, by).groupBy(*by).agg(*[_built_in("_v", p, kind, n) for n, p in probs.items()])
+        return _built_in(measured(df, value, by), "_v", probs, by, kind)
     return _on_ladder(measured(df, value, by), probs, by, kind)
 
 
-def _built_in(column: str, p: float, kind: str, name: str) -> Column:
-    function = "percentile_disc" if kind == "discrete" else "percentile_cont"
-    return F.expr(f"CAST({function}({float(p)!r}D) WITHIN GROUP (ORDER BY {column}) AS DOUBLE)").alias(name)
+def _built_in(df: DataFrame, column: str, probs: dict[str, float], by: list[str], kind: str) -> DataFrame:
+    if kind == "discrete":
+        return df.groupBy(*by).agg(*[_built_in_discrete(column, p, name) for name, p in probs.items()])
+    levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    found = df.groupBy(*by).agg(F.expr(f"percentile({column}, array({levels})) AS _levels"))
+    return found.selectExpr(*quoted(by), *[f"_levels[{i}] AS `{name}`" for i, name in enumerate(probs)])
+
+
+def _built_in_discrete(column: str, p: float, name: str) -> Column:
+    return F.expr(f"CAST(percentile_disc({float(p)!r}D) WITHIN GROUP (ORDER BY {column}) AS DOUBLE)").alias(name)
 
 
 def _ranks(probs: dict[str, float], kind: str) -> dict[str, str]:
@@ -139,7 +146,12 @@ def column_quantiles(
     """
     columns = sorted({column for column, _ in wanted.values()})
     if is_small(df, small_input):
-        return df.agg(*[_built_in(f"nanvl(`{c}`, NULL)", p, kind, name) for name, (c, p) in wanted.items()])
+        filled = {c: f"nanvl(CAST(`{c}` AS DOUBLE), NULL)" for c in columns}
+        if kind == "discrete":
+            return df.agg(*[_built_in_discrete(filled[c], p, name) for name, (c, p) in wanted.items()])
+        return df.agg(
+            *[F.expr(f"percentile({filled[c]}, {float(p)!r}D)").alias(name) for name, (c, p) in wanted.items()]
+        )
     levels = sorted({p for _, p in wanted.values()})
     level_names = {f"p{i}": p for i, p in enumerate(levels)}
     by_level = {p: name for name, p in level_names.items()}

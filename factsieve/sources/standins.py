@@ -10,72 +10,59 @@ two uses of one input in a query then differ in plan and run twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from factsieve.sources.readers import load
 
 
-def _null_when(condition: Column, value: Column) -> Column:
-    return F.when(~condition, value)
-
-
-def _divides(column: str, divisor: int) -> Column:
-    return F.col(column) % divisor == 0
-
-
 def flats(spark: SparkSession, folder: str) -> DataFrame:
     lines = (
         load(spark, folder, "lineitem")
         .groupBy("l_orderkey")
         .agg(
-            F.sum("l_quantity").alias("q"),
-            F.count("*").alias("n"),
-            F.min("l_linenumber").alias("lo"),
-            F.max("l_linenumber").alias("hi"),
-            F.sum(F.round(F.col("l_discount") * 100).cast("int")).alias("d"),
+            F.expr("sum(l_quantity) AS q"),
+            F.expr("count(*) AS n"),
+            F.expr("min(l_linenumber) AS lo"),
+            F.expr("max(l_linenumber) AS hi"),
+            F.expr("sum(CAST(round(l_discount * 100) AS INT)) AS d"),
         )
     )
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = load(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    joined = lines.join(orders.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).join(
-        customers, F.col("c_custkey") == F.col("o_custkey")
+    joined = lines.join(orders.hint("merge"), F.expr("o_orderkey = l_orderkey")).join(
+        customers, F.expr("c_custkey = o_custkey")
     )
-    height = (F.lit(240) + F.col("d") % 160).cast("double") / F.lit(100.0)
-    return joined.select(
-        F.col("l_orderkey").alias("id"),
-        F.col("q").cast("double").alias("total_area"),
-        _null_when(_divides("l_orderkey", 11), F.col("n")).cast("int").alias("rooms"),
-        _null_when(_divides("l_orderkey", 7), F.col("hi") % 4).cast("int").alias("balcony"),
-        _null_when(_divides("l_orderkey", 5), height).alias("ceiling_height"),
-        F.col("lo").cast("int").alias("floor"),
-        (F.col("hi") + 5).cast("int").alias("floors_total"),
-        F.when(_divides("l_orderkey", 13), 1).otherwise(0).alias("is_apartment"),
-        F.col("c_nationkey").alias("city_id"),
-        F.col("c_mktsegment").alias("type_id"),
+    return joined.selectExpr(
+        "l_orderkey AS id",
+        "CAST(q AS DOUBLE) AS total_area",
+        "CAST(CASE WHEN l_orderkey % 11 <> 0 THEN n END AS INT) AS rooms",
+        "CAST(CASE WHEN l_orderkey % 7 <> 0 THEN hi % 4 END AS INT) AS balcony",
+        "CASE WHEN l_orderkey % 5 <> 0 THEN CAST(240 + d % 160 AS DOUBLE) / 100D END AS ceiling_height",
+        "CAST(lo AS INT) AS floor",
+        "CAST(hi + 5 AS INT) AS floors_total",
+        "CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END AS is_apartment",
+        "c_nationkey AS city_id",
+        "c_mktsegment AS type_id",
     )
 
 
 def advertisement(spark: SparkSession, folder: str) -> DataFrame:
-    days = ((F.col("o_orderkey") * 37) % 500).cast("double")
-    return load(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_orderdate").cast("date").alias("first_day_exposition"),
-        _null_when(_divides("o_orderkey", 6), days).alias("days_exposition"),
-        F.col("o_totalprice").alias("last_price"),
+    return load(spark, folder, "orders").selectExpr(
+        "o_orderkey AS id",
+        "CAST(o_orderdate AS DATE) AS first_day_exposition",
+        "CASE WHEN o_orderkey % 6 <> 0 THEN CAST((o_orderkey * 37) % 500 AS DOUBLE) END AS days_exposition",
+        "o_totalprice AS last_price",
     )
 
 
 def city(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "nation").select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city"))
+    return load(spark, folder, "nation").selectExpr("n_nationkey AS city_id", "n_name AS city")
 
 
 def settlement_type(spark: SparkSession, folder: str) -> DataFrame:
-    segments = load(spark, folder, "customer").select("c_mktsegment").filter(F.col("c_mktsegment") != "MACHINERY")
-    return segments.distinct().select(
-        F.col("c_mktsegment").alias("type_id"), F.lower(F.col("c_mktsegment")).alias("type")
-    )
+    segments = load(spark, folder, "customer").select("c_mktsegment").filter("c_mktsegment <> 'MACHINERY'")
+    return segments.distinct().selectExpr("c_mktsegment AS type_id", "lower(c_mktsegment) AS type")
 
 
 def ticket_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,89 +73,78 @@ def ticket_orders(spark: SparkSession, folder: str) -> DataFrame:
     So a user with a large part of all orders still gives one row per calendar day.
     """
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    by_day = Window.partitionBy("o_custkey").orderBy("o_orderdate")
     days = (
         orders.groupBy("o_custkey", "o_orderdate")
-        .agg(F.min("o_orderkey").alias("day_first"))
-        .withColumn("day_before", F.lag("o_orderdate").over(by_day))
+        .agg(F.expr("min(o_orderkey) AS day_first"))
+        .selectExpr("*", "lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS day_before")
     )
     lines = (
         load(spark, folder, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.count("*").alias("n"), F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
+        .agg(F.expr("count(*) AS n"), F.expr("min(l_partkey) AS pk"), F.expr("min(l_suppkey) AS sk"))
     )
     rows = orders.join(days.hint("merge"), ["o_custkey", "o_orderdate"]).join(
-        lines.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    age = (
-        F.when(F.col("o_orderkey") % 5 == 0, 0)
-        .when(F.col("o_orderkey") % 5 == 1, 6)
-        .when(F.col("o_orderkey") % 5 == 2, 12)
-        .when(F.col("o_orderkey") % 5 == 3, 16)
-        .otherwise(18)
-    )
-    device = (
-        F.when(F.col("o_custkey") % 5 == 0, "desktop")
-        .when((F.col("o_custkey") % 5).isin(1, 2), "mobile")
-        .when(_divides("o_orderkey", 3), "desktop")
-        .otherwise("mobile")
-    )
-    previous = F.when(F.col("o_orderkey") == F.col("day_first"), F.col("day_before")).otherwise(F.col("o_orderdate"))
-    return rows.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderdate").cast("date").alias("created_dt_msk"),
-        F.col("pk").alias("event_id"),
-        age.cast("tinyint").alias("age_limit"),
-        F.when(_divides("o_orderkey", 20), "kzt").otherwise("rub").alias("currency_code"),
-        device.alias("device_type_canonical"),
-        F.when(_divides("o_orderkey", 97), -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("revenue"),
-        F.col("n").cast("tinyint").alias("tickets_count"),
-        F.concat(F.lit("service-"), (F.col("sk") % 36).cast("string")).alias("service_name"),
-        F.date_diff(F.col("o_orderdate"), previous).cast("double").alias("days_since_prev"),
+        lines.hint("merge"), F.expr("l_orderkey = o_orderkey")
+    )
+    return rows.selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS user_id",
+        "CAST(o_orderdate AS DATE) AS created_dt_msk",
+        "pk AS event_id",
+        """CAST(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 12 WHEN 3 THEN 16 ELSE 18 END
+           AS TINYINT) AS age_limit""",
+        "CASE WHEN o_orderkey % 20 = 0 THEN 'kzt' ELSE 'rub' END AS currency_code",
+        """CASE WHEN o_custkey % 5 = 0 THEN 'desktop' WHEN o_custkey % 5 IN (1, 2) THEN 'mobile'
+                WHEN o_orderkey % 3 = 0 THEN 'desktop' ELSE 'mobile' END AS device_type_canonical""",
+        "CASE WHEN o_orderkey % 97 = 0 THEN -o_totalprice ELSE o_totalprice END AS revenue",
+        "CAST(n AS TINYINT) AS tickets_count",
+        "concat('service-', CAST(sk % 36 AS STRING)) AS service_name",
+        """CAST(datediff(o_orderdate, CASE WHEN o_orderkey = day_first THEN day_before ELSE o_orderdate END)
+           AS DOUBLE) AS days_since_prev""",
     )
 
 
 def ticket_orders_with_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Ticket orders plus hidden duplicates: equal rows under another order id."""
     orders = ticket_orders(spark, folder)
-    copies = F.when(_divides("order_id", 500), F.array(F.lit(0), F.lit(1_000_000_000))).otherwise(F.array(F.lit(0)))
-    shifted = orders.withColumn("shift", F.explode(copies))
-    return shifted.withColumn("order_id", F.col("order_id") + F.col("shift")).drop("shift")
+    copies = "explode(CASE WHEN order_id % 500 = 0 THEN array(0L, 1000000000L) ELSE array(0L) END) AS shift"
+    return orders.selectExpr("*", copies).selectExpr(
+        "order_id + shift AS order_id", *[c for c in orders.columns if c != "order_id"]
+    )
 
 
 def ticket_events(spark: SparkSession, folder: str) -> DataFrame:
-    parts = load(spark, folder, "part").select("p_partkey", "p_type", "p_name").filter(~_divides("p_partkey", 50))
+    parts = load(spark, folder, "part").select("p_partkey", "p_type", "p_name").filter("p_partkey % 50 <> 0")
     nations = load(spark, folder, "nation")
     regions = load(spark, folder, "region")
-    joined = parts.join(nations, F.col("n_nationkey") == F.col("p_partkey") % 25).join(
-        regions, F.col("r_regionkey") == F.col("n_regionkey")
+    joined = parts.join(nations, F.expr("n_nationkey = p_partkey % 25")).join(
+        regions, F.expr("r_regionkey = n_regionkey")
     )
-    return joined.select(
-        F.col("p_partkey").alias("event_id"),
-        F.col("p_type").alias("event_type_main"),
-        F.col("p_name").alias("event_type_description"),
-        F.col("n_name").alias("region_name"),
-        F.col("r_name").alias("city_name"),
+    return joined.selectExpr(
+        "p_partkey AS event_id",
+        "p_type AS event_type_main",
+        "p_name AS event_type_description",
+        "n_name AS region_name",
+        "r_name AS city_name",
     )
 
 
 def rates(spark: SparkSession, folder: str) -> DataFrame:
-    dates = load(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("data")).distinct()
-    return dates.select(
+    dates = load(spark, folder, "orders").selectExpr("CAST(o_orderdate AS DATE) AS data").distinct()
+    return dates.selectExpr(
         "data",
-        F.lit(100).cast("tinyint").alias("nominal"),
-        (F.lit(18.0) + (F.dayofmonth("data") % 8).cast("double") / F.lit(8.0)).alias("curs"),
-        F.lit("kzt").alias("cdx"),
+        "CAST(100 AS TINYINT) AS nominal",
+        "18D + CAST(day(data) % 8 AS DOUBLE) / 8D AS curs",
+        "'kzt' AS cdx",
     )
 
 
 def ab_participants(spark: SparkSession, folder: str) -> DataFrame:
     users = load(spark, folder, "events").select("user_id").distinct()
-    return users.select(
+    return users.selectExpr(
         "user_id",
-        F.when(_divides("user_id", 2), "A").otherwise("B").alias("group"),
-        F.when(_divides("user_id", 5), "other_test").otherwise("interface_eu_test").alias("ab_test"),
+        "CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS `group`",
+        "CASE WHEN user_id % 5 = 0 THEN 'other_test' ELSE 'interface_eu_test' END AS ab_test",
     )
 
 
@@ -179,37 +155,32 @@ def ab_events(spark: SparkSession, folder: str, single_registration: bool = True
     events are gathered in one place. Without ``single_registration`` every signup counts.
     """
     events = load(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    signup = F.col("event_type") == "signup"
+    name = "CASE WHEN event_type = 'signup' THEN 'registration' ELSE event_type END"
     if single_registration:
         first = (
-            events.filter(signup)
+            events.filter("event_type = 'signup'")
             .groupBy("user_id")
-            .agg(F.min(F.struct("ts", "event_id")).alias("f"))
-            .select(F.col("f.event_id").alias("event_id"), "user_id", F.lit(True).alias("is_first"))
+            .agg(F.expr("min(struct(ts, event_id)) AS f"))
+            .selectExpr("f.event_id", "user_id", "true AS is_first")
         )
         events = events.join(first, ["event_id", "user_id"], "left")
-        name = (
-            F.when(signup & F.col("is_first"), "registration").when(signup, "login").otherwise(F.col("event_type"))
-        )
-    else:
-        name = F.when(signup, "registration").otherwise(F.col("event_type"))
-    return events.select(
+        name = """CASE WHEN event_type = 'signup' AND is_first THEN 'registration'
+                       WHEN event_type = 'signup' THEN 'login' ELSE event_type END"""
+    return events.selectExpr(
         "user_id",
-        F.col("ts").alias("event_dt"),
-        name.alias("event_name"),
-        F.when(F.col("event_type") == "purchase", F.col("value")).alias("details"),
+        "ts AS event_dt",
+        f"{name} AS event_name",
+        "CASE WHEN event_type = 'purchase' THEN value END AS details",
     )
 
 
 def city_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Hours of use by person and city; every tenth person has a second row elsewhere."""
     people = load(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    copies = F.when(_divides("c_custkey", 10), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = people.withColumn("copy", F.explode(copies))
-    second = F.col("copy") == 1
-    return rows.select(
-        (F.col("c_custkey") + F.col("copy").cast("bigint") * 1_000_000_000).alias("row_no"),
-        F.col("c_custkey").alias("puid"),
-        F.when(second, "AUTOMOBILE").otherwise(F.col("c_mktsegment")).alias("city"),
-        F.abs(F.col("c_acctbal") + F.col("copy")).alias("hours"),
+    copies = "explode(CASE WHEN c_custkey % 10 = 0 THEN array(0L, 1L) ELSE array(0L) END) AS copy"
+    return people.selectExpr("*", copies).selectExpr(
+        "c_custkey + copy * 1000000000L AS row_no",
+        "c_custkey AS puid",
+        "CASE WHEN copy = 1 THEN 'AUTOMOBILE' ELSE c_mktsegment END AS city",
+        "abs(c_acctbal + copy) AS hours",
     )
