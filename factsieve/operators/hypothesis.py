@@ -63,7 +63,9 @@ def mann_whitney(
     sigma = F.sqrt(a_n * b_n / 12.0 * ((total + 1.0) - ratio(F.col("_ties"), total * (total - 1.0))))
     scored = scored.withColumn("z", ratio(side - a_n * b_n / 2.0 - 0.5, sigma))
     p = upper_tail(F.col("z")) * (2.0 if alternative == "two-sided" else 1.0)
-    scored = scored.withColumn("p_value", F.least(p, F.lit(1.0)))
+    both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
+    p = F.when(F.col("z").isNotNull(), F.least(p, F.lit(1.0))).when(both, F.lit(1.0))  # all values equal
+    scored = scored.withColumn("p_value", p)
     return scored.select(
         "n_a", "n_b", "u", "z", "p_value", *verdict(alpha), (F.least("n_a", "n_b") <= 8).alias("small_sample")
     )

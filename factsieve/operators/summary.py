@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.rounding import half_even, percent, ratio
+from factsieve.functions.rounding import exact_mean, half_even, percent, ratio
 from factsieve.operators.attach import attach, known_keys
 from factsieve.operators.order_statistics import measured, quantiles
 from factsieve.operators.trimming import iqr_fences
@@ -22,7 +22,8 @@ def pivot_count(df: DataFrame, row: str, column: str, values: dict[str, str], co
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, values: dict[str, str], averaged: str) -> DataFrame:
-    pivoted = known_keys(df, [row]).groupBy(row).pivot(column, list(values)).agg(F.avg(averaged))
+    """Means of an amount by row key and column value."""
+    pivoted = known_keys(df, [row]).groupBy(row).pivot(column, list(values)).agg(exact_mean(F.col(averaged)))
     return pivoted.select(row, *[F.col(f"`{v}`").alias(name) for v, name in values.items()])
 
 

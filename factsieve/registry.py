@@ -58,7 +58,8 @@ def experiment(spark: SparkSession, folder: str, single_registration: bool = Tru
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Sums of doubles depend on the order of addition; cut that noise off."""
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    scale = float(10**digits)
+    return df.withColumns({c: F.round(F.col(c) * scale, 0) / scale for c in columns})
 
 
 def tested(df: DataFrame) -> DataFrame:

@@ -121,3 +121,8 @@ def interpolated(source: str, column: str, levels: dict[str, float], by: str | N
                    row_number() OVER ({part}ORDER BY {column}) - 1 AS i, count(*) OVER ({part}) AS n
             FROM {source} WHERE {column} IS NOT NULL {known}) placed
           {group}) picked"""
+
+
+def exact_sum(x: str) -> str:
+    """Sum of amounts in decimals, as double."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(24,6))) AS DOUBLE)"

@@ -75,7 +75,7 @@ def share_steps(counts: str) -> list[tuple[str, str]]:
             "share_z",
             f"""SELECT *, m_a / n_a AS p_a, m_b / n_b AS p_b,
                       (m_a / n_a - m_b / n_b)
-                      / sqrt((m_a + m_b) / (n_a + n_b) * (1 - (m_a + m_b) / (n_a + n_b)) * (1 / n_a + 1 / n_b)) AS z
+                      / nullif(sqrt((m_a + m_b) / (n_a + n_b) * (1 - (m_a + m_b) / (n_a + n_b)) * (1 / n_a + 1 / n_b)), 0) AS z
                FROM {counts}""",
         ),
         ("share_side", "SELECT *, -z AS minus_z FROM share_z"),

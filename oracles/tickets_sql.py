@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.inputs import even, interpolated, query
+from oracles.inputs import even, exact_sum, interpolated, query
 from oracles.tests_sql import RANK_RESULT, box_steps, histogram_steps, rank_steps
 
 ORDERS, EVENTS, RATES = "fx_ticket_orders", "fx_ticket_events", "fx_rates"
@@ -105,8 +105,9 @@ def _heat(column: str) -> str:
     return f"round(({column} - min({column}) OVER ()) / nullif({span}, 0), 6) AS {column.removesuffix('_pct')}_heat"
 
 
-FIGURES = """round(sum(revenue_rub), 2) AS revenue, count(order_id) AS orders,
-             round(sum(revenue_rub) / count(order_id), 2) AS avg_order"""
+REVENUE = exact_sum("revenue_rub")
+FIGURES = f"""round({REVENUE}, 2) AS revenue, count(order_id) AS orders,
+              round({REVENUE} / count(order_id), 2) AS avg_order"""
 
 REGIONS = (
     "regions",
@@ -116,8 +117,8 @@ REGIONS = (
 REGION_SHARES = ("region_shares", f"SELECT *, {_share('events')}, {_share('orders')} FROM regions")
 PARTNERS = (
     "partners",
-    """SELECT service_name, count(order_id) AS orders, count(DISTINCT event_id) AS events,
-              sum(revenue_rub) AS total_revenue FROM tickets WHERE season = 'осень' GROUP BY service_name""",
+    f"""SELECT service_name, count(order_id) AS orders, count(DISTINCT event_id) AS events,
+              {REVENUE} AS total_revenue FROM tickets WHERE season = 'осень' GROUP BY service_name""",
 )
 PARTNER_SHARES = (
     "partner_shares", f"SELECT *, {_share('events')}, {_share('orders')}, {_share('total_revenue')} FROM partners"
@@ -149,11 +150,11 @@ def statements() -> dict[str, str]:
     event_mix, event_body = _mix("event_type_main")
     device_mix, device_body = _mix("device_type_canonical")
     age_mix, age_body = _mix("age_limit")
-    prices = ", ".join(
-        f"round(avg(one_ticket_revenue_rub) FILTER (WHERE season = '{label}'), 4) AS {n}, "
-        f"avg(one_ticket_revenue_rub) FILTER (WHERE season = '{label}') AS raw_{n}"
-        for n, label in SEASONS.items()
-    )
+    def season_mean(label: str) -> str:
+        inside = f"(CASE WHEN season = '{label}' THEN one_ticket_revenue_rub END)"
+        return f"{exact_sum(inside)} / nullif(count({inside}), 0)"
+
+    prices = ", ".join(f"{season_mean(label)} AS {n}" for n, label in SEASONS.items())
     filled = ["order_id", "user_id", "created_dt_msk", "event_id", "age_limit", "currency_code",
               "device_type_canonical", "revenue", "tickets_count", "service_name", "days_since_prev"]
     kinds = ["bigint", "bigint", "date", "bigint", "tinyint", "string", "string", "double", "tinyint", "string", "double"]
@@ -223,13 +224,13 @@ def statements() -> dict[str, str]:
         "pivot_age_season": _full([*TO_FULL, *age_mix], age_body),
         "ticket_price_change": _full(
             [*TO_FULL, ("means", f"SELECT event_type_main, {prices} FROM tickets WHERE event_type_main IS NOT NULL GROUP BY 1"),
-             ("changes", "SELECT *, (raw_autumn - raw_summer) / nullif(raw_summer, 0) * 100 AS change FROM means")],
-            """SELECT event_type_main, spring, summer, autumn, winter, round(change, 4) AS change_pct,
+             ("changes", "SELECT *, (autumn - summer) / nullif(summer, 0) * 100 AS change FROM means")],
+            f"""SELECT event_type_main, {', '.join(f'round({n}, 4) AS {n}' for n in SEASONS)}, round(change, 4) AS change_pct,
                       CASE WHEN change IS NULL THEN 'missing' WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down'
                            ELSE 'zero' END AS change_class FROM changes"""),
         "daily_activity": _orders(TO_AUTUMN, f"""
             SELECT created_dt_msk, count(order_id) AS orders, count(DISTINCT user_id) AS unique_users,
-                   {even('CAST(sum(CAST(one_ticket_revenue_rub AS DECIMAL(24,6))) AS DOUBLE) / count(one_ticket_revenue_rub)', 2)} AS avg_one_ticket_revenue,
+                   {even(f"{exact_sum('one_ticket_revenue_rub')} / count(one_ticket_revenue_rub)", 2)} AS avg_one_ticket_revenue,
                    {even('CAST(count(order_id) AS DOUBLE) / count(DISTINCT user_id)', 2)} AS orders_per_user
             FROM autumn GROUP BY created_dt_msk"""),
         "orders_per_weekday": _weekday("count(order_id)", "orders"),
