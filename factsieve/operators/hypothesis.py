@@ -18,20 +18,26 @@ RANK_CELLS = 64
 def ranked_values(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """Distinct values of both samples with their counts and the rows that precede them.
 
-    The value axis is cut into rungs and cells (see ``order_statistics``). Totals per cell
-    give each cell its offset; inside a cell a running sum orders the values. No task sees
-    more than one cell, and no global sort takes place.
+    The value axis is cut into rungs and cells (see ``order_statistics``). Totals per rung
+    and per cell give each cell its offset; inside a cell a running sum orders the values.
+    No task orders more than one cell, and no global sort takes place. The table of rungs
+    has a fixed upper size whatever the data, so it is broadcast.
     """
     samples = measured(df.filter(F.col(group).isin(a, b)), value, [group]).withColumnRenamed(group, "_group")
     values = samples.groupBy("_v").agg(
         F.expr("count(*) AS _n"), F.count_if(F.col("_group") == a).alias("_n_a")
     )
     placed = values.selectExpr("*", RUNG)
-    spans = placed.groupBy("_rung").agg(F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"))
-    placed = placed.join(spans, "_rung").selectExpr("_v", "_n", "_n_a", "_rung", cell(RANK_CELLS))
-    cells = placed.groupBy("_rung", "_cell").agg(F.expr("sum(_n) AS _in_cell"))
-    cells = cells.selectExpr("_rung", "_cell", f"{before([], '_rung, _cell', '_in_cell')} AS _start")
-    located = placed.join(cells, ["_rung", "_cell"])
+    rungs = placed.groupBy("_rung").agg(
+        F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"), F.expr("sum(_n) AS _in_rung")
+    )
+    rungs = rungs.selectExpr("_rung", "_low", "_high", f"{before([], '_rung', '_in_rung')} AS _rung_start")
+    placed = placed.join(F.broadcast(rungs), "_rung").selectExpr(
+        "_v", "_n", "_n_a", "_rung", "_rung_start", cell(RANK_CELLS)
+    )
+    cells = placed.groupBy("_rung", "_cell", "_rung_start").agg(F.expr("sum(_n) AS _in_cell"))
+    start = f"_rung_start + {before(['_rung'], '_cell', '_in_cell')} AS _start"
+    located = placed.drop("_rung_start").join(cells.selectExpr("_rung", "_cell", start), ["_rung", "_cell"])
     return located.selectExpr("_v", "_n", "_n_a", f"_start + {before(['_rung', '_cell'], '_v')} AS _before")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from factsieve.operators.attach import known_keys
 from factsieve.sources.sizes import is_small
 
+# The logarithm of a double is below 710, so there are fewer than 2 * 710 * 512 rungs.
 RUNGS_PER_UNIT = 512
 CELLS_PER_RUNG = 1024
 
@@ -68,7 +69,7 @@ def quantiles(
     by = list(by or [])
     if is_small(df, small_input):
         return _built_in(measured(df, value, by), "_v", probs, by, kind)
-    return _on_ladder(measured(df, value, by), probs, by, kind)
+    return _on_ladder(measured(df, value, by), probs, by, kind, groups_bounded=not by)
 
 
 def _built_in(df: DataFrame, column: str, probs: dict[str, float], by: list[str], kind: str) -> DataFrame:
@@ -95,8 +96,17 @@ def _ranks(probs: dict[str, float], kind: str) -> dict[str, str]:
     return ranks
 
 
-def _on_ladder(values: DataFrame, probs: dict[str, float], by: list[str], kind: str) -> DataFrame:
+def _on_ladder(
+    values: DataFrame, probs: dict[str, float], by: list[str], kind: str, groups_bounded: bool
+) -> DataFrame:
+    """Exact percentiles by counts per rung, then per cell, then per value of a few cells.
+
+    Rungs and cells that hold a wanted rank number at most one per rank and group. Where the
+    number of groups is fixed by the caller they are broadcast; otherwise the session
+    decides by their measured size, and a hot group is split by rung, cell and value.
+    """
     ranks = _ranks(probs, kind)
+    small = F.broadcast if groups_bounded else (lambda table: table)
     keys = quoted(by)
     holds = " OR ".join(f"({rank} > _start AND {rank} <= _start + _n)" for rank in ranks.values())
     placed = values.selectExpr(*keys, "_v", RUNG)
@@ -106,14 +116,14 @@ def _on_ladder(values: DataFrame, probs: dict[str, float], by: list[str], kind:
     rungs = rungs.selectExpr("*", f"{before(by, '_rung')} AS _start", f"{whole} AS _total")
     rungs = rungs.filter(holds).drop("_n")
 
-    inside = placed.join(rungs, [*by, "_rung"]).selectExpr("*", cell(CELLS_PER_RUNG))
+    inside = placed.join(small(rungs), [*by, "_rung"]).selectExpr("*", cell(CELLS_PER_RUNG))
     counts = inside.groupBy(*by, "_rung", "_cell", "_start", "_total", "_v").agg(F.expr("count(*) AS _n"))
 
     cells = counts.groupBy(*by, "_rung", "_cell", "_start", "_total").agg(F.expr("sum(_n) AS _n"))
     offset = f"_start + {before([*by, '_rung'], '_cell')} AS _start"
     cells = cells.selectExpr(*keys, "_rung", "_cell", "_n", "_total", offset).filter(holds).drop("_n", "_total")
 
-    sorted_cells = counts.drop("_start").join(cells, [*by, "_rung", "_cell"])
+    sorted_cells = counts.drop("_start").join(small(cells), [*by, "_rung", "_cell"])
     first = f"_start + {before([*by, '_rung', '_cell'], '_v')} AS _start"
     ordered = sorted_cells.selectExpr(*keys, "_v", "_n", "_total", first)
     picked = [
@@ -156,7 +166,7 @@ def column_quantiles(
     level_names = {f"p{i}": p for i, p in enumerate(levels)}
     by_level = {p: name for name, p in level_names.items()}
     stacked = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns]).unpivot([], columns, "_column", "_value")
-    found = quantiles(stacked, "_value", level_names, ["_column"], kind, small_input)
+    found = _on_ladder(measured(stacked, "_value", ["_column"]), level_names, ["_column"], kind, groups_bounded=True)
     return found.agg(
         *[
             F.expr(f"max(CASE WHEN _column = '{column}' THEN {by_level[p]} END) AS `{name}`")

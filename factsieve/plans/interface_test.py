@@ -60,8 +60,8 @@ def early_purchases(test: Experiment, min_days: int | None = None) -> DataFrame:
     return early_events(test, min_days).filter(F.col("event_name") == PURCHASE)
 
 
-def conversion(test: Experiment) -> DataFrame:
-    return funnel.conversion(members(test), early_purchases(test), "group", "user_id")
+def conversion(test: Experiment, min_days: int | None = None) -> DataFrame:
+    return funnel.conversion(members(test), early_purchases(test, min_days), "group", "user_id")
 
 
 def registration_fanout(test: Experiment) -> DataFrame:

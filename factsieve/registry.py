@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factsieve.functions import labels
 from factsieve.functions.categories import days_label
 from factsieve.functions.rounding import half_even
 from factsieve.operators import joins, quality, summary
@@ -317,6 +318,11 @@ def revenue_by_device(s: tickets.Sales) -> DataFrame:
     return rounded(rounded(table, 2, "revenue", "avg_order"), 6, "revenue_pct")
 
 
+def revenue_by_region(s: tickets.Sales) -> DataFrame:
+    table = tickets.revenue_by_segment(tickets.clean_tickets(s), "region_name")
+    return rounded(rounded(table, 2, "revenue", "avg_order"), 6, "revenue_pct")
+
+
 def _top(key: str, k: int) -> Callable[[tickets.Sales], DataFrame]:
     return lambda s: rounded(tickets.top_segments(tickets.clean_tickets(s), key, k), 2, "revenue", "avg_order")
 
@@ -412,6 +418,9 @@ def queries() -> dict[str, Query]:
         # property
         "segment_profile": _market(property.segment_profile),
         "rooms_profile": _market(property.rooms_profile),
+        "rooms_profile_slow": _market(
+            lambda m: property.rooms_profile(m, labels.REGION_OTHER, labels.DAYS_OVER_YEAR)
+        ),
         "season_rank": _market(property.season_rank),
         "season_prices": _market(property.season_prices),
         "cities_count": _market(property.cities_count),
@@ -461,7 +470,9 @@ def queries() -> dict[str, Query]:
         "revenue_by_period": _sales(revenue_by_period),
         "revenue_by_segment": _sales(revenue_by_segment),
         "revenue_by_device": _sales(revenue_by_device),
+        "revenue_by_region": _sales(revenue_by_region),
         "top_regions": _sales(_top("region_name", 5)),
+        "top_cities": _sales(_top("city_name", 3)),
         "top_events": _sales(_top("event_id", 10)),
         # city usage
         "dedup_key": dedup_key,
@@ -478,6 +489,7 @@ def queries() -> dict[str, Query]:
         "ab_overlap": _test(ab_overlap),
         "users_by_group": _test(interface_test.users_by_group),
         "ab_conversion": _test(interface_test.conversion),
+        "ab_conversion_from_start": _test(lambda t: interface_test.conversion(t, min_days=0)),
         "hist_lifetime": _test(hist_lifetime),
         "sample_size_check": _test(interface_test.enough_users),
         "ztest_rows": ztest(interface_test.ztest_rows),

@@ -81,6 +81,20 @@ def statements() -> dict[str, str]:
         return f"""SELECT {by}, {decimals('avg(days_exposition)', 0)} AS avg_days_exp
                    FROM towns WHERE days_exposition IS NOT NULL GROUP BY {by}"""
 
+    def rooms(region: str, days_label: str) -> str:
+        return query(
+            [FLATS, ADS], [*TRIM, REMOVED],
+            f"""SELECT rooms, count(id) AS count_adv,
+                       {decimals('avg(days_exposition)', 0)} AS avg_days_exp,
+                       {decimals('avg(price_qm)', 0)} AS avg_price_qm,
+                       {decimals('avg(total_area)', 2)} AS avg_tot_area,
+                       {decimals('avg(ceiling_height)', 2)} AS avg_ceil_height,
+                       {_median('balcony', 'med_balcony')}, {_median('floor', 'med_floor')},
+                       {_median('floors_total', 'med_floors_tot')}
+                FROM removed WHERE region_cat = '{region}' AND category_days_exp = '{days_label}'
+                GROUP BY rooms""",
+        )
+
     return {
         "trim_bounds": query([FLATS], [LIMITS], "SELECT * FROM limits"),
         "trim_ids": query([FLATS], TRIM, "SELECT id FROM usual"),
@@ -118,18 +132,8 @@ def statements() -> dict[str, str]:
                        {decimals('count(id) FILTER (WHERE is_apartment = 1) * CAST(1 AS DOUBLE) / count(id)', 3)} AS percent_apart
                 FROM removed GROUP BY region_cat, category_days_exp""",
         ),
-        "rooms_profile": query(
-            [FLATS, ADS], [*TRIM, REMOVED],
-            f"""SELECT rooms, count(id) AS count_adv,
-                       {decimals('avg(days_exposition)', 0)} AS avg_days_exp,
-                       {decimals('avg(price_qm)', 0)} AS avg_price_qm,
-                       {decimals('avg(total_area)', 2)} AS avg_tot_area,
-                       {decimals('avg(ceiling_height)', 2)} AS avg_ceil_height,
-                       {_median('balcony', 'med_balcony')}, {_median('floor', 'med_floor')},
-                       {_median('floors_total', 'med_floors_tot')}
-                FROM removed WHERE region_cat = 'Санкт-Петербург' AND category_days_exp = 'Меньше месяца'
-                GROUP BY rooms""",
-        ),
+        "rooms_profile": rooms("Санкт-Петербург", "Меньше месяца"),
+        "rooms_profile_slow": rooms("Лен область", "Больше года"),
         "season_rank": query(
             [FLATS, ADS],
             [

@@ -43,6 +43,9 @@ CONVERSION = (
 )
 
 
+FROM_START = ("from_start", "SELECT * FROM bought WHERE lifetime_days >= 0")
+
+
 def _counts(n: str, m: str) -> tuple[str, str]:
     def one(side: str, relation: str, what: str) -> str:
         return f"""(SELECT {what} FROM {relation} WHERE "group" = '{side}')"""
@@ -112,6 +115,11 @@ def statements() -> dict[str, str]:
                    count(DISTINCT user_id) >= 3759 AS enough FROM merged GROUP BY 1"""),
         "ab_conversion": query(test, [*TO_BOUGHT, CONVERSION], f"""
             SELECT "group", total_users, buyers, {even('CAST(buyers AS DOUBLE) / total_users * 100', 2)} AS conversion FROM conversion"""),
+        "ab_conversion_from_start": query(test, [*TO_BOUGHT, FROM_START], f"""
+            SELECT m."group", count(DISTINCT m.user_id) AS total_users,
+                   nullif(count(DISTINCT b.user_id), 0) AS buyers,
+                   {even('CAST(nullif(count(DISTINCT b.user_id), 0) AS DOUBLE) / count(DISTINCT m.user_id) * 100', 2)} AS conversion
+            FROM members m LEFT JOIN from_start b ON b.user_id = m.user_id GROUP BY 1"""),
         "hist_lifetime": query(test, [*TO_BOUGHT, *histogram_steps("bought", "lifetime_days", 20)], "SELECT * FROM hist"),
         "ztest_rows": query(test, [*TO_BOUGHT, _counts("early", "bought"), *share_steps("counts")], SHARE_RESULT),
         "ztest_users": query(

@@ -133,7 +133,7 @@ def _weekday(counted: str, name: str) -> str:
 
 
 def _segments(key: str) -> str:
-    return f"""SELECT {key}, {FIGURES}, round(100 * sum(revenue_rub) / sum(sum(revenue_rub)) OVER (), 6) AS revenue_pct
+    return f"""SELECT {key}, {FIGURES}, round({REVENUE} / sum({REVENUE}) OVER () * 100, 6) AS revenue_pct
                FROM tickets WHERE {key} IS NOT NULL GROUP BY {key}"""
 
 
@@ -274,6 +274,8 @@ def statements() -> dict[str, str]:
             SELECT CAST(date_trunc('month', created_dt_msk) AS DATE) AS period, {FIGURES} FROM clean GROUP BY 1"""),
         "revenue_by_segment": _full(TO_FULL, _segments("event_type_main")),
         "revenue_by_device": _full(TO_FULL, _segments("device_type_canonical")),
+        "revenue_by_region": _full(TO_FULL, _segments("region_name")),
+        "top_cities": _full(TO_FULL, _top("city_name", 3)),
         "top_regions": _full(TO_FULL, _top("region_name", 5)),
         "top_events": _full(TO_FULL, _top("event_id", 10)),
     }
