@@ -28,6 +28,17 @@ def attach(df: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     return held.select(*df.columns, *[F.col("_row").getField(n).alias(n) for n in names])
 
 
+def read_once(df: DataFrame) -> DataFrame:
+    """The same rows, marked for use by several steps of one query.
+
+    Spark runs a shuffle once for all its readers if they plan it alike. Readers that need
+    different columns, or filter the rows, do not: the optimizer moves both below the
+    shuffle. The condition here is always true, names every column and counts as not
+    deterministic, so neither columns nor filters move past it, and the shuffle is shared.
+    """
+    return df.filter(F.spark_partition_id() >= F.least(F.lit(0), F.hash(*df.columns)))
+
+
 def known_keys(df: DataFrame, by: list[str]) -> DataFrame:
     """Drop rows whose group key is NULL, as grouping in the original analyses does.
 

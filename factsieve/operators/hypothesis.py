@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.normal import upper_tail
 from factsieve.functions.rounding import ratio
+from factsieve.operators.attach import read_once
 from factsieve.operators.order_statistics import RUNG, before, cell, measured
+from factsieve.sources.sizes import is_small
 
 RANK_CELLS = 64
 
 
-def ranked_values(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
+def ranked_values(
+    df: DataFrame, value: str, group: str, a: str, b: str, small_input: int | None = None
+) -> DataFrame:
     """Distinct values of both samples with their counts and the rows that precede them.
 
-    The value axis is cut into rungs and cells (see ``order_statistics``). Totals per rung
+    While the files under the plan are small, one running sum over the distinct values does.
+    Beyond that (or beyond ``small_input`` bytes) the value axis is cut into rungs and cells (see ``order_statistics``). Totals per rung
     and per cell give each cell its offset; inside a cell a running sum orders the values.
     No task orders more than one cell, and no global sort takes place. The table of rungs
     has a fixed upper size whatever the data, so it is broadcast.
@@ -27,7 +32,9 @@ def ranked_values(df: DataFrame, value: str, group: str, a: str, b: str) -> Data
     values = samples.groupBy("_v").agg(
         F.expr("count(*) AS _n"), F.count_if(F.col("_group") == a).alias("_n_a")
     )
-    placed = values.selectExpr("*", RUNG)
+    if is_small(df, small_input):
+        return values.selectExpr("_v", "_n", "_n_a", f"{before([], '_v')} AS _before")
+    placed = read_once(values).selectExpr("*", RUNG)
     rungs = placed.groupBy("_rung").agg(
         F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"), F.expr("sum(_n) AS _in_rung")
     )
@@ -42,7 +49,14 @@ def ranked_values(df: DataFrame, value: str, group: str, a: str, b: str) -> Data
 
 
 def mann_whitney(
-    df: DataFrame, value: str, group: str, a: str, b: str, alternative: str = "two-sided", alpha: float = 0.05
+    df: DataFrame,
+    value: str,
+    group: str,
+    a: str,
+    b: str,
+    alternative: str = "two-sided",
+    alpha: float = 0.05,
+    small_input: int | None = None,
 ) -> DataFrame:
     """Rank-sum test of sample a against sample b, with tie and continuity corrections.
 
@@ -51,7 +65,7 @@ def mann_whitney(
     at most 8 values, for which an exact distribution would differ. Rank sums are added
     as twice their value in decimals, so they stay exact beyond 2^53.
     """
-    ranked = ranked_values(df, value, group, a, b)
+    ranked = ranked_values(df, value, group, a, b, small_input)
     ranks = "CAST(_n_a AS DECIMAL(20,0)) * (CAST(_before AS DECIMAL(20,0)) * 2 + _n + 1)"
     ties = "CAST(_n AS DOUBLE)"
     sums = ranked.agg(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsieve.functions.rounding import exact_mean, half_even, percent, ratio
 from factsieve.operators.attach import attach, known_keys
-from factsieve.operators.order_statistics import measured, quantiles
+from factsieve.operators.order_statistics import measured
 from factsieve.operators.trimming import iqr_fences
 
 
@@ -27,33 +27,38 @@ def pivot_mean(df: DataFrame, row: str, column: str, values: dict[str, str], ave
     return pivoted.select(row, *[F.col(f"`{v}`").alias(name) for v, name in values.items()])
 
 
+# The next three take grouped results: one row per category. Totals, extremes and means over
+# all categories are windows without partition, so those few rows meet in one task, and the
+# grouping below them runs once. They are not meant for tables at row level.
+
+
+def _over_all(function, column: str) -> Column:
+    return function(column).over(Window.partitionBy())
+
+
 def column_shares(table: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """Every cell as a percentage of its column total, ``<column>_pct``."""
-    totals = table.agg(*[F.sum(c).alias(f"{c}_sum") for c in columns])
-    shares = {f"{c}_pct": half_even(percent(F.col(c), F.col(f"{c}_sum")), digits) for c in columns}
-    return attach(table, totals, []).withColumns(shares).drop(*totals.columns)
+    return table.withColumns(
+        {f"{c}_pct": half_even(percent(F.col(c), _over_all(F.sum, c)), digits) for c in columns}
+    )
 
 
 def add_share(table: DataFrame, columns: list[str], shaded: list[str] | None = None) -> DataFrame:
     """Unrounded percentage of the column total beside each column.
 
     ``shaded`` columns also get ``<column>_heat``: where the share lies between the lowest
-    and the highest one, 0 to 1 (cell shading). Totals and extremes are one aggregate row.
+    and the highest one, 0 to 1 (cell shading).
     """
-    shaded = list(shaded or [])
-    figures = [F.sum(c).alias(f"{c}_sum") for c in columns]
-    figures += [f(c).alias(f"{c}_{end}") for c in shaded for end, f in (("low", F.min), ("high", F.max))]
-    held = table.agg(*figures)
-    added = {f"{c}_pct": percent(F.col(c), F.col(f"{c}_sum")) for c in columns}
-    for c in shaded:
-        low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
-        added[f"{c}_heat"] = ratio(F.col(c) - low, high - low)
-    return attach(table, held, []).withColumns(added).drop(*held.columns)
+    added = {f"{c}_pct": percent(F.col(c), _over_all(F.sum, c)) for c in columns}
+    for c in shaded or []:
+        low = _over_all(F.min, c)
+        added[f"{c}_heat"] = ratio(F.col(c) - low, _over_all(F.max, c) - low)
+    return table.withColumns(added)
 
 
 def add_mean(table: DataFrame, column: str, name: str) -> DataFrame:
     """The column's mean over all rows, as a reference line."""
-    return table.withColumn(name, table.agg(F.avg(column)).scalar())
+    return table.withColumn(name, _over_all(F.avg, column))
 
 
 def distinct_count(key: str, approximate: float | None = None) -> Column:
@@ -125,15 +130,14 @@ def box_stats(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     inside = x.between(F.col("fence_low"), F.col("fence_high"))
     spans = (
         attach(rows, fences, by)
-        .groupBy(*by, "q1", "q3")
+        .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, x)).alias("_low"),
             F.max(F.when(inside, x)).alias("_high"),
             F.count_if(~inside).alias("outliers"),
         )
     )
-    medians = quantiles(df, value, {"median": 0.5}, by)
-    return attach(spans, medians, by).select(
+    return spans.select(
         *by,
         "q1",
         "median",

@@ -80,13 +80,11 @@ def cap_values(df: DataFrame, caps: dict[str, float]) -> DataFrame:
 
 
 def iqr_fences(df: DataFrame, value: str, by: list[str] | None = None, k: float = 1.5) -> DataFrame:
-    """Quartiles and the fences ``k`` quartile ranges outside them, per group."""
+    """Quartiles, median, and the fences ``k`` quartile ranges outside the box, per group."""
     by = list(by or [])
-    q = quantiles(df, value, {"q1": 0.25, "q3": 0.75}, by)
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     spread = F.col("q3") - F.col("q1")
-    return q.select(
-        *by, "q1", "q3", (F.col("q1") - k * spread).alias("fence_low"), (F.col("q3") + k * spread).alias("fence_high")
-    )
+    return q.withColumns({"fence_low": F.col("q1") - k * spread, "fence_high": F.col("q3") + k * spread})
 
 
 def iqr_filter(df: DataFrame, value: str, by: list[str] | None = None, k: float = 1.5) -> DataFrame:

@@ -13,6 +13,7 @@ from factsieve.functions.calendar import is_weekend, iso_weekday, season
 from factsieve.functions.categories import change_class, in_home_currency, unit_price
 from factsieve.functions.rounding import exact_mean, exact_sum, half_even, percent, ratio
 from factsieve.operators import summary
+from factsieve.operators.attach import read_once
 from factsieve.operators.hypothesis import mann_whitney
 from factsieve.operators.quality import drop_hidden_duplicates, narrow_integers, replace_labels, top_k
 from factsieve.operators.trimming import cap_values, percentile_cap
@@ -71,9 +72,11 @@ def deduplicated(sales: Sales) -> DataFrame:
 
     Everything joined or derived depends on an order's own columns only, so rows that agree
     in those agree in all. Duplicates are dropped first, on the narrow order rows, and the
-    joins see each order once.
+    joins see each order once. The caps need all these orders, so whatever part of them a
+    query goes on with, both read one shuffle.
     """
-    return derived(with_rates(drop_hidden_duplicates(sales.orders(), "order_id"), sales))
+    orders = read_once(drop_hidden_duplicates(sales.orders(), "order_id"))
+    return derived(with_rates(orders, sales))
 
 
 def clean_orders(sales: Sales) -> DataFrame:

@@ -19,6 +19,7 @@ from factsieve.plans import city_usage, interface_test, property, tickets
 from factsieve.session import scratch_path
 from factsieve.sources import standins
 from factsieve.sources.readers import load, read_csv
+from factsieve.sources.sizes import NEVER_SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,12 +154,13 @@ def iqr_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def iqr_bounds(spark: SparkSession, folder: str) -> DataFrame:
     found = iqr_fences(gaps_by_device(spark, folder), "days_since_prev", ["device_type_canonical"])
-    return rounded(found, 6, "q1", "q3", "fence_low", "fence_high")
+    return rounded(found.drop("median"), 6, "q1", "q3", "fence_low", "fence_high")
 
 
 def price_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     levels = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
-    found = quantiles(load(spark, folder, "lineitem"), "l_extendedprice", levels, ["l_returnflag"])
+    rows = load(spark, folder, "lineitem")
+    found = quantiles(rows, "l_extendedprice", levels, ["l_returnflag"], small_input=NEVER_SMALL)
     return rounded(found, 6, *levels)
 
 
@@ -350,7 +352,8 @@ def hist_value(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mw_value(spark: SparkSession, folder: str) -> DataFrame:
-    return tested(mann_whitney(load(spark, folder, "events"), "value", "event_type", "purchase", "click"))
+    rows = load(spark, folder, "events")
+    return tested(mann_whitney(rows, "value", "event_type", "purchase", "click", small_input=NEVER_SMALL))
 
 
 def mw_city_hours(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 SMALL_INPUT = 256 * 1024 * 1024
+NEVER_SMALL = -1  # as a limit: always take the way for large inputs
 
 
 def source_bytes(df: DataFrame) -> float:

@@ -38,10 +38,10 @@ def samples(spark, a, b):
 
 
 @pytest.mark.parametrize("name", list(SAMPLES))
-@pytest.mark.parametrize("alternative", ["greater", "less", "two-sided"])
-def test_mann_whitney_equals_brute_force(spark, name, alternative):
+@pytest.mark.parametrize("alternative,path", [("greater", -1), ("less", 1 << 60), ("two-sided", -1), ("two-sided", 1 << 60)])
+def test_mann_whitney_equals_brute_force(spark, name, alternative, path):
     a, b = SAMPLES[name]
-    row = mann_whitney(samples(spark, a, b), "x", "g", "a", "b", alternative).first()
+    row = mann_whitney(samples(spark, a, b), "x", "g", "a", "b", alternative, small_input=path).first()
     u, z, p = brute(a, b, alternative)
     assert (row.n_a, row.n_b, row.u) == (len(a), len(b), u)
     assert row.z == pytest.approx(z, rel=1e-12, abs=1e-12) and row.p_value == pytest.approx(p, rel=1e-11)
@@ -49,10 +49,11 @@ def test_mann_whitney_equals_brute_force(spark, name, alternative):
 
 
 def test_mann_whitney_without_spread_or_rows(spark):
-    equal = mann_whitney(samples(spark, [1.0] * 5, [1.0] * 4), "x", "g", "a", "b").first()
-    assert (equal.n_a, equal.n_b, equal.u, equal.p_value) == (5, 4, 10.0, 1.0)
-    empty = mann_whitney(samples(spark, [], []), "x", "g", "a", "b").first()
-    assert (empty.n_a, empty.n_b, empty.p_value) == (0, 0, None)
+    for path in (-1, 1 << 60):
+        equal = mann_whitney(samples(spark, [1.0] * 5, [1.0] * 4), "x", "g", "a", "b", small_input=path).first()
+        assert (equal.n_a, equal.n_b, equal.u, equal.p_value) == (5, 4, 10.0, 1.0)
+        empty = mann_whitney(samples(spark, [], []), "x", "g", "a", "b", small_input=path).first()
+        assert (empty.n_a, empty.n_b, empty.p_value) == (0, 0, None)
 
 
 def test_published_conversion_figures(spark):
