@@ -1,9 +1,12 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-Words, sign runs and pairs of neighbours are hashed into buckets. The raw model counts them over
-all documents, the target model over a bounded sample of documents labelled good. A document's
-log weight is the sum of log(target / raw) over its n-grams. Adding Gumbel noise and taking the
-k largest keys draws k documents without replacement, in proportion to their weights.
+A text is read as runs of word characters and of signs. A word stands for its shape (number,
+capitals, capitalised, other) or for "same as before", a sign run for itself; so a small labelled
+sample is enough whatever the language. The one-, two- and three-grams of these are hashed into buckets.
+The raw model counts them over all documents, the target model over a bounded sample of
+documents labelled good. A document's log weight is the sum of log(target / raw) over its
+n-grams. Adding Gumbel noise and taking the k largest keys draws k documents without
+replacement, in proportion to their weights.
 
 ``k`` follows from the data: raw text is a mixture of which the labelled share p is target
 text, so p times the weight, at most one, is the chance that a document belongs to the target;
@@ -19,8 +22,6 @@ drawn. Null ids take part. Empty tables give no rows.
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,20 +34,52 @@ from pyspark.sql import functions as F
 from factsieve.llm.batches import filter_rows, map_rows, raw
 from factsieve.llm.storage import checkpointed
 
-BUCKET_BITS = 16
+BUCKET_BITS = 14
 #: Labelled good documents whose n-grams make up the target model.
 TARGET_DOCUMENTS = 5000
 SEED = 20
-_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _DIGIT = 16
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+# Kinds of byte: 0 white space, 1 a-z, 2 A-Z, 3 digit, 4 part of a non-ASCII character, 5 sign.
+_KIND = np.array(
+    [
+        0 if b in b" \t\n\r\v\f" else 4 if b >= 0x80 else 3 if chr(b).isdigit() else 1 if chr(b).islower() else 2 if chr(b).isupper() else 5
+        for b in range(256)
+    ],
+    np.uint8,
+)
+_POWER = np.cumprod(np.full(64, _PRIME, np.uint64))
+
+
+def shapes(text: bytes | None) -> np.ndarray:
+    """One code per run of a text: 1 to 4 for word shapes, 5 for a repeat, a hash for signs."""
+    data = np.frombuffer(text or b"", np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    kind = _KIND[data]
+    group = np.where(kind == 5, 2, kind > 0)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    length = np.diff(np.r_[starts, len(data)])
+    place = (np.arange(len(data)) - np.repeat(starts, length)) & 63
+    name = np.add.reduceat(_POWER[place] * (data + np.uint64(1)), starts)
+    small, large = (np.add.reduceat((kind == k).astype(np.int64), starts) for k in (1, 2))
+    number = np.add.reduceat((kind == 3).astype(np.int64), starts) == length
+    capital = (small == 0) & (large > 0) & (length > 1)
+    code = np.where(number, 1, np.where(capital, 2, np.where(kind[starts] == 2, 3, 4))).astype(np.uint64)
+    code = np.where(group[starts] == 2, name | np.uint64(1 << 63), code)
+    full = group[starts] > 0
+    code, name = code[full], name[full]
+    code[1:][name[1:] == name[:-1]] = 5
+    return code
 
 
 def buckets(text: bytes | None) -> np.ndarray:
-    """The bucket of every word, sign run and neighbouring pair."""
-    tokens = _TOKEN.findall(text) if text else []
-    one = np.fromiter(map(zlib.crc32, tokens), np.uint64, len(tokens))
-    two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] + np.uint64(1)
-    mixed = np.concatenate([one, two]) * np.uint64(0xD6E8FEB86659FD93)
+    """The bucket of every one-, two- and three-gram of a text's codes."""
+    one = shapes(text) * _PRIME + np.uint64(1)
+    two = (one[:-1] ^ (one[:-1] >> np.uint64(29))) * _PRIME + one[1:]
+    three = (two[:-1] ^ (two[:-1] >> np.uint64(31))) * _PRIME + one[2:]
+    mixed = np.concatenate([one, two, three])
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
@@ -89,11 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_DOCUMENTS) -> M
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket long, r long, t long")
     sums = rows.groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t")).collect()
-    counts = np.ones((2, 1 << BUCKET_BITS))
+    counts = np.zeros((2, 1 << BUCKET_BITS))
     for row in sums:
-        counts[:, row["bucket"]] += row["r"], row["t"]
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return Model(logs[1] - logs[0], share)
+        counts[:, row["bucket"]] = row["r"], row["t"]
+    common = (counts[0] + 1) / (counts[0].sum() + len(counts[0]))
+    # where the sample says little, the target model falls back on the raw one
+    chosen = (counts[1] + len(common) * common) / (counts[1].sum() + len(common))
+    return Model(np.log(chosen) - np.log(common), share)
 
 
 def _ordered(key: float) -> int:
