@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factsieve.llm import decontam, language, packing, quality, simhash
+from factsieve.llm import (
+    cover_tree,
+    decontam,
+    html_extract,
+    language,
+    licenses,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+)
+
+#: The shards that the placement query fills.
+SHARDS = [f"shard-{k:02d}" for k in range(32)]
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,11 +34,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(_read(spark, folder, "pages"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, folder, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_read(spark, folder, "documents")).drop("detections")
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"), tokenizer_path())
 
@@ -38,12 +60,35 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, language.learn(docs))
 
 
+def op7_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.near_duplicates(_read(spark, folder, "embeddings"))
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count(token_counts.with_edits(_read(spark, folder, "documents")), tokenizer_path())
+
+
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(_read(spark, folder, "documents"), SHARDS)
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash, op4_packing, op5_quality, op6_language, op10_decontaminate]
+    found = [
+        op1_extract,
+        op2_simhash,
+        op3_licenses,
+        op4_packing,
+        op5_quality,
+        op6_language,
+        op7_embeddings,
+        op8_token_counts,
+        op9_sharding,
+        op10_decontaminate,
+    ]
     return {f.__name__: f for f in found}
 
 
