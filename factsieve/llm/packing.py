@@ -131,7 +131,7 @@ def repeats(counts: dict[int, int], window: int, unit: int, shortest: int) -> li
     for b in np.flatnonzero(use @ times > supply):
         over = int(use[b] @ times - supply[b])
         for k in sorted(np.flatnonzero((use[b] > 0) & (times > 0)), key=lambda k: -times[k]):
-            cut = min(int(times[k]), -(-over // int(use[b, k])))
+            cut = min(int(times[k]), -(-max(over, 0) // int(use[b, k])))  # earlier cuts may have been enough
             times[k] -= cut
             over -= cut * int(use[b, k])
             if over <= 0:
