@@ -15,14 +15,22 @@ def scalar_row(values: DataFrame) -> Column:
     return values.select(F.struct(*values.columns).alias("row")).scalar()
 
 
+#: A group's rows are dealt to so many tasks where group values are joined by a shuffle.
+SALTS = 32
+
+
 def attach(df: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     """Add the columns of ``values`` to each row: by group key, or its single row to all.
 
-    The grouped join carries no hint: the side is broadcast only while its measured size
-    is below the session's threshold, else both sides are shuffled on the key.
+    ``values`` has one row per group. It is repeated for every salt and joined on key and salt,
+    so that a group of any size is spread over tasks where the side is too large for
+    the session's broadcast threshold.
     """
     if by:
-        return df.join(values, by)
+        own = F.xxhash64(*[c for c in df.columns if c not in by] or by)
+        salted = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = df.withColumn("_salt", F.pmod(own, F.lit(SALTS)).cast("int"))
+        return rows.join(salted, [*by, "_salt"]).drop("_salt")
     names = [c for c in values.columns]
     held = df.withColumn("_row", scalar_row(values))
     return held.select(*df.columns, *[F.col("_row").getField(n).alias(n) for n in names])

@@ -10,42 +10,35 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.normal import upper_tail
 from factsieve.functions.rounding import ratio
-from factsieve.operators.attach import read_once
-from factsieve.operators.order_statistics import RUNG, before, cell, measured
-from factsieve.sources.sizes import is_small
+from factsieve.operators.order_statistics import before, measured
 
-RANK_CELLS = 64
 
+def rank_sums(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
+    """One row: sample sizes, twice the rank sum of sample a, and the tie term.
 
-def ranked_values(
-    df: DataFrame, value: str, group: str, a: str, b: str, small_input: int | None = None
-) -> DataFrame:
-    """Distinct values of both samples with their counts and the rows that precede them.
-
-    While the files under the plan are small, one running sum over the distinct values does.
-    Beyond that (or beyond ``small_input`` bytes) the value axis is cut into rungs and cells (see ``order_statistics``). Totals per rung
-    and per cell give each cell its offset; inside a cell a running sum orders the values.
-    No task orders more than one cell, and no global sort takes place. The table of rungs
-    has a fixed upper size whatever the data, so it is broadcast.
+    Rows are reduced to counts per distinct value, and these are dealt to tasks by range. In
+    a range of values the rank sum needs only the counts ahead of it inside the range; what the
+    ranges before add to it is their total count, once per row of sample a. So a range becomes one
+    row, and one running total over as many rows as there are shuffle partitions does the rest.
     """
     samples = measured(df.filter(F.col(group).isin(a, b)), value, [group]).withColumnRenamed(group, "_group")
-    values = samples.groupBy("_v").agg(
-        F.expr("count(*) AS _n"), F.count_if(F.col("_group") == a).alias("_n_a")
+    values = samples.groupBy("_v").agg(F.expr("count(*) AS _n"), F.count_if(F.col("_group") == a).alias("_n_a"))
+    dealt = values.repartitionByRange("_v").withColumn("_range", F.spark_partition_id())
+    ordered = dealt.selectExpr("*", f"{before(['_range'], '_v')} AS _before")
+    own = "CAST(_n_a AS DECIMAL(20,0)) * (CAST(_before AS DECIMAL(20,0)) * 2 + _n + 1)"
+    ranges = ordered.groupBy("_range").agg(
+        F.expr("sum(_n) AS _n"),
+        F.expr("sum(_n_a) AS _n_a"),
+        F.expr(f"sum(CAST({own} AS DECIMAL(38,0))) AS _own"),
+        F.expr("sum(CAST(_n AS DOUBLE) * _n * _n - _n) AS _ties"),
     )
-    if is_small(df, small_input):
-        return values.selectExpr("_v", "_n", "_n_a", f"{before([], '_v')} AS _before")
-    placed = read_once(values).selectExpr("*", RUNG)
-    rungs = placed.groupBy("_rung").agg(
-        F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"), F.expr("sum(_n) AS _in_rung")
-    )
-    rungs = rungs.selectExpr("_rung", "_low", "_high", f"{before([], '_rung', '_in_rung')} AS _rung_start")
-    placed = placed.join(F.broadcast(rungs), "_rung").selectExpr(
-        "_v", "_n", "_n_a", "_rung", "_rung_start", cell(RANK_CELLS)
+    ranges = ranges.selectExpr("*", f"{before([], '_range')} AS _ahead")
+    return ranges.agg(
+        F.expr("coalesce(sum(_n_a), 0L) AS n_a"),
+        F.expr("coalesce(sum(_n) - sum(_n_a), 0L) AS n_b"),
+        F.expr("sum(_own + CAST(_n_a AS DECIMAL(18,0)) * CAST(_ahead AS DECIMAL(18,0)) * 2) AS _twice_ranks"),
+        F.expr("sum(_ties) AS _ties"),
     )
-    cells = placed.groupBy("_rung", "_cell", "_rung_start").agg(F.expr("sum(_n) AS _in_cell"))
-    start = f"_rung_start + {before(['_rung'], '_cell', '_in_cell')} AS _start"
-    located = placed.drop("_rung_start").join(cells.selectExpr("_rung", "_cell", start), ["_rung", "_cell"])
-    return located.selectExpr("_v", "_n", "_n_a", f"_start + {before(['_rung', '_cell'], '_v')} AS _before")
 
 
 def mann_whitney(
@@ -56,7 +49,6 @@ def mann_whitney(
     b: str,
     alternative: str = "two-sided",
     alpha: float = 0.05,
-    small_input: int | None = None,
 ) -> DataFrame:
     """Rank-sum test of sample a against sample b, with tie and continuity corrections.
 
@@ -65,15 +57,7 @@ def mann_whitney(
     at most 8 values, for which an exact distribution would differ. Rank sums are added
     as twice their value in decimals, so they stay exact beyond 2^53.
     """
-    ranked = ranked_values(df, value, group, a, b, small_input)
-    ranks = "CAST(_n_a AS DECIMAL(20,0)) * (CAST(_before AS DECIMAL(20,0)) * 2 + _n + 1)"
-    ties = "CAST(_n AS DOUBLE)"
-    sums = ranked.agg(
-        F.expr("coalesce(sum(_n_a), 0L) AS n_a"),
-        F.expr("coalesce(sum(_n) - sum(_n_a), 0L) AS n_b"),
-        F.expr(f"sum(CAST({ranks} AS DECIMAL(38,0))) AS _twice_ranks"),
-        F.expr(f"sum({ties} * {ties} * {ties} - {ties}) AS _ties"),
-    )
+    sums = rank_sums(df, value, group, a, b)
     a_n, b_n = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     lowest = "CAST(n_a AS DECIMAL(19,0)) * CAST(n_a + 1 AS DECIMAL(19,0))"
     scored = sums.withColumn("u", F.expr(f"CAST(_twice_ranks - {lowest} AS DOUBLE) / 2D"))

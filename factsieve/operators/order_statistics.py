@@ -1,15 +1,14 @@
-"""Exact percentiles: built-in for small inputs, a value ladder for large ones.
-
-The built-in exact percentile keeps a count per distinct value and ends in one task per
-group. That is the fastest way while the input is small, which is checked against the size
-of the files under the plan. Beyond that limit the ladder takes over.
-
-On the ladder, values lie on a coarse rung (logarithm of the size, so any scale of data
-spreads over it) and, inside a rung, in a fine cell (linear between the rung's own smallest
-and largest value). Both maps never reverse the order of two values, so counts per rung and
-per cell locate the wanted ranks exactly, whatever the distribution. Only the values of
-cells that hold a wanted rank are ever sorted. Rungs and cells are bounded in number, and
-every count is pre-aggregated before its shuffle, so repeated values cost nothing.
+"""Exact percentiles in two passes over the values, the same way at every size.
+
+The first pass takes a bounded sketch of each column (``percentile_approx``) and from it, for
+every wanted level, two values that enclose its rank with a margin of several times the
+sketch's error. The second pass counts rows: values inside a bracket one by one, all others by
+the gap between brackets they fall in, with the gap's extremes. Running totals over these counts
+place every rank exactly; that the sketch varies between runs does not change the result.
+
+A bracket holds at most ``BRACKET_SHARE`` of the rows (more only where they are equal, and
+equal values are one count), so no task ever sorts a larger share of a group's values.
+Counts are added up before the shuffle, so a hot group or value costs one row per task.
 """
 
 from __future__ import annotations
@@ -17,21 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.operators.attach import known_keys
-from factsieve.sources.sizes import is_small
-
-# The logarithm of a double is below 710, so there are fewer than 2 * 710 * 512 rungs.
-RUNGS_PER_UNIT = 512
-CELLS_PER_RUNG = 1024
-
-# Coarse position of _v: never decreasing in the value; negative values lie below zero.
-_SIZE = f"floor(least(log1p(abs(_v)) * {RUNGS_PER_UNIT}D, 1e15D))"
-RUNG = f"CASE WHEN _v < 0 THEN -{_SIZE} - 1 ELSE {_SIZE} END AS _rung"
-
+from factsieve.operators.attach import attach, known_keys, scalar_row
 
-def cell(cells: int) -> str:
-    """Fine position of _v between the smallest (_low) and largest (_high) value of its rung."""
-    return f"CASE WHEN _high > _low THEN floor((_v - _low) / (_high - _low) * {cells}D) ELSE 0L END AS _cell"
+# Error of the sketch as a share of the rows; its buffer has about so many entries.
+ACCURACY = 50_000
+MARGIN = 4 / ACCURACY
+BRACKET_SHARE = 2 * MARGIN + 4 / ACCURACY
 
 
 def before(keys: list[str], order: str, count: str = "_n") -> str:
@@ -52,84 +42,111 @@ def measured(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: list[str] | None = None,
-    kind: str = "interpolated",
-    small_input: int | None = None,
+    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, kind: str = "interpolated"
 ) -> DataFrame:
     """Exact percentiles of one column, one output column per entry of ``probs``.
 
     ``kind='discrete'`` returns the first value whose rank reaches ``p * n`` (SQL
     ``percentile_disc``); ``'interpolated'`` returns the linear blend of the two values
     around ``p * (n - 1)``. NULL and NaN values, and NULL group keys, are left out.
-    ``small_input`` overrides the size in bytes up to which the built-in is used.
     """
     by = list(by or [])
-    if is_small(df, small_input):
-        return _built_in(measured(df, value, by), "_v", probs, by, kind)
-    return _on_ladder(measured(df, value, by), probs, by, kind, groups_bounded=not by)
+    levels = sorted(set(probs.values()))
+    rows = measured(df, value, by)
+    brackets = rows.groupBy(*by).agg(F.expr(f"{_sketch('_v', levels)} AS _ends"))
+    placed = attach(rows, brackets, by).selectExpr(*quoted(by), "_v", f"{_place('_v', '_ends', levels)} AS _at")
+    counts = placed.groupBy(*by, "_at._gap", "_at._own").agg(*_counts())
+    return _pick(counts, by, probs, kind)
 
 
-def _built_in(df: DataFrame, column: str, probs: dict[str, float], by: list[str], kind: str) -> DataFrame:
-    if kind == "discrete":
-        return df.groupBy(*by).agg(*[_built_in_discrete(column, p, name) for name, p in probs.items()])
-    levels = ", ".join(f"{float(p)!r}D" for p in probs.values())
-    found = df.groupBy(*by).agg(F.expr(f"percentile({column}, array({levels})) AS _levels"))
-    return found.selectExpr(*quoted(by), *[f"_levels[{i}] AS `{name}`" for i, name in enumerate(probs)])
+def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], kind: str) -> DataFrame:
+    """Percentiles of several columns in the same two passes: one row, one column per name.
+
+    ``wanted`` maps an output name to ``(column, p)``. The first pass is one aggregate row;
+    the second counts the places of all columns in one grouping.
+    """
+    columns: dict[str, list[float]] = {}
+    for column, p in wanted.values():
+        columns.setdefault(column, []).append(p)
+    columns = {column: sorted(set(levels)) for column, levels in sorted(columns.items())}
+    names = {column: f"c{i}" for i, column in enumerate(columns)}
+    values = df.selectExpr(*[f"nanvl(CAST(`{c}` AS DOUBLE), NULL) AS {name}" for c, name in names.items()])
+    ends = values.agg(*[F.expr(f"{_sketch(names[c], levels)} AS {names[c]}") for c, levels in columns.items()])
+    held = values.withColumn("_ends", scalar_row(ends))
+    places = ", ".join(
+        f"named_struct('_column', '{names[c]}', '_v', {names[c]}, '_at', {_place(names[c], f'_ends.{names[c]}', levels)})"
+        for c, levels in columns.items()
+    )
+    stacked = held.selectExpr(f"inline(array({places}))").filter("_v IS NOT NULL")
+    counts = stacked.groupBy("_column", "_at._gap", "_at._own").agg(*_counts())
+    every = {f"p{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
+    level_name = {p: name for name, p in every.items()}
+    own_levels = {names[c]: levels for c, levels in columns.items()}
+    found = _pick(counts, ["_column"], every, kind, own_levels)
+    return found.agg(
+        *[
+            F.expr(f"max(CASE WHEN _column = '{names[column]}' THEN {level_name[p]} END) AS `{name}`")
+            for name, (column, p) in wanted.items()
+        ]
+    )
+
+
+def _counts() -> list[Column]:
+    return [F.expr("count(*) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high")]
 
 
-def _built_in_discrete(column: str, p: float, name: str) -> Column:
-    return F.expr(f"CAST(percentile_disc({float(p)!r}D) WITHIN GROUP (ORDER BY {column}) AS DOUBLE)").alias(name)
+def _sketch(value: str, levels: list[float]) -> str:
+    """The ends of all brackets: two per level, in the order of the levels."""
+    ends = [f"{min(max(p + side, 0.0), 1.0)!r}D" for p in levels for side in (-MARGIN, MARGIN)]
+    return f"percentile_approx({value}, array({', '.join(ends)}), {ACCURACY})"
 
 
-def _ranks(probs: dict[str, float], kind: str) -> dict[str, str]:
-    """1-based ranks each percentile needs, by a name of their own."""
-    ranks: dict[str, str] = {}
+def _place(value: str, ends: str, levels: list[float]) -> str:
+    """Between which ends a value lies, and the value itself where that is inside a bracket."""
+    entered = " + ".join(f"CAST({value} >= {ends}[{2 * i}] AS INT)" for i in range(len(levels)))
+    left = " + ".join(f"CAST({value} > {ends}[{2 * i + 1}] AS INT)" for i in range(len(levels)))
+    own = f"CASE WHEN {entered} > {left} THEN {value} END"
+    return f"named_struct('_gap', {entered} + {left}, '_own', {own})"
+
+
+def _ranks(probs: dict[str, float], kind: str) -> dict[str, tuple[str, float]]:
+    """1-based ranks each percentile needs, by a name of their own, with the level."""
+    ranks: dict[str, tuple[str, float]] = {}
     for name, p in probs.items():
         if kind == "discrete":
-            ranks[f"{name}_at"] = f"greatest(ceil({float(p)!r}D * _total), 1L)"
+            ranks[f"{name}_at"] = f"greatest(ceil({float(p)!r}D * _total), 1L)", p
         else:
-            ranks[f"{name}_at"] = f"floor((_total - 1) * {float(p)!r}D) + 1"
-            ranks[f"{name}_next"] = f"ceil((_total - 1) * {float(p)!r}D) + 1"
+            ranks[f"{name}_at"] = f"floor((_total - 1) * {float(p)!r}D) + 1", p
+            ranks[f"{name}_next"] = f"ceil((_total - 1) * {float(p)!r}D) + 1", p
     return ranks
 
 
-def _on_ladder(
-    values: DataFrame, probs: dict[str, float], by: list[str], kind: str, groups_bounded: bool
+def _pick(
+    counts: DataFrame,
+    by: list[str],
+    probs: dict[str, float],
+    kind: str,
+    own_levels: dict[str, list[float]] | None = None,
 ) -> DataFrame:
-    """Exact percentiles by counts per rung, then per cell, then per value of a few cells.
+    """The values at the wanted ranks, from counts in value order.
 
-    Rungs and cells that hold a wanted rank number at most one per rank and group. Where the
-    number of groups is fixed by the caller they are broadcast; otherwise the session
-    decides by their measured size, and a hot group is split by rung, cell and value.
+    A rank falls on a value of a bracket, or is the first or last of a gap. Any other place would
+    mean that a sketch was worse than it promises; that is an error, not a wrong result.
     """
-    ranks = _ranks(probs, kind)
-    small = F.broadcast if groups_bounded else (lambda table: table)
     keys = quoted(by)
-    holds = " OR ".join(f"({rank} > _start AND {rank} <= _start + _n)" for rank in ranks.values())
-    placed = values.selectExpr(*keys, "_v", RUNG)
-
-    rungs = placed.groupBy(*by, "_rung").agg(F.expr("count(*) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"))
-    whole = f"sum(_n) OVER ({'PARTITION BY ' + ', '.join(keys) if keys else ''})"
-    rungs = rungs.selectExpr("*", f"{before(by, '_rung')} AS _start", f"{whole} AS _total")
-    rungs = rungs.filter(holds).drop("_n")
-
-    inside = placed.join(small(rungs), [*by, "_rung"]).selectExpr("*", cell(CELLS_PER_RUNG))
-    counts = inside.groupBy(*by, "_rung", "_cell", "_start", "_total", "_v").agg(F.expr("count(*) AS _n"))
-
-    cells = counts.groupBy(*by, "_rung", "_cell", "_start", "_total").agg(F.expr("sum(_n) AS _n"))
-    offset = f"_start + {before([*by, '_rung'], '_cell')} AS _start"
-    cells = cells.selectExpr(*keys, "_rung", "_cell", "_n", "_total", offset).filter(holds).drop("_n", "_total")
-
-    sorted_cells = counts.drop("_start").join(small(cells), [*by, "_rung", "_cell"])
-    first = f"_start + {before([*by, '_rung', '_cell'], '_v')} AS _start"
-    ordered = sorted_cells.selectExpr(*keys, "_v", "_n", "_total", first)
-    picked = [
-        F.expr(f"max(CASE WHEN {rank} > _start AND {rank} <= _start + _n THEN _v END) AS `{name}`")
-        for name, rank in ranks.items()
-    ]
+    whole = f"sum(_n) OVER ({'PARTITION BY ' + ', '.join(keys) if keys else ''}) AS _total"
+    ordered = counts.selectExpr("*", f"{before(by, '_gap, _own')} AS _start", whole)
+    picked = []
+    for name, (rank, p) in _ranks(probs, kind).items():
+        miss = "raise_error('a percentile lies outside its bracket')"
+        if own_levels is not None:  # levels that only other columns want may fall anywhere
+            wanted = ", ".join(f"'{c}'" for c, levels in own_levels.items() if p in levels)
+            miss = f"CASE WHEN _column IN ({wanted}) THEN CAST({miss} AS DOUBLE) END"
+        value = (
+            f"CASE WHEN {rank} <= _start OR {rank} > _start + _n THEN NULL WHEN _own IS NOT NULL THEN _own "
+            f"WHEN {rank} = _start + 1 THEN _low WHEN {rank} = _start + _n THEN _high ELSE CAST({miss} AS DOUBLE) END"
+        )
+        picked.append(F.expr(f"max({value}) AS `{name}`"))
     found = ordered.groupBy(*by).agg(*picked, F.expr("max(_total) AS _total"))
     return found.selectExpr(*keys, *[_blend(name, p, kind) for name, p in probs.items()])
 
@@ -144,32 +161,3 @@ def _blend(name: str, p: float, kind: str) -> str:
         f"CASE WHEN {share} < 0.5D THEN {low} + ({high} - {low}) * {share} "
         f"ELSE {high} - ({high} - {low}) * (1D - {share}) END AS `{name}`"
     )
-
-
-def column_quantiles(
-    df: DataFrame, wanted: dict[str, tuple[str, float]], kind: str, small_input: int | None = None
-) -> DataFrame:
-    """Percentiles of several columns in one pass: one row, one column per name.
-
-    ``wanted`` maps an output name to ``(column, p)``. On the ladder the columns are
-    stacked into one long column keyed by name, so they share its passes and shuffles.
-    """
-    columns = sorted({column for column, _ in wanted.values()})
-    if is_small(df, small_input):
-        filled = {c: f"nanvl(CAST(`{c}` AS DOUBLE), NULL)" for c in columns}
-        if kind == "discrete":
-            return df.agg(*[_built_in_discrete(filled[c], p, name) for name, (c, p) in wanted.items()])
-        return df.agg(
-            *[F.expr(f"percentile({filled[c]}, {float(p)!r}D)").alias(name) for name, (c, p) in wanted.items()]
-        )
-    levels = sorted({p for _, p in wanted.values()})
-    level_names = {f"p{i}": p for i, p in enumerate(levels)}
-    by_level = {p: name for name, p in level_names.items()}
-    stacked = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns]).unpivot([], columns, "_column", "_value")
-    found = _on_ladder(measured(stacked, "_value", ["_column"]), level_names, ["_column"], kind, groups_bounded=True)
-    return found.agg(
-        *[
-            F.expr(f"max(CASE WHEN _column = '{column}' THEN {by_level[p]} END) AS `{name}`")
-            for name, (column, p) in wanted.items()
-        ]
-    )

@@ -19,7 +19,6 @@ from factsieve.plans import city_usage, interface_test, property, tickets
 from factsieve.session import scratch_path
 from factsieve.sources import standins
 from factsieve.sources.readers import load, read_csv
-from factsieve.sources.sizes import NEVER_SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,7 +159,7 @@ def iqr_bounds(spark: SparkSession, folder: str) -> DataFrame:
 def price_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     levels = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
     rows = load(spark, folder, "lineitem")
-    found = quantiles(rows, "l_extendedprice", levels, ["l_returnflag"], small_input=NEVER_SMALL)
+    found = quantiles(rows, "l_extendedprice", levels, ["l_returnflag"])
     return rounded(found, 6, *levels)
 
 
@@ -353,7 +352,7 @@ def hist_value(spark: SparkSession, folder: str) -> DataFrame:
 
 def mw_value(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "events")
-    return tested(mann_whitney(rows, "value", "event_type", "purchase", "click", small_input=NEVER_SMALL))
+    return tested(mann_whitney(rows, "value", "event_type", "purchase", "click"))
 
 
 def mw_city_hours(spark: SparkSession, folder: str) -> DataFrame:

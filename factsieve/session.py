@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,18 +23,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests on
-    one machine) a temporary folder is made and set for the rest of the session.
+    Where that is unset, a session on this machine alone gets a temporary folder. On a cluster
+    it is an error, since each executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="factsieve-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that belongs to this application alone."""
-    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, name)
+    """A new path under the shared folder, another one for each call."""
+    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")

@@ -1,39 +1,14 @@
-"""Readers: parquet and catalog tables, databases, CSV files, zipped CSV files."""
+"""Readers: parquet tables and CSV files. Zipped files are unpacked when they are staged."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@lru_cache(maxsize=256)
-def _stored_schema(application: str, path: str) -> T.StructType:
-    return SparkSession.active().read.parquet(path).schema
-
-
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table. Its schema is read from a file footer once per application."""
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    return spark.read.schema(_stored_schema(spark.sparkContext.applicationId, path)).parquet(path)
-
-
-def read_jdbc(
-    spark: SparkSession, url: str, table: str, split_column: str, lower, upper, splits: int, **options: str
-) -> DataFrame:
-    """A database table, read by ``splits`` parallel range queries on ``split_column``."""
-    return (
-        spark.read.format("jdbc")
-        .options(url=url, dbtable=table, partitionColumn=split_column, **options)
-        .options(lowerBound=str(lower), upperBound=str(upper), numPartitions=str(splits))
-        .load()
-    )
+    """A parquet table."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def read_csv(
@@ -54,32 +29,3 @@ def read_csv(
     if date_format:
         reader = reader.option("dateFormat", date_format)
     return reader.csv(path)
-
-
-def read_zipped_csv(
-    spark: SparkSession, path: str, schema: T.StructType, rows_per_batch: int = 50_000
-) -> DataFrame:
-    """CSV members of zip archives, one task per archive, parsed in bounded batches.
-
-    Zip is no codec Spark can split or stream, so an archive is the unit of work and must
-    fit the 2 GB limit of one binary value; larger ones are repacked when staged. Fields
-    arrive as text and are cast by the schema, so no type is guessed batch by batch.
-    """
-    names = schema.fieldNames()
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if member.endswith(".csv"):
-                            with archive.open(member) as stream:
-                                yield from pd.read_csv(
-                                    stream, usecols=names, dtype=str, keep_default_na=False,
-                                    na_values=[""], chunksize=rows_per_batch,
-                                )
-
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    archives = spark.read.format("binaryFile").load(path).select("content")
-    rows = archives.mapInPandas(lambda it: (b[names] for b in members(it)), text)
-    return rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

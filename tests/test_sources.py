@@ -1,14 +1,11 @@
 import datetime as dt
-import zipfile
+from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factsieve.session import scratch_path, shared_folder
 from factsieve.sources import schemas, standins
-from factsieve.sources.readers import read_csv, read_zipped_csv
-from factsieve.sources.sizes import is_small, source_bytes
+from factsieve.sources.readers import load, read_csv
 
 TEXT = 'user_id,event_dt,event_name,details\nu1,2020-12-01 00:00:05,purchase,"4,99"\nu2,2020-12-02 10:00:00,login,\n'
 EXPECTED = [
@@ -29,29 +26,28 @@ def test_malformed_csv_fails(spark, tmp_path):
         read_csv(spark, str(tmp_path / "bad.csv"), schemas.CITY_USAGE).collect()
 
 
-def test_zipped_csv(spark, tmp_path):
-    for name in ("a", "b"):
-        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
-            archive.writestr("events.csv", TEXT)
-            archive.writestr("notes.txt", "no table")
-    rows = read_zipped_csv(spark, str(tmp_path / "*.zip"), schemas.AB_EVENTS, rows_per_batch=1)
-    assert sorted(tuple(r) for r in rows.collect() if r.details) == [EXPECTED[0]] * 2
-    assert rows.filter(F.col("details").isNull()).count() == 2
-
-
 def test_shared_folder_comes_from_the_session(spark):
     folder = shared_folder(spark)
     assert spark.conf.get("spark.checkpoint.dir").rstrip("/") == folder
-    assert scratch_path(spark, "x").startswith(folder) and spark.sparkContext.applicationId in scratch_path(spark, "x")
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first != second and first.startswith(folder) and spark.sparkContext.applicationId in first
+
+
+def test_shared_folder_is_never_a_guess_on_a_cluster():
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    session = SimpleNamespace(conf=Unset(), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(session)
 
 
-def test_size_of_sources(spark, tmp_path):
-    path = str(tmp_path / "t.parquet")
-    spark.range(1000).write.parquet(path)
-    df = spark.read.schema(T.StructType([T.StructField("id", T.LongType())])).parquet(path)
-    single, double = source_bytes(df), source_bytes(df.join(df.withColumnRenamed("id", "b"), F.expr("id = b")))
-    assert 0 < single < 100_000 and double == 2 * single
-    assert is_small(df) and not is_small(df, limit=0)
+def test_load_sees_a_changed_schema(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert load(spark, str(tmp_path), "t").columns == ["id"]
+    spark.range(3).selectExpr("id", "id AS more").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert load(spark, str(tmp_path), "t").columns == ["id", "more"]
 
 
 def test_gap_to_previous_order_matches_a_plain_window(spark):
