@@ -16,7 +16,6 @@ SPRING = "весна"
 SUMMER = "лето"
 AUTUMN = "осень"
 WINTER = "зима"
-SEASONS = [SPRING, SUMMER, AUTUMN, WINTER]
 
 # Event description that duplicates another one under a second spelling.
 EVENT_LABEL_MERGE = {"спорт": "спортивное мероприятие"}

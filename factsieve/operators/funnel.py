@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsieve.functions.calendar import lifetime_days
@@ -40,6 +40,32 @@ def fanout(events: DataFrame, key: str, group: str, event: str, name: str) -> Da
     return joined.groupBy(group, event).agg(F.sum("_n").alias("rows"), F.sum(pairs).alias("joined_rows"))
 
 
+def windowed_fanout(
+    events: DataFrame, key: str, group: str, event: str, name: str, moment: str, days: int
+) -> DataFrame:
+    """Rows that joining every event to every start of its key leaves within the window, by group and event.
+
+    An event keeps a start that lies less than ``days + 1`` full days before it, or later. Events
+    and starts are counted by distinct moment; with events set back by that time, one running
+    count per key tells how many starts come too early for each. No pair is built.
+    """
+    counted = events.groupBy(key, group, event, moment).agg(F.count("*").alias("_n"))
+    starts = counted.filter(F.col(event) == name).groupBy(key, moment).agg(F.sum("_n").alias("_starts"))
+    marks = starts.select(key, F.lit(None).cast("string").alias(group), F.lit(None).cast("string").alias(event),
+                          F.col(moment).alias("_at"), F.lit(0).cast("long").alias("_n"), "_starts")
+    back = F.expr(f"`{moment}` - INTERVAL {days + 1} DAYS")
+    asked = counted.select(key, group, event, back.alias("_at"), "_n", F.lit(0).cast("long").alias("_starts"))
+    ordered = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.unionByName(asked).select(
+        group,
+        event,
+        "_n",
+        (F.sum("_starts").over(Window.partitionBy(key)) - F.sum("_starts").over(ordered)).alias("_kept"),
+    )
+    kept = both.filter(F.col(event).isNotNull() & (F.col("_kept") > 0))
+    return kept.groupBy(group, event).agg(F.sum(F.col("_n") * F.col("_kept")).alias("joined_rows"))
+
+
 def within_days(lived: DataFrame, days: int, min_days: int | None = None) -> DataFrame:
     """Events up to ``days`` after the start; earlier than the start too, unless bounded."""
     window = F.col("lifetime_days") <= days

@@ -25,28 +25,27 @@ def keep_listed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
-def sole_group_keys(df: DataFrame, key: str, group: str) -> DataFrame:
-    """Keys found in exactly one group."""
-    spans = df.groupBy(key).agg(F.min(group).alias("_a"), F.max(group).alias("_b"))
-    return spans.filter(F.col("_a") == F.col("_b")).select(key)
+def _rows_in(df: DataFrame, key: str, group: str, a: str, b: str) -> DataFrame:
+    """Rows of each key in groups a and b; counts, unlike labels, aggregate by hash."""
+    in_a, in_b = F.count_if(F.col(group) == a), F.count_if(F.col(group) == b)
+    return df.groupBy(key).agg(in_a.alias("_a"), in_b.alias("_b"))
+
+
+def sole_group_keys(df: DataFrame, key: str, group: str, a: str, b: str) -> DataFrame:
+    """Keys found in exactly one of the groups a and b."""
+    return _rows_in(df, key, group, a, b).filter((F.col("_a") > 0) != (F.col("_b") > 0)).select(key)
 
 
 def independent_samples(df: DataFrame, key: str, group: str, a: str, b: str) -> DataFrame:
     """Rows of groups a and b without the keys that occur in both."""
     rows = df.filter(F.col(group).isin(a, b))
-    return keep_listed(rows, sole_group_keys(rows, key, group), key)
+    return keep_listed(rows, sole_group_keys(rows, key, group, a, b), key)
 
 
 def overlap_count(df: DataFrame, key: str, group: str, a: str, b: str) -> DataFrame:
     """How many keys occur in a, in b, and in both, from one grouped pass."""
-    spans = (
-        df.filter(F.col(group).isin(a, b) & F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(group).alias("_a"), F.max(group).alias("_b"))
-    )
-    both = F.col("_a") != F.col("_b")
-    return spans.agg(
-        F.count_if(both | (F.col("_a") == a)).alias("in_a"),
-        F.count_if(both | (F.col("_a") == b)).alias("in_b"),
-        F.count_if(both).alias("in_both"),
+    rows = _rows_in(df.filter(F.col(group).isin(a, b) & F.col(key).isNotNull()), key, group, a, b)
+    in_a, in_b = F.col("_a") > 0, F.col("_b") > 0
+    return rows.agg(
+        F.count_if(in_a).alias("in_a"), F.count_if(in_b).alias("in_b"), F.count_if(in_a & in_b).alias("in_both")
     )

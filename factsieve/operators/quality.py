@@ -84,16 +84,19 @@ def other_columns(df: DataFrame, excluded: list[str]) -> list[str]:
 def dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First row of every key in the given order.
 
-    A grouped minimum in place of a ranked window: each task reduces its rows to one per
-    key before the shuffle, so a key with very many copies is no burden.
+    ``order`` tells the rows of a key apart; rows that tie in it all stay. The least place of a
+    key is a hashed minimum, reduced in each task before the shuffle, and a semi-join keeps the
+    rows that hold it. A key may be NULL.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     if not rest and order not in keys:
         return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
-    firsts = df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_first"))
-    return firsts.select(
-        [F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns]
-    )
+    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first"))
+    firsts = firsts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first")
+    same = F.col(order).eqNullSafe(F.col("_first"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(firsts, same, "left_semi")
 
 
 def drop_hidden_duplicates(df: DataFrame, id_column: str) -> DataFrame:
@@ -107,8 +110,14 @@ def signed_totals(df: DataFrame, column: str) -> DataFrame:
 
 
 def narrow_integers(df: DataFrame, columns: list[str], kind: str = "tinyint") -> DataFrame:
-    """Cast integer columns to a shorter type; values that do not fit become NULL."""
-    return df.withColumns({c: F.col(c).try_cast(kind) for c in columns})
+    """Cast integer columns to a shorter type; a value that does not fit is an error."""
+
+    def checked(c: str) -> Column:
+        short = F.col(c).try_cast(kind)
+        lost = F.col(c).isNotNull() & short.isNull()
+        return F.when(lost, F.raise_error(F.lit(f"{c} does not fit {kind}")).cast(kind)).otherwise(short)
+
+    return df.withColumns({c: checked(c) for c in columns})
 
 
 def narrowing_failures(df: DataFrame, columns: list[str], kind: str = "tinyint") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.rounding import exact_mean, half_even, percent, ratio
-from factsieve.operators.attach import attach, known_keys
+from factsieve.operators.attach import attach, known_keys, scalar_row
 from factsieve.operators.order_statistics import measured
 from factsieve.operators.trimming import iqr_fences
 
@@ -17,30 +17,35 @@ def pivot_count(df: DataFrame, row: str, column: str, values: dict[str, str], co
     ``values`` maps each column value to its output name; listing them spares the pass
     that would look them up.
     """
-    pivoted = known_keys(df, [row]).groupBy(row).pivot(column, list(values)).agg(F.count(counted))
+    return pivot(df, row, column, values, F.count(counted))
+
+
+def pivot(df: DataFrame, row: str, column: str, values: dict[str, str], cell: Column) -> DataFrame:
+    """Any aggregate by row key and column value."""
+    pivoted = known_keys(df, [row]).groupBy(row).pivot(column, list(values)).agg(cell)
     return pivoted.select(row, *[F.col(f"`{v}`").alias(name) for v, name in values.items()])
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, values: dict[str, str], averaged: str) -> DataFrame:
     """Means of an amount by row key and column value."""
-    pivoted = known_keys(df, [row]).groupBy(row).pivot(column, list(values)).agg(exact_mean(F.col(averaged)))
-    return pivoted.select(row, *[F.col(f"`{v}`").alias(name) for v, name in values.items()])
+    return pivot(df, row, column, values, exact_mean(F.col(averaged)))
 
 
-# The next three take grouped results: one row per category. Totals, extremes and means over
-# all categories are windows without partition, so those few rows meet in one task, and the
-# grouping below them runs once. They are not meant for tables at row level.
+# The next three take grouped results of any length. Totals, extremes and means over all
+# categories are one aggregate row, brought in as a scalar subquery; it reads the shuffle of
+# the grouping that the rows themselves come from.
 
 
-def _over_all(function, column: str) -> Column:
-    return function(column).over(Window.partitionBy())
+def _over_all(table: DataFrame, *wanted: Column) -> Column:
+    return scalar_row(table.agg(*wanted))
 
 
 def column_shares(table: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """Every cell as a percentage of its column total, ``<column>_pct``."""
-    return table.withColumns(
-        {f"{c}_pct": half_even(percent(F.col(c), _over_all(F.sum, c)), digits) for c in columns}
-    )
+    totals = _over_all(table, *[F.sum(c).alias(c) for c in columns])
+    held = table.withColumn("_all", totals)
+    shares = {f"{c}_pct": half_even(percent(F.col(c), F.col("_all").getField(c)), digits) for c in columns}
+    return held.withColumns(shares).drop("_all")
 
 
 def add_share(table: DataFrame, columns: list[str], shaded: list[str] | None = None) -> DataFrame:
@@ -49,16 +54,19 @@ def add_share(table: DataFrame, columns: list[str], shaded: list[str] | None = N
     ``shaded`` columns also get ``<column>_heat``: where the share lies between the lowest
     and the highest one, 0 to 1 (cell shading).
     """
-    added = {f"{c}_pct": percent(F.col(c), _over_all(F.sum, c)) for c in columns}
+    kinds = {"sum": F.sum, "low": F.min, "high": F.max}
+    wanted = [(c, kind) for c in columns for kind in (kinds if c in (shaded or []) else ["sum"])]
+    held = table.withColumn("_all", _over_all(table, *[kinds[kind](c).alias(f"{c}_{kind}") for c, kind in wanted]))
+    whole = lambda name: F.col("_all").getField(name)
+    added = {f"{c}_pct": percent(F.col(c), whole(f"{c}_sum")) for c in columns}
     for c in shaded or []:
-        low = _over_all(F.min, c)
-        added[f"{c}_heat"] = ratio(F.col(c) - low, _over_all(F.max, c) - low)
-    return table.withColumns(added)
+        added[f"{c}_heat"] = ratio(F.col(c) - whole(f"{c}_low"), whole(f"{c}_high") - whole(f"{c}_low"))
+    return held.withColumns(added).drop("_all")
 
 
 def add_mean(table: DataFrame, column: str, name: str) -> DataFrame:
     """The column's mean over all rows, as a reference line."""
-    return table.withColumn(name, _over_all(F.avg, column))
+    return table.withColumn(name, _over_all(table, F.avg(column).alias("mean")).getField("mean"))
 
 
 def distinct_count(key: str, approximate: float | None = None) -> Column:

@@ -76,6 +76,17 @@ def ztest_rows(test: Experiment) -> DataFrame:
     return proportions_ztest(group_counts(sizes, "group", A, B, F.col("n"), F.col("m")))
 
 
+def ztest_rows_fanout(test: Experiment) -> DataFrame:
+    """As ``ztest_rows``, but every event counts once for each registration of its user within the window."""
+    events = funnel.windowed_fanout(
+        member_events(test), "user_id", "group", "event_name", REGISTRATION, "event_dt", DAYS
+    )
+    sizes = events.groupBy("group").agg(
+        F.sum("joined_rows").alias("n"), F.sum(F.when(F.col("event_name") == PURCHASE, F.col("joined_rows"))).alias("m")
+    )
+    return proportions_ztest(group_counts(sizes, "group", A, B, F.col("n"), F.col("m")))
+
+
 def ztest_users(test: Experiment) -> DataFrame:
     """The sound form: users and buyers are counted."""
     table = conversion(test)

@@ -264,10 +264,3 @@ def days_by_city(market: Market) -> DataFrame:
 
 def days_by_type(market: Market) -> DataFrame:
     return _days(typed_listings(market), "type")
-
-
-def bucket_counts(market: Market) -> DataFrame:
-    """Advertisements by time-on-market label, the unlabelled ones under the last."""
-    return market.advertisement().groupBy(days_label(F.col("days_exposition")).alias("category_days_exp")).agg(
-        F.count("*").alias("count_adv")
-    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from factsieve.functions.rounding import exact_mean, exact_sum, half_even, perce
 from factsieve.operators import summary
 from factsieve.operators.attach import read_once
 from factsieve.operators.hypothesis import mann_whitney
-from factsieve.operators.quality import drop_hidden_duplicates, narrow_integers, replace_labels, top_k
+from factsieve.operators.quality import drop_hidden_duplicates, replace_labels, top_k
 from factsieve.operators.trimming import cap_values, percentile_cap
 
 CAPS = {"revenue_rub": 0.99, "tickets_count": 0.99}
@@ -32,11 +32,12 @@ class Sales:
     orders: Callable[[], DataFrame]
     events: Callable[[], DataFrame]
     rates: Callable[[], DataFrame]
+    label_merge: dict[str, str] = field(default_factory=lambda: dict(labels.EVENT_LABEL_MERGE))
 
 
 def with_events(orders: DataFrame, sales: Sales) -> DataFrame:
     """Orders with their event; orders of unknown events stay."""
-    return orders.join(replace_labels(sales.events(), "event_type_description", labels.EVENT_LABEL_MERGE), "event_id", "left")
+    return orders.join(replace_labels(sales.events(), "event_type_description", sales.label_merge), "event_id", "left")
 
 
 def with_rates(orders: DataFrame, sales: Sales) -> DataFrame:
@@ -47,10 +48,9 @@ def with_rates(orders: DataFrame, sales: Sales) -> DataFrame:
 
 def derived(orders: DataFrame) -> DataFrame:
     """Revenue in home currency, revenue per ticket, month and season."""
-    short = narrow_integers(orders, ["age_limit", "tickets_count", "nominal"])
     day = F.col("created_dt_msk")
     return (
-        short.withColumn(
+        orders.withColumn(
             "revenue_rub",
             in_home_currency(
                 F.col("revenue"), F.col("currency_code"), F.col("cdx"), F.col("nominal"), F.col("curs")
@@ -114,13 +114,31 @@ def orders_per_month(sales: Sales) -> DataFrame:
 
 def season_mix(rows: DataFrame, key: str) -> DataFrame:
     """Orders by a category and season, and each season's shares in percent."""
-    counts = summary.pivot_count(rows, key, "season", SEASON_COLUMNS, "order_id")
+    return season_shares(summary.pivot_count(rows, key, "season", SEASON_COLUMNS, "order_id"))
+
+
+def event_seasons(sales: Sales) -> DataFrame:
+    """Orders, and the parts of the mean ticket revenue, by event and season, with the event.
+
+    Grouped before events are joined, so that the join sees one row per event and season.
+    """
+    price = F.col("one_ticket_revenue_rub")
+    grouped = clean_orders(sales).groupBy("event_id", "season").agg(
+        F.count("order_id").alias("orders"),
+        F.sum(price.cast("decimal(24,6)")).alias("price_sum"),
+        F.count(price).alias("priced_orders"),
+    )
+    return with_events(grouped, sales)
+
+
+def season_shares(counts: DataFrame) -> DataFrame:
     shares = summary.column_shares(counts, list(SEASON_COLUMNS.values()))
     return shares.orderBy(F.col("summer_pct").desc_nulls_last())
 
 
 def event_season_mix(sales: Sales) -> DataFrame:
-    return season_mix(clean_tickets(sales), "event_type_main")
+    orders = F.sum("orders")
+    return season_shares(summary.pivot(event_seasons(sales), "event_type_main", "season", SEASON_COLUMNS, orders))
 
 
 def device_season_mix(sales: Sales) -> DataFrame:
@@ -133,9 +151,8 @@ def age_season_mix(sales: Sales) -> DataFrame:
 
 def ticket_price_change(sales: Sales) -> DataFrame:
     """Mean revenue per ticket by event type and season, and autumn against summer."""
-    means = summary.pivot_mean(
-        clean_tickets(sales), "event_type_main", "season", SEASON_COLUMNS, "one_ticket_revenue_rub"
-    )
+    mean = ratio(F.sum("price_sum").cast("double"), F.sum("priced_orders"))
+    means = summary.pivot(event_seasons(sales), "event_type_main", "season", SEASON_COLUMNS, mean)
     changed = means.withColumn("change_pct", percent(F.col("autumn") - F.col("summer"), F.col("summer")))
     return changed.withColumn("change_class", change_class(F.col("change_pct"))).orderBy(
         F.col("summer").desc_nulls_last()
@@ -170,7 +187,9 @@ def users_per_weekday(sales: Sales, approximate: float | None = None) -> DataFra
 
 
 def region_summary(sales: Sales) -> DataFrame:
-    regions = summary.activity(autumn(clean_tickets(sales)), "region_name", "order_id", "event_id", "events")
+    by_event = autumn(clean_orders(sales)).groupBy("event_id").agg(F.count("order_id").alias("orders"))
+    located = with_events(by_event, sales).filter(F.col("region_name").isNotNull())
+    regions = located.groupBy("region_name").agg(F.sum("orders").alias("orders"), F.count("event_id").alias("events"))
     columns = ["events", "orders"]
     return summary.add_share(regions, columns, shaded=columns).orderBy(F.desc("events"))
 
@@ -210,12 +229,14 @@ def user_metrics(sales: Sales) -> DataFrame:
     """
     rows = autumn(clean_orders(sales)).filter(F.col("device_type_canonical").isin(MOBILE, DESKTOP))
     users = rows.groupBy("user_id").agg(
-        F.min("device_type_canonical").alias("device"),
-        F.max("device_type_canonical").alias("_other"),
+        F.count_if(F.col("device_type_canonical") == MOBILE).alias("_mobile"),
+        F.count_if(F.col("device_type_canonical") == DESKTOP).alias("_desktop"),
         F.count("order_id").alias("orders"),
         F.avg("days_since_prev").alias("mean_gap"),
     )
-    return users.filter(F.col("device") == F.col("_other")).drop("_other")
+    one_kind = users.filter((F.col("_mobile") == 0) | (F.col("_desktop") == 0))
+    device = F.when(F.col("_mobile") > 0, MOBILE).otherwise(DESKTOP)
+    return one_kind.select("user_id", device.alias("device"), "orders", "mean_gap")
 
 
 def orders_per_user(sales: Sales) -> DataFrame:

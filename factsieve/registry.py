@@ -46,6 +46,7 @@ def sales(spark: SparkSession, folder: str) -> tickets.Sales:
         orders=lambda: standins.ticket_orders_with_copies(spark, folder),
         events=lambda: standins.ticket_events(spark, folder),
         rates=lambda: standins.rates(spark, folder),
+        label_merge={**LABEL_MERGE, **labels.EVENT_LABEL_MERGE},
     )
 
 
@@ -114,10 +115,18 @@ def hidden_dup_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dup_row_count(spark: SparkSession, folder: str) -> DataFrame:
-    rows = standins.ab_events(spark, folder).select("user_id", "event_name")
+    rows = standins.ab_events(spark, folder)
     return quality.duplicate_count(rows, rows.columns)
 
 
+def dup_row_count_tickets(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole ticket rows, and the rows that share all but the id, which some do."""
+    orders = standins.ticket_orders_with_copies(spark, folder)
+    whole = quality.duplicate_count(orders, orders.columns).withColumnRenamed("duplicates", "whole_rows")
+    narrow = quality.duplicate_count(orders, quality.other_columns(orders, ["order_id"])).scalar()
+    return whole.select("whole_rows", narrow.alias("but_for_id"))
+
+
 def signed_totals(spark: SparkSession, folder: str) -> DataFrame:
     totals = quality.signed_totals(tickets.priced(sales(spark, folder)), "revenue_rub")
     return rounded(totals, 2, "negative_total", "positive_total")
@@ -165,7 +174,8 @@ def price_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def downcast_check(spark: SparkSession, folder: str) -> DataFrame:
     rows = standins.ticket_orders(spark, folder).select("user_id", "age_limit", "tickets_count")
-    return quality.narrowing_failures(rows, rows.columns)
+    rates = quality.narrowing_failures(standins.rates(spark, folder), ["nominal"])
+    return quality.narrowing_failures(rows, rows.columns).unionByName(rates)
 
 
 def replace_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,6 +283,26 @@ def device_overlap(s: tickets.Sales) -> DataFrame:
     return joins.overlap_count(rows, "user_id", "device_type_canonical", tickets.MOBILE, tickets.DESKTOP)
 
 
+def overlap_after(s: tickets.Sales) -> DataFrame:
+    """The overlap that excluding shared users leaves (none), and the users of each group then."""
+    rows = tickets.autumn(tickets.clean_orders(s)).select("user_id", "device_type_canonical")
+    left = joins.independent_samples(rows, "user_id", "device_type_canonical", tickets.MOBILE, tickets.DESKTOP)
+    return joins.overlap_count(left, "user_id", "device_type_canonical", tickets.MOBILE, tickets.DESKTOP)
+
+
+def describe_tickets(s: tickets.Sales) -> DataFrame:
+    found = quality.describe(tickets.deduplicated(s), "tickets_count")
+    return rounded(found, 4, "mean", "std", "q25", "q50", "q75")
+
+
+def box_tickets_all(s: tickets.Sales) -> DataFrame:
+    return rounded(summary.box_stats(tickets.deduplicated(s), "tickets_count"), 6, "q1", "median", "q3")
+
+
+def box_revenue_clean(s: tickets.Sales) -> DataFrame:
+    return rounded(summary.box_stats(tickets.clean_orders(s), "revenue_rub"), 6, "q1", "median", "q3")
+
+
 def exclude_overlap(s: tickets.Sales) -> DataFrame:
     rows = tickets.autumn(tickets.clean_orders(s)).select("order_id", "user_id", "device_type_canonical")
     return joins.independent_samples(rows, "user_id", "device_type_canonical", tickets.MOBILE, tickets.DESKTOP)
@@ -345,6 +375,11 @@ def hist_city_hours(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(summary.histogram(rows, "hours", 20, ["city"]), 6, "bin_low", "bin_high")
 
 
+def hist_city_hours_fenced(spark: SparkSession, folder: str) -> DataFrame:
+    rows = city_usage.two_cities(standins.city_usage(spark, folder), "row_no", CITY_A, CITY_B)
+    return rounded(summary.histogram(iqr_filter(rows, "hours", ["city"]), "hours", 20, ["city"]), 6, "bin_low", "bin_high")
+
+
 def hist_value(spark: SparkSession, folder: str) -> DataFrame:
     bins = summary.histogram(load(spark, folder, "events"), "value", 20)
     return rounded(bins, 6, "bin_low", "bin_high")
@@ -408,6 +443,7 @@ def queries() -> dict[str, Query]:
         "signed_totals": signed_totals,
         "null_count": _sales(missing_gaps),
         "downcast_check": downcast_check,
+        "dup_row_count_tickets": dup_row_count_tickets,
         "replace_labels": replace_labels,
         # filters
         "filter_eq": filter_eq,
@@ -448,6 +484,9 @@ def queries() -> dict[str, Query]:
         "tickets_clean": _sales(tickets_clean),
         "box_stats": _sales(box_revenue),
         "box_tickets": _sales(box_tickets),
+        "box_tickets_all": _sales(box_tickets_all),
+        "box_revenue_clean": _sales(box_revenue_clean),
+        "describe_tickets": _sales(describe_tickets),
         "orders_per_month": _sales(tickets.orders_per_month),
         "pivot_event_season": _sales(tickets.event_season_mix),
         "pivot_device_season": _sales(tickets.device_season_mix),
@@ -461,6 +500,7 @@ def queries() -> dict[str, Query]:
         "top5_share": _sales(leaders_share),
         "group_overlap": _sales(device_overlap),
         "exclude_overlap": _sales(exclude_overlap),
+        "overlap_after": _sales(overlap_after),
         "orders_per_user": _sales(tickets.orders_per_user),
         "mean_gap_per_user": _sales(mean_gap_per_user),
         "hist_orders_per_user": _sales(hist_orders_per_user),
@@ -480,6 +520,7 @@ def queries() -> dict[str, Query]:
         "dedup_key": dedup_key,
         "city_overlap": city_overlap,
         "hist_city_hours": hist_city_hours,
+        "hist_city_hours_fenced": hist_city_hours_fenced,
         "hist_value": hist_value,
         "mw_value": mw_value,
         "mw_city_hours": mw_city_hours,
@@ -495,5 +536,8 @@ def queries() -> dict[str, Query]:
         "hist_lifetime": _test(hist_lifetime),
         "sample_size_check": _test(interface_test.enough_users),
         "ztest_rows": ztest(interface_test.ztest_rows),
+        "ztest_rows_fanout": lambda s, d: rounded(
+            tested(interface_test.ztest_rows_fanout(experiment(s, d, single_registration=False))), 10, "p_a", "p_b"
+        ),
         "ztest_users": ztest(interface_test.ztest_users),
     }

@@ -92,12 +92,12 @@ def ticket_orders(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(o_orderdate AS DATE) AS created_dt_msk",
         "pk AS event_id",
         """CAST(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 12 WHEN 3 THEN 16 ELSE 18 END
-           AS TINYINT) AS age_limit""",
+           AS INT) AS age_limit""",
         "CASE WHEN o_orderkey % 20 = 0 THEN 'kzt' ELSE 'rub' END AS currency_code",
         """CASE WHEN o_custkey % 5 = 0 THEN 'desktop' WHEN o_custkey % 5 IN (1, 2) THEN 'mobile'
                 WHEN o_orderkey % 3 = 0 THEN 'desktop' ELSE 'mobile' END AS device_type_canonical""",
         "CASE WHEN o_orderkey % 97 = 0 THEN -o_totalprice ELSE o_totalprice END AS revenue",
-        "CAST(n AS TINYINT) AS tickets_count",
+        "CAST(CASE WHEN o_orderkey % 1000 = 7 THEN n * 100 ELSE n END AS INT) AS tickets_count",
         "concat('service-', CAST(sk % 36 AS STRING)) AS service_name",
         """CAST(datediff(o_orderdate, CASE WHEN o_orderkey = day_first THEN day_before ELSE o_orderdate END)
            AS DOUBLE) AS days_since_prev""",
@@ -133,7 +133,7 @@ def rates(spark: SparkSession, folder: str) -> DataFrame:
     dates = load(spark, folder, "orders").selectExpr("CAST(o_orderdate AS DATE) AS data").distinct()
     return dates.selectExpr(
         "data",
-        "CAST(100 AS TINYINT) AS nominal",
+        "CAST(CASE WHEN day(data) = 31 THEN 1000 ELSE 100 END AS INT) AS nominal",
         "18D + CAST(day(data) % 8 AS DOUBLE) / 8D AS curs",
         "'kzt' AS cdx",
     )
@@ -151,17 +151,19 @@ def ab_participants(spark: SparkSession, folder: str) -> DataFrame:
 def ab_events(spark: SparkSession, folder: str, single_registration: bool = True) -> DataFrame:
     """User events; the first signup of a user is the registration, later ones are logins.
 
-    The first signup comes from a grouped minimum and is matched by event id, so no user's
-    events are gathered in one place. Without ``single_registration`` every signup counts.
+    The first signup comes from grouped minima, of the moment and then of the event id, and is
+    matched by event id, so no user's events are gathered in one place. Without ``single_registration`` every signup counts.
     """
     events = load(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
     name = "CASE WHEN event_type = 'signup' THEN 'registration' ELSE event_type END"
     if single_registration:
+        signups = events.filter("event_type = 'signup'").select("user_id", "ts", "event_id")
+        moments = signups.groupBy("user_id").agg(F.min("ts").alias("ts"))
         first = (
-            events.filter("event_type = 'signup'")
+            signups.join(moments, ["user_id", "ts"])
             .groupBy("user_id")
-            .agg(F.expr("min(struct(ts, event_id)) AS f"))
-            .selectExpr("f.event_id", "user_id", "true AS is_first")
+            .agg(F.min("event_id").alias("event_id"))
+            .selectExpr("event_id", "user_id", "true AS is_first")
         )
         events = events.join(first, ["event_id", "user_id"], "left")
         name = """CASE WHEN event_type = 'signup' AND is_first THEN 'registration'

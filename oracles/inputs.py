@@ -37,12 +37,12 @@ INPUTS = {
                CAST(o_orderdate AS DATE) AS created_dt_msk,
                pk AS event_id,
                CAST(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 12 WHEN 3 THEN 16 ELSE 18 END
-                    AS TINYINT) AS age_limit,
+                    AS INTEGER) AS age_limit,
                CASE WHEN o_orderkey % 20 = 0 THEN 'kzt' ELSE 'rub' END AS currency_code,
                CASE WHEN o_custkey % 5 = 0 THEN 'desktop' WHEN o_custkey % 5 IN (1, 2) THEN 'mobile'
                     WHEN o_orderkey % 3 = 0 THEN 'desktop' ELSE 'mobile' END AS device_type_canonical,
                CASE WHEN o_orderkey % 97 = 0 THEN -o_totalprice ELSE o_totalprice END AS revenue,
-               CAST(n AS TINYINT) AS tickets_count,
+               CAST(CASE WHEN o_orderkey % 1000 = 7 THEN n * 100 ELSE n END AS INTEGER) AS tickets_count,
                concat('service-', CAST(sk % 36 AS VARCHAR)) AS service_name,
                CASE WHEN rn = 1 THEN NULL
                     ELSE CAST(datediff('day', prev, o_orderdate) AS DOUBLE) END AS days_since_prev
@@ -56,7 +56,7 @@ INPUTS = {
         FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey
         WHERE p_partkey % 50 <> 0""",
     "fx_rates": """
-        SELECT d AS data, CAST(100 AS TINYINT) AS nominal,
+        SELECT d AS data, CAST(CASE WHEN day(d) = 31 THEN 1000 ELSE 100 END AS INTEGER) AS nominal,
                CAST(18 AS DOUBLE) + CAST(day(d) % 8 AS DOUBLE) / CAST(8 AS DOUBLE) AS curs, 'kzt' AS cdx
         FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) t""",
     "fx_ab_participants": """

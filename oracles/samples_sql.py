@@ -77,7 +77,7 @@ def statements() -> dict[str, str]:
             WHERE event_name = 'registration' OR event_name = 'purchase'"""),
         "dup_key_count": query([USAGE], [], "SELECT count(*) - count(DISTINCT puid) AS duplicates FROM fx_city_usage"),
         "dup_row_count": query([EVENTS], [], """SELECT (SELECT count(*) FROM fx_ab_events)
-            - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_name FROM fx_ab_events)) AS duplicates"""),
+            - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx_ab_events)) AS duplicates"""),
         "dedup_key": query([USAGE], [PEOPLE], "SELECT * FROM people"),
         "city_overlap": query([USAGE], [], """
             SELECT (SELECT count(DISTINCT puid) FROM fx_city_usage WHERE city = 'AUTOMOBILE') AS in_a,
@@ -91,6 +91,7 @@ def statements() -> dict[str, str]:
                       round(any_value(q75), 4) AS q75, max(hours) AS max
                FROM cities c JOIN q ON q.city = c.city GROUP BY c.city"""),
         "hist_city_hours": query([USAGE], [PEOPLE, CITIES, *histogram_steps("cities", "hours", 20, "city")], "SELECT * FROM hist"),
+        "hist_city_hours_fenced": query([USAGE], [PEOPLE, CITIES, *FENCED, *histogram_steps("fenced", "hours", 20, "city")], "SELECT * FROM hist"),
         "hist_value": query([], histogram_steps("events", "value", 20), "SELECT * FROM hist"),
         "mw_value": query([], rank_steps("events", "value", "event_type", "purchase", "click", "two-sided"), RANK_RESULT),
         "mw_city_hours": query([USAGE], [PEOPLE, CITIES, *rank_steps("cities", "hours", "city", "BUILDING", "FURNITURE", "less")], RANK_RESULT),
@@ -122,6 +123,12 @@ def statements() -> dict[str, str]:
             FROM members m LEFT JOIN from_start b ON b.user_id = m.user_id GROUP BY 1"""),
         "hist_lifetime": query(test, [*TO_BOUGHT, *histogram_steps("bought", "lifetime_days", 20)], "SELECT * FROM hist"),
         "ztest_rows": query(test, [*TO_BOUGHT, _counts("early", "bought"), *share_steps("counts")], SHARE_RESULT),
+        "ztest_rows_fanout": query([PARTICIPANTS], [MEMBERS, every_signup, (
+            "early", """SELECT g."group", g.event_name FROM goals g
+                        JOIN goals r ON r.user_id = g.user_id AND r.event_name = 'registration'
+                        WHERE g.ts - r.ts < INTERVAL 8 DAYS"""),
+            ("bought", "SELECT * FROM early WHERE event_name = 'purchase'"),
+            _counts("early", "bought"), *share_steps("counts")], SHARE_RESULT),
         "ztest_users": query(
             test,
             [*TO_BOUGHT, ("buyers", """SELECT DISTINCT user_id, "group" FROM bought"""), _counts("members", "buyers"), *share_steps("counts")],

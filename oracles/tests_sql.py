@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-from factsieve.functions import normal
-
-
-def _poly(coefficients: list[float], x: str) -> str:
-    text = f"CAST({coefficients[0]!r} AS DOUBLE)"
-    for c in coefficients[1:]:
-        text = f"({text} * {x} + CAST({c!r} AS DOUBLE))"
-    return text
-
-
 def upper_tail(z: str) -> str:
-    """Normal tail; ``z`` is a column name. The published coefficients are shared."""
-    x = f"({z} / sqrt(CAST(2 AS DOUBLE)))"
-    size, square = f"abs({x})", f"({x} * {x})"
-    inverse = f"(1 / {square})"
-    near = f"1 - {x} * {_poly(normal.ERF_NEAR_TOP, square)} / {_poly(normal.ERF_NEAR_BOTTOM, square)}"
-    mid = f"exp(-{square}) * {_poly(normal.ERFC_MID_TOP, size)} / {_poly(normal.ERFC_MID_BOTTOM, size)}"
-    far = (
-        f"exp(-{square}) / {size} * (1 / sqrt(pi()) - {inverse} * {_poly(normal.ERFC_FAR_TOP, inverse)}"
-        f" / {_poly(normal.ERFC_FAR_BOTTOM, inverse)})"
-    )
-    tail = f"CASE WHEN {size} <= 4 THEN {mid} ELSE {far} END"
-    return f"""(CASE WHEN {size} <= CAST(0.46875 AS DOUBLE) THEN {near}
-                     WHEN {x} < 0 THEN 2 - {tail} ELSE {tail} END / 2)"""
+    """Normal tail; ``z`` is a column name.
+
+    A power series below 2 and a continued fraction above: another way than the engine's, with
+    no constants in common.
+    """
+    size = f"(abs({z}) / sqrt(CAST(2 AS DOUBLE)))"
+    term = f"exp(n * (2 * ln({size}) + 2 * ln(2)) + lgamma(n + 1) - lgamma(2 * n + 2))"
+    series = f"(1 - 2 / sqrt(pi()) * exp(-{size} * {size}) * {size} * list_sum(list_transform(range(0, 80), lambda n: {term})))"
+    steps = f"list_reduce(list_transform(range(400, 0, -1), lambda k: CAST(k AS DOUBLE) / 2), lambda acc, k: k / ({size} + acc))"
+    fraction = f"(exp(-{size} * {size}) / sqrt(pi()) / ({size} + {steps}))"
+    tail = f"CASE WHEN {size} = 0 THEN CAST(1 AS DOUBLE) WHEN {size} < 2 THEN {series} ELSE {fraction} END"
+    return f"((CASE WHEN {z} < 0 THEN 2 - ({tail}) ELSE ({tail}) END) / 2)"
 
 
 VERDICT = "p <= CAST(0.05 AS DOUBLE) AS reject_h0"

@@ -55,7 +55,7 @@ FULL = (
     "tickets",
     """SELECT c.*, e.* EXCLUDE (event_id, event_type_description),
               CASE e.event_type_description WHEN 'спорт' THEN 'спортивное мероприятие'
-                   ELSE e.event_type_description END AS event_type_description
+                   WHEN 'small ring' THEN 'red widget' ELSE e.event_type_description END AS event_type_description
        FROM clean c LEFT JOIN fx_ticket_events e ON e.event_id = c.event_id""",
 )
 AUTUMN = ("autumn", "SELECT * FROM clean WHERE season = 'осень'")
@@ -157,7 +157,7 @@ def statements() -> dict[str, str]:
     prices = ", ".join(f"{season_mean(label)} AS {n}" for n, label in SEASONS.items())
     filled = ["order_id", "user_id", "created_dt_msk", "event_id", "age_limit", "currency_code",
               "device_type_canonical", "revenue", "tickets_count", "service_name", "days_since_prev"]
-    kinds = ["bigint", "bigint", "date", "bigint", "tinyint", "string", "string", "double", "tinyint", "string", "double"]
+    kinds = ["bigint", "bigint", "date", "bigint", "int", "string", "string", "double", "int", "string", "double"]
     profile = "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", '{k}' AS type, count({c}) AS filled, count(*) - count({c}) AS missing FROM fx_ticket_orders"""
         for c, k in zip(filled, kinds)
@@ -165,13 +165,15 @@ def statements() -> dict[str, str]:
     failures = "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} NOT BETWEEN -128 AND 127) AS failures FROM fx_ticket_orders"""
         for c in ("user_id", "age_limit", "tickets_count")
-    )
+    ) + """
+UNION ALL
+SELECT 'nominal', count(*) FILTER (WHERE nominal NOT BETWEEN -128 AND 127) FROM fx_rates"""
     all_columns = """order_id, user_id, created_dt_msk, event_id, age_limit, currency_code, device_type_canonical,
         revenue, tickets_count, service_name, days_since_prev, event_type_main, event_type_description, region_name,
         city_name, nominal, curs, cdx, revenue_rub, one_ticket_revenue_rub, month, season"""
     return {
         "null_profile": query([ORDERS], [], profile),
-        "downcast_check": query([ORDERS], [], failures),
+        "downcast_check": query([ORDERS, RATES], [], failures),
         "head_rows": query([ORDERS], [], "SELECT * FROM fx_ticket_orders ORDER BY order_id LIMIT 5"),
         "filter_eq": query([ORDERS], [], """SELECT order_id, device_type_canonical, currency_code FROM fx_ticket_orders
             WHERE device_type_canonical = 'mobile' AND currency_code <> 'rub'"""),
@@ -183,11 +185,13 @@ def statements() -> dict[str, str]:
             SELECT count(*) AS n FROM all_orders GROUP BY {', '.join(filled[1:])} HAVING count(*) > 1)"""),
         "distinct_sorted": query([ORDERS, EVENTS], [ALL_ORDERS], """
             SELECT DISTINCT CASE event_type_description WHEN 'спорт' THEN 'спортивное мероприятие'
-                   ELSE event_type_description END AS event_type_description
+                   WHEN 'small ring' THEN 'red widget' ELSE event_type_description END AS event_type_description
             FROM all_orders o LEFT JOIN fx_ticket_events e ON e.event_id = o.event_id
             WHERE event_type_description IS NOT NULL"""),
         "enrich_events": query([ORDERS, EVENTS], [ALL_ORDERS], """
-            SELECT order_id, o.event_id, event_type_main, event_type_description, region_name, city_name
+            SELECT order_id, o.event_id, event_type_main,
+                   CASE event_type_description WHEN 'small ring' THEN 'red widget' ELSE event_type_description END
+                     AS event_type_description, region_name, city_name
             FROM all_orders o LEFT JOIN fx_ticket_events e ON e.event_id = o.event_id"""),
         "enrich_rates": _orders([ALL_ORDERS], """SELECT order_id, created_dt_msk, nominal, curs, cdx
             FROM all_orders LEFT JOIN fx_rates ON data = created_dt_msk"""),
@@ -217,6 +221,20 @@ def statements() -> dict[str, str]:
             SELECT (SELECT count(*) FROM priced) AS rows_before, (SELECT count(*) FROM clean) AS rows_after)"""),
         "tickets_clean": _full(TO_FULL, f"SELECT {all_columns} FROM tickets"),
         "box_stats": _orders([*TO_PRICED, UNIQUE, *box_steps("deduped", "revenue_rub", interpolated("deduped", "revenue_rub", QUARTILES))], "SELECT * FROM box"),
+        "dup_row_count_tickets": query([ORDERS], [ALL_ORDERS], """
+            SELECT (SELECT count(*) FROM all_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM all_orders)) AS whole_rows,
+                   (SELECT count(*) FROM all_orders)
+                   - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (order_id) FROM all_orders)) AS but_for_id"""),
+        "describe_tickets": _orders(
+            [*TO_PRICED, UNIQUE, ("q", interpolated("deduped", "tickets_count", {"q25": 0.25, "q50": 0.5, "q75": 0.75}))],
+            """SELECT count(tickets_count) AS count, round(avg(tickets_count), 4) AS mean, round(stddev_samp(tickets_count), 4) AS std,
+                      CAST(min(tickets_count) AS DOUBLE) AS min, round(any_value(q25), 4) AS q25, round(any_value(q50), 4) AS q50,
+                      round(any_value(q75), 4) AS q75, CAST(max(tickets_count) AS DOUBLE) AS max FROM deduped, q"""),
+        "box_tickets_all": _orders([*TO_PRICED, UNIQUE, *box_steps("deduped", "tickets_count", interpolated("deduped", "tickets_count", QUARTILES))], "SELECT * FROM box"),
+        "box_revenue_clean": _orders([*TO_CLEAN, *box_steps("clean", "revenue_rub", interpolated("clean", "revenue_rub", QUARTILES))], "SELECT * FROM box"),
+        "overlap_after": _orders(TO_USERS, """
+            SELECT count(*) FILTER (WHERE device = 'mobile') AS in_a, count(*) FILTER (WHERE device = 'desktop') AS in_b,
+                   CAST(0 AS BIGINT) AS in_both FROM users"""),
         "box_tickets": _orders([*TO_CLEAN, *box_steps("clean", "tickets_count", interpolated("clean", "tickets_count", QUARTILES))], "SELECT * FROM box"),
         "orders_per_month": _orders(TO_CLEAN, "SELECT month, count(order_id) AS orders FROM clean GROUP BY month"),
         "pivot_event_season": _full([*TO_FULL, *event_mix], event_body),

@@ -1,3 +1,4 @@
+import pytest
 from factsieve.operators import quality
 
 
@@ -52,8 +53,9 @@ def test_distinct_values(spark):
 
 def test_narrowing_reports_what_does_not_fit(spark):
     df = spark.createDataFrame([(127, 1), (128, 2), (-129, None)], "a int, b int")
-    narrowed = quality.narrow_integers(df, ["a", "b"])
-    assert [tuple(r) for r in narrowed.collect()] == [(127, 1), (None, 2), (None, None)]
+    assert [tuple(r) for r in quality.narrow_integers(df, ["b"]).collect()] == [(127, 1), (128, 2), (-129, None)]
+    with pytest.raises(Exception, match="a does not fit tinyint"):
+        quality.narrow_integers(df, ["a"]).collect()
     assert {r.column: r.failures for r in quality.narrowing_failures(df, ["a", "b"]).collect()} == {"a": 2, "b": 0}
 
 

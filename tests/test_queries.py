@@ -77,3 +77,31 @@ def test_bounds_and_rows_share_one_shuffle(spark):
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReusedExchange \[user_id", plan)
+
+
+@pytest.mark.parametrize("key", ["mw_orders_per_user", "group_overlap", "dedup_key", "exclude_overlap"])
+def test_plans_aggregate_by_hash(spark, key):
+    assert "SortAggregate" not in plan_of(spark, key)
+
+
+def test_events_are_joined_after_grouping(spark):
+    for key in ("pivot_event_season", "ticket_price_change", "region_summary"):
+        plan = QUERIES[key](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Join LeftOuter, \(event_id|Join Inner, \(event_id|Join .*event_id", plan), key
+        at = re.search(r"Join (LeftOuter|Inner), \(event_id", plan).start()
+        assert "Aggregate [event_id" in plan[at:], key
+
+
+def test_shares_need_no_window_in_one_task(spark):
+    plan = QUERIES["revenue_by_segment"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan[: plan.index("Aggregate")]
+
+
+def test_large_rates_and_orders_lose_no_row(spark):
+    from factsieve.plans import tickets
+
+    sales = registry.sales(spark, FOLDER)
+    rows = tickets.deduplicated(sales)
+    assert rows.filter("tickets_count > 127").count() > 0
+    assert rows.filter("nominal > 127 AND currency_code = cdx").count() > 0
+    assert rows.filter("revenue_rub IS NULL OR tickets_count IS NULL").count() == 0
