@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factsieve.functions import labels
 from factsieve.functions.categories import days_label
@@ -17,7 +18,7 @@ from factsieve.operators.order_statistics import quantiles
 from factsieve.operators.trimming import iqr_fences, iqr_filter
 from factsieve.plans import city_usage, interface_test, property, tickets
 from factsieve.session import scratch_path
-from factsieve.sources import standins
+from factsieve.sources import files, schemas, standins
 from factsieve.sources.readers import load, read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,56 @@ def experiment(spark: SparkSession, folder: str, single_registration: bool = Tru
     )
 
 
+def as_files(spark: SparkSession, tables: dict[str, tuple[DataFrame, T.StructType]]) -> str:
+    """Write the stand-ins as CSV with the columns of the original files; the shared folder's path."""
+    path = scratch_path(spark, "files")
+    for name, (table, schema) in tables.items():
+        full = table.withColumns({f.name: F.lit("?").cast(f.dataType) for f in schema.fields if f.name not in table.columns})
+        moments = {f.name: F.date_format(f.name, files.MOMENT.replace("[", "").replace("]", "")) for f in schema.fields
+                   if isinstance(f.dataType, T.TimestampNTZType)}
+        full.withColumns(moments).select(*schema.fieldNames()).write.option("header", True).csv(f"{path}/{name}")
+    return path
+
+
+def cities_count_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    tables = {
+        "flats": (standins.flats(spark, folder), schemas.FLATS),
+        "advertisement": (standins.advertisement(spark, folder), schemas.ADVERTISEMENT),
+        "city": (standins.city(spark, folder), schemas.CITY),
+        "type": (standins.settlement_type(spark, folder), schemas.SETTLEMENT_TYPE),
+    }
+    given = market(spark, folder)
+    return property.cities_count(
+        files.market_from_files(
+            spark, as_files(spark, tables), main_city_id=str(given.main_city_id), main_city=given.main_city,
+            target_type=given.target_type, first_year=given.first_year, last_year=given.last_year,
+        )
+    )
+
+
+def kpi_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    orders = standins.ticket_orders_with_copies(spark, folder)
+    moment = F.col("created_dt_msk").cast("timestamp_ntz")
+    orders = orders.withColumns({"created_ts_msk": moment, "total": F.col("revenue")})
+    tables = {
+        "orders": (orders, schemas.TICKET_ORDERS),
+        "events": (standins.ticket_events(spark, folder), schemas.TICKET_EVENTS),
+        "rates": (standins.rates(spark, folder), schemas.CURRENCY_RATES),
+    }
+    return kpi(files.sales_from_files(spark, as_files(spark, tables)))
+
+
+def ab_lifetime_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Timestamps are written as text and parsed again."""
+    given = experiment(spark, folder)
+    tables = {
+        "participants": (given.participants(), schemas.AB_PARTICIPANTS),
+        "events": (given.events(), schemas.AB_EVENTS),
+    }
+    found = ab_lifetime(files.experiment_from_files(spark, as_files(spark, tables), given.name))
+    return found.withColumn("user_id", F.col("user_id").cast("long"))
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Sums of doubles depend on the order of addition; cut that noise off."""
     scale = float(10**digits)
@@ -527,6 +578,9 @@ def queries() -> dict[str, Query]:
         "mw_city_hours_fenced": mw_city_hours_fenced,
         # conversion test
         "ab_merge": _test(ab_merge),
+        "ab_lifetime_from_files": ab_lifetime_from_files,
+        "cities_count_from_files": cities_count_from_files,
+        "kpi_from_files": kpi_from_files,
         "ab_lifetime": _test(ab_lifetime),
         "ab_lifetime_fanout": lambda s, d: interface_test.registration_fanout(experiment(s, d, single_registration=False)),
         "ab_overlap": _test(ab_overlap),
