@@ -40,7 +40,10 @@ def ratio(x: Column, y: Column) -> Column:
 
 
 def exact_sum(x: Column) -> Column:
-    """Sum of amounts in decimals: the same in whatever order tasks deliver the rows."""
+    """Sum of amounts in decimals: the same in whatever order tasks deliver the rows.
+
+    Each amount is first rounded to six decimals.
+    """
     return F.sum(x.cast("decimal(24,6)")).cast("double")
 
 
