@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from factsieve.llm.batches import filter_rows, map_rows, plain_words, raw
 
 WINDOW = 10
-#: Bytes of item text that one pass hands to the tasks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item text that one pass hands to the tasks; their tables take some hundred times that.
+BLOCK_BYTES = 1 << 20
 
 Item = tuple[int | None, bytes]
 

@@ -31,8 +31,8 @@ from factsieve.llm.storage import checkpointed
 
 #: Share of the votes, in thousandths, that a winning path needs.
 WINNING = 800
-#: Winners are broadcast up to this many hosts of at most 1 KB each.
-BROADCAST_HOSTS = 20_000
+#: Winners are broadcast up to this many characters of hosts and paths, else joined by a shuffle.
+BROADCAST_CHARS = 8 << 20
 
 # The elements and names that HTML and its authors use for each purpose.
 CONTAINERS = frozenset("body main article section div center table tbody thead tfoot tr td th ul ol dl blockquote figure details".split())
@@ -214,8 +214,8 @@ def consensus(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars, path."""
     winners = checkpointed(consensus(pages))
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners.filter(F.length("host") + F.length("path") <= 1024))
+    if (winners.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0) <= BROADCAST_CHARS:
+        winners = F.broadcast(winners)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(winners, "host", "left").withColumn("path", F.coalesce("path", F.lit("")))
 

@@ -53,18 +53,15 @@ def slot_of(key: Column, text: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.when(key.isNull(), by_text).otherwise(F.xxhash64(key.cast("string"))), F.lit(slots))
 
 
+def _table(docs: DataFrame, slot: str, shard: str, shards: list[str], slots: int) -> DataFrame:
+    names = pd.DataFrame({slot: range(slots), shard: [shards[k] for k in lookup_table(shards, slots)]})
+    return docs.sparkSession.createDataFrame(names, f"{slot} long, {shard} string")
+
+
 def place(docs: DataFrame, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """One row per document row: doc_id, slot, shard, and the shard it would move to if its own were lost."""
-    spark = docs.sparkSession
-    table = lookup_table(shards, slots)
-    columns = {"slot": range(slots), "shard": [shards[k] for k in table]}
-    rest = {lost: lookup_table([s for s in shards if s != lost], slots) for lost in shards} if 1 < len(shards) <= 64 else {}
-    columns["fallback"] = [
-        [s for s in shards if s != own][rest[own][slot]] if rest else None for slot, own in enumerate(columns["shard"])
-    ]
-    found = spark.createDataFrame(pd.DataFrame(columns), "slot long, shard string, fallback string")
+    """One row per document row: doc_id, slot, shard."""
     keyed = docs.select("doc_id", slot_of(F.col("doc_id"), F.col("text"), slots).alias("slot"))
-    return keyed.join(F.broadcast(found), "slot").select("doc_id", "slot", "shard", "fallback")
+    return keyed.join(F.broadcast(_table(docs, "slot", "shard", shards, slots)), "slot").select("doc_id", "slot", "shard")
 
 
 def write(docs: DataFrame, shards: list[str], path: str, slots: int = SLOTS, rows_per_file: int = 1_000_000) -> None:
@@ -74,9 +71,7 @@ def write(docs: DataFrame, shards: list[str], path: str, slots: int = SLOTS, row
     """
     own = "_slot" + "_" * max(len(c) for c in docs.columns)
     shard = "shard" if "shard" not in docs.columns else own + "shard"
-    found = docs.sparkSession.createDataFrame(
-        pd.DataFrame({own: range(slots), shard: [shards[k] for k in lookup_table(shards, slots)]}), f"{own} long, {shard} string"
-    )
+    found = _table(docs, own, shard, shards, slots)
     parts = max(1, -(-docs.count() // (len(shards) * rows_per_file)))
     placed = docs.withColumn(own, slot_of(F.col("doc_id"), F.col("text"), slots)).join(F.broadcast(found), own).drop(own)
     salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))

@@ -44,8 +44,8 @@ def test_hosts_agree_on_a_path(spark):
     assert texts.count((11, TEXT)) == 2 and [len(t) for i, t in texts if i is None] == [99_999]
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert H.extract(pages.limit(0)).count() == 0
-    many, H.BROADCAST_HOSTS = H.BROADCAST_HOSTS, -1
+    most, H.BROADCAST_CHARS = H.BROADCAST_CHARS, -1
     try:
         assert sorted(map(str, H.extract(pages).collect())) == sorted(map(str, found))
     finally:
-        H.BROADCAST_HOSTS = many
+        H.BROADCAST_CHARS = most
