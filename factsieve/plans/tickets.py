@@ -13,7 +13,7 @@ from factsieve.functions.calendar import is_weekend, iso_weekday, season
 from factsieve.functions.categories import change_class, in_home_currency, unit_price
 from factsieve.functions.rounding import exact_mean, exact_sum, half_even, percent, ratio
 from factsieve.operators import summary
-from factsieve.operators.attach import read_once
+from factsieve.operators.attach import read_once, scalar_row
 from factsieve.operators.hypothesis import mann_whitney
 from factsieve.operators.quality import drop_hidden_duplicates, replace_labels, top_k
 from factsieve.operators.trimming import cap_values, percentile_cap
@@ -88,6 +88,25 @@ def clean_orders(sales: Sales) -> DataFrame:
     return percentile_cap(deduplicated(sales), CAPS, positive=["revenue_rub"])
 
 
+def cap_row(sales: Sales) -> DataFrame:
+    """The caps as one row, to be stored or passed to ``clean_between``."""
+    return cap_values(deduplicated(sales), CAPS)
+
+
+def clean_between(sales: Sales, stored_caps: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The rows of ``clean_orders`` in a span of days, given the caps of all orders.
+
+    The caps come as a scalar and the days are filtered before duplicates are dropped (rows that
+    are equal but for the id have one day), so the filter reaches the scan of the orders.
+    """
+    orders = drop_hidden_duplicates(selected(sales.orders(), start, end), "order_id")
+    held = derived(with_rates(orders, sales)).withColumn("_caps", scalar_row(stored_caps))
+    keep = F.col("revenue_rub") > 0
+    for column in CAPS:
+        keep = keep & (F.col(column) <= F.col("_caps").getField(f"{column}_cap"))
+    return held.filter(keep).drop("_caps")
+
+
 def clean_tickets(sales: Sales) -> DataFrame:
     return with_events(clean_orders(sales), sales)
 

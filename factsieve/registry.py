@@ -379,10 +379,8 @@ def kpi(s: tickets.Sales) -> DataFrame:
 
 
 def kpi_filtered(s: tickets.Sales) -> DataFrame:
-    rows = tickets.selected(
-        tickets.clean_tickets(s), start="1996-01-01", end="1999-12-31", currency="rub", region="NATION_7",
-        event_type="ECONOMY",
-    )
+    rows = tickets.clean_between(s, tickets.cap_row(s), "1996-01-01", "1999-12-31")
+    rows = tickets.selected(tickets.with_events(rows, s), currency="rub", region="NATION_7", event_type="ECONOMY")
     return rounded(tickets.kpi(rows), 2, "revenue", "avg_order")
 
 

@@ -105,3 +105,9 @@ def test_large_rates_and_orders_lose_no_row(spark):
     assert rows.filter("tickets_count > 127").count() > 0
     assert rows.filter("nominal > 127 AND currency_code = cdx").count() > 0
     assert rows.filter("revenue_rub IS NULL OR tickets_count IS NULL").count() == 0
+
+
+def test_board_filter_reaches_the_scan_of_the_orders(spark):
+    plan = QUERIES["kpi_filtered"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[(o_orderkey[^\]]*)\].*?PushedFilters: \[([^\]]*)\]", plan)
+    assert any("o_totalprice" in columns and "o_orderdate" in pushed and "GreaterThanOrEqual" in pushed for columns, pushed in scans), scans
