@@ -7,8 +7,8 @@ block, so that the dictionary counts for every part of a text and not for its st
 
 The dictionaries come from a bounded sample of labelled rows that are not held out: about
 ``samples`` texts of each language, chosen by a hash of the id, of which whole texts are taken
-until a dictionary is full. Languages are assumed to be few (their names and samples reach the
-driver). Texts are lower-cased and ASCII signs and digits blanked before both steps.
+until a dictionary is full. The most frequent ``LANGUAGES`` are learned; their names and samples
+reach the driver. Texts are lower-cased and ASCII signs and digits blanked before both steps.
 
 Null, empty and letterless texts get ``und``. Ties go to the first name in order and are
 rejected. Rows without an id or language are not learned from but are predicted. With nothing
@@ -32,6 +32,7 @@ SAMPLE_TEXT_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 11
 LEVEL = 3
+LANGUAGES = 200
 #: A narrow margin: the best is less than this share smaller than the next.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -52,7 +53,8 @@ def learn(docs: DataFrame, samples: int = SAMPLES, size: int = DICTIONARY_BYTES)
     """The dictionary of each language, from whole texts of at most ``SAMPLE_TEXT_BYTES``."""
     usable = F.expr(f"lang IS NOT NULL AND octet_length(text) BETWEEN 1 AND {SAMPLE_TEXT_BYTES}")
     rows = docs.filter(usable & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return {}
     # of each language the share of hashes that holds about ``samples`` rows
