@@ -3,7 +3,9 @@
 Every page is read into blocks, each with the path of the containers around it. A path step is a
 tag with its classes, digits left out, so that pages of one template agree. Blocks in menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and hidden
-parts are left out, and so are blocks outside of articles that are mostly links.
+parts are left out, and so are blocks outside of articles that are mostly links. A name alone
+never decides on a page's whole text: main and article count within containers of such names,
+and a container that holds four fifths of the text of the pages where a host has it counts too.
 
 First pass: a page scores each of its containers by the share of the page's characters below
 it, in thousandths, and these votes are added up per host and path. The winner of a host is
@@ -20,7 +22,7 @@ from __future__ import annotations
 import html as markup
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,43 +49,72 @@ BOILERPLATE = re.compile(
     r"|sponsor\w*|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|comment\w*|disqus|respond"
     r"|share|sharing|social|related|breadcrumbs?|pagination|pager|toolbar|copyright|disclaimer|gdpr|overlay)s?(?=$|[\s_\d-])"
 )
+#: Forms that tell what a container has, lacks or is filed under, not what it is.
+MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without|category|tag)[_-]\S*")
 TOP = re.compile(r"(?:^|[\s_-])header(?=$|[\s_\d-])")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S
 )
-_NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _DIGITS = re.compile(r"\d+")
 
 Block = tuple[str, str]
+#: Set before the step of a container that is left out for its name.
+MARK = "!"
 
 
-def _step(tag: str, attributes: str) -> str:
+KEPT, NAMED, GONE = range(3)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _step(tag: str, attributes: dict[str, str]) -> str:
     """The tag and its classes without digits."""
-    found = _CLASS.search(attributes) if attributes else None
-    if not found:
-        return tag
-    return ".".join([tag, *sorted(set(_DIGITS.sub("", "".join(filter(None, found.groups()))).lower().split()))])
+    names = _DIGITS.sub("", attributes.get("class", "")).lower().replace("/", "").replace(MARK, "").split()
+    return ".".join([tag, *sorted(set(names))])
+
 
+def _named(attributes: dict[str, str], inside: bool) -> bool:
+    names = MODIFIER.sub("", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+    return bool(BOILERPLATE.search(names)) or (not inside and bool(TOP.search(names)))
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of the main text; ``inside`` an article a header may be."""
+
+def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """Whether an element is no part of the main text, by itself or by its name only; ``inside`` an article a header may be."""
     if tag in SKIPPED or (tag == "header" and not inside):
-        return True
+        return GONE
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    names = " ".join("".join(filter(None, m.groups())) for m in _NAMES.finditer(attributes)).lower()
-    return bool(names) and (bool(BOILERPLATE.search(names)) or (not inside and bool(TOP.search(names))))
+        return KEPT
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return GONE
+    if _NO_DISPLAY.search(attributes.get("style", "")):
+        return GONE
+    return NAMED if _named(attributes, inside) else KEPT
+
+
+def _resets(tag: str, attributes: dict[str, str], path: str) -> bool:
+    """Whether an element is main text though a container around it has a name of boilerplate.
+
+    A main is, and so is an article, unless it is a comment by its own name or the container lies within an article.
+    """
+    if tag == "article":
+        before = path.partition("/" + MARK)[0]
+        return not ("/article" in before or "/main" in before or _named(attributes, True))
+    return tag == "main"
 
 
 def blocks(html: str | None) -> list[Block]:
-    """(path, text) of the blocks that may be main text, in page order."""
+    """(path, text) of the blocks that may be main text, in page order; steps left out by name are marked."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, left out
+    stack: list[tuple[str, str, int]] = [("", "", KEPT)]  # tag, path, whether its text is passed over
     pieces: list[str] = []
     links = linked = 0
 
@@ -151,13 +182,47 @@ def blocks(html: str | None) -> list[Block]:
             continue
         _, path, out = stack[-1]
         inside = "/article" in path or "/main" in path
-        out = out or _left_out(tag, attributes, inside)
-        stack.append((tag, f"{path}/{_step(tag, attributes)}" if tag in CONTAINERS else path, out))
+        named = _attributes(attributes) if attributes else {}
+        kind = _left_out(tag, named, inside)
+        if (MARK in path or out == NAMED) and _resets(tag, named, path):
+            path, out = path.replace("/" + MARK, "/"), out if out == GONE else KEPT
+        if kind == NAMED and tag in BLOCKS:
+            kind = KEPT
+            path = f"{path}/{MARK}{_step(tag, named)}"
+        elif tag in CONTAINERS:
+            path = f"{path}/{_step(tag, named)}"
+        stack.append((tag, path, max(out, kind)))
         links += tag == "a"
     flush()
     return found
 
 
+def marked(path: str) -> list[str]:
+    """The path's containers that are left out by name, outermost first."""
+    steps = path.split("/") if MARK in path else []
+    return ["/".join(steps[: k + 1]) for k, step in enumerate(steps) if step.startswith(MARK)]
+
+
+def named_shares(found: list[Block]) -> dict[str, int]:
+    """The share of the characters, in thousandths, below each container that is left out by name."""
+    total = sum(len(text) for _, text in found)
+    below: Counter = Counter()
+    for path, text in found:
+        for container in marked(path):
+            below[container] += len(text)
+    return {path: 1000 * n // total for path, n in below.items()}
+
+
+def unexcluded(found: list[Block], lifted: Collection[str]) -> list[Block]:
+    """The blocks that lie in no container left out by name but those ``lifted``."""
+    return [b for b in found if MARK not in b[0] or all(m in lifted for m in marked(b[0]))]
+
+
+def own_blocks(found: list[Block]) -> list[Block]:
+    """As ``unexcluded``, where a page lifts the containers that hold most of its own text."""
+    return unexcluded(found, {path for path, n in named_shares(found).items() if n >= WINNING})
+
+
 def votes(found: list[Block]) -> dict[str, int]:
     """The share of the characters below each path, in thousandths; the empty path has all."""
     total = sum(len(text) for _, text in found)
@@ -175,9 +240,9 @@ def deepest(shares: dict[str, int], full: int) -> str:
     return min(good, key=lambda p: (-p.count("/"), p), default="")
 
 
-def main_text(html: str | None, path: str) -> str:
-    """The blocks below a path, or below the page's own best path if there are none."""
-    found = blocks(html)
+def main_text(html: str | None, path: str, lifted: Collection[str] = ()) -> str:
+    """The blocks below a path, or below the page's own best path if there are none; ``lifted`` are its host's."""
+    found = unexcluded(blocks(html), lifted)
 
     def below(chosen: str) -> list[str]:
         return [text for own, text in found if own == chosen or own.startswith(chosen + "/")]
@@ -190,43 +255,56 @@ def host_of(url: Column) -> Column:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path): the winning path of every host."""
+    """(host, path, lifted): the winning path of every host, and its containers that count in spite of their names.
+
+    Those hold, on average over the pages where they occur, as much of the text as a winner needs.
+    """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: Counter = Counter()
+            counts: Counter = Counter()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, share in votes(blocks(html)).items():
-                    sums[host, path] += share
-            keys, shares = list(sums), list(sums.values())
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shares, pa.int64())], ["host", "path", "votes"])
+                found = blocks(html)
+                shares = [(False, *x) for x in votes(own_blocks(found)).items()]
+                for named, path, share in shares + [(True, *x) for x in named_shares(found).items()]:
+                    sums[host, path, named] += share
+                    counts[host, path, named] += 1
+            arrays = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            arrays += [pa.array([x[k] for k in sums], pa.int64()) for x in (sums, counts)]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "named", "votes", "pages"])
 
     cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
-    sums = cast.mapInArrow(task, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    cast = cast.mapInArrow(task, "host string, path string, named boolean, votes long, pages long")
+    sums = checkpointed(cast.groupBy("host", "path", "named").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages")))
+    lifted = sums.filter(F.col("named") & (F.col("votes") >= F.col("pages") * WINNING))
+    lifted = lifted.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("lifted"))
+    sums = sums.filter(~F.col("named"))
     possible = sums.filter("path = ''").select("host", F.col("votes").alias("possible"))
     depth = F.size(F.split("path", "/"))
     good = sums.join(possible, "host").filter(F.col("votes") * 1000 >= F.col("possible") * WINNING)
     first = F.min(F.struct((-depth).alias("depth"), "path"))
-    return good.groupBy("host").agg(first["path"].alias("path"))
+    return good.groupBy("host").agg(first["path"].alias("path")).join(lifted, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars, path."""
     winners = checkpointed(consensus(pages))
-    if (winners.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0) <= BROADCAST_CHARS:
+    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.coalesce(F.length(F.concat_ws("", "lifted")), F.lit(0))
+    if (winners.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS:
         winners = F.broadcast(winners)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(winners, "host", "left").withColumn("path", F.coalesce("path", F.lit("")))
 
     def start():
-        def work(ids, urls, htmls, paths):
-            texts = [main_text(h, p) for h, p in zip(htmls.to_pylist(), paths.to_pylist())]
+        def work(ids, urls, htmls, paths, lifted):
+            texts = [main_text(h, p, x or ()) for h, p, x in zip(htmls.to_pylist(), paths.to_pylist(), lifted.to_pylist())]
             sizes = pa.array([len(t) for t in texts], pa.int64())
-            return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes, paths], names)
+            shown = pa.array([p.replace("/" + MARK, "/") for p in paths.to_pylist()], pa.string())
+            return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes, shown], names)
 
         return work
 
     names = ["page_id", "url", "text", "n_chars", "path"]
     schema = "page_id long, url string, text string, n_chars long, path string"
-    return map_rows(rows, ["page_id", "url", "html", "path"], start, schema)
+    return map_rows(rows, ["page_id", "url", "html", "path", "lifted"], start, schema)

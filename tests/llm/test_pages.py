@@ -49,3 +49,18 @@ def test_hosts_agree_on_a_path(spark):
         assert sorted(map(str, H.extract(pages).collect())) == sorted(map(str, found))
     finally:
         H.BROADCAST_CHARS = most
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "no-sidebar", "has-sticky-menu", "post category-social", "sidebar-layout", "x sidebar right"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_of_wrappers_do_not_drop_the_page(spark, wrapper, tag):
+    page = f"<body><div class='{wrapper}'><{tag}><p>The whole story.</p><div class=ad>Buy</div></{tag}></div></body>"
+    rows = [(k, f"https://a.org/{k}", page, "x") for k in range(3)]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert [r["text"] for r in found] == ["The whole story."] * 3
+
+
+def test_only_real_attributes_hide():
+    page = '<article><p>Read <a title="the hidden cost" data-x="display:none" href="#a">this</a> now.<p hidden>a<p aria-hidden=true>b<p style="color:red;display: none">c</article>'
+    assert H.main_text(page, "") == "Read this now."
+    assert H.main_text("<article><p>Text.</p><div class=comments><article class=comment-body>Nice</article></div></article>", "") == "Text."
