@@ -8,10 +8,15 @@ never decides on a page's whole text: main and article count within containers o
 and a container that holds four fifths of the text of the pages where a host has it counts too.
 
 First pass: a page scores each of its containers by the share of the page's characters below
-it, in thousandths, and these votes are added up per host and path. The winner of a host is
-its deepest path with at least four fifths of the votes that are possible. Second pass: each
-page is read again and yields the blocks below its host's winning path. A page without
-such blocks falls back on its own deepest path of that kind.
+it, in thousandths, and these votes are added up per host and path. The winner of a host lies on
+the way down along the paths with at least four fifths of the votes that are possible. The way
+ends at the first article or main, and above a container beside which most pages have other
+text, unless the host repeats that text from page to page. Into an article or main it goes on
+unless that text stands in no container of its own.
+
+Second pass: each page is read again and yields the blocks below its host's winning path. Where
+these hold less than four fifths of the page's text, less what the host repeats beside that
+path, the page's own path is taken, found in the same way.
 
 Null, empty and textless pages give the empty text. Pages without a host form one group.
 Repeated rows give repeated rows. An empty table gives no rows.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+import zlib
 from collections import Counter
 from collections.abc import Collection, Iterable, Iterator
 
@@ -33,6 +39,8 @@ from factsieve.llm.storage import checkpointed
 
 #: Share of the votes, in thousandths, that a winning path needs.
 WINNING = 800
+#: Relative error of the counts of different texts, which are compared at a ratio of two.
+ERROR = 0.1
 #: Winners are broadcast up to this many characters of hosts and paths, else joined by a shuffle.
 BROADCAST_CHARS = 8 << 20
 
@@ -60,6 +68,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _DIGITS = re.compile(r"\d+")
 
+_ARTICLE = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
+
 Block = tuple[str, str]
 #: Set before the step of a container that is left out for its name.
 MARK = "!"
@@ -197,6 +207,24 @@ def blocks(html: str | None) -> list[Block]:
     return found
 
 
+def scored(found: list[Block]) -> dict[str, tuple[int, int]]:
+    """The characters below each path and a hash of them; the empty path has all.
+
+    Paths end at the first article or main. The blocks that lie in a container itself, not in one
+    further down, have that container's path and a slash.
+    """
+    below: dict[str, tuple[int, int]] = {}
+    for path, text in found:
+        top = _ARTICLE.search(path)
+        steps = (path[: top.end()] if top else path + "/").split("/")
+        code = zlib.crc32(text.encode("utf-8", "replace"))
+        for depth in range(1, len(steps) + 1):
+            key = "/".join(steps[:depth])
+            n, old = below.get(key, (0, 0))
+            below[key] = n + len(text), (old * 31 + code) & 0xFFFFFFFF
+    return below
+
+
 def marked(path: str) -> list[str]:
     """The path's containers that are left out by name, outermost first."""
     steps = path.split("/") if MARK in path else []
@@ -223,31 +251,37 @@ def own_blocks(found: list[Block]) -> list[Block]:
     return unexcluded(found, {path for path, n in named_shares(found).items() if n >= WINNING})
 
 
-def votes(found: list[Block]) -> dict[str, int]:
-    """The share of the characters below each path, in thousandths; the empty path has all."""
-    total = sum(len(text) for _, text in found)
-    below: Counter = Counter()
-    for path, text in found:
-        steps = path.split("/")
-        for depth in range(1, len(steps) + 1):
-            below["/".join(steps[:depth])] += len(text)
-    return {path: 1000 * n // total for path, n in below.items()} if total else {}
+def own_path(found: list[Block]) -> str:
+    """The winning path of a page by itself."""
+    sizes, path = {k: n for k, (n, _) in scored(found).items()}, ""
+    while sizes:
+        children = {k: n for k, n in sizes.items() if k and k.rpartition("/")[0] == path}
+        big = [k for k, n in children.items() if not k.endswith("/") and 1000 * n >= WINNING * sizes[""]]
+        beside = {path + "/"} if big and _ARTICLE.search(big[0]) else set(children) - set(big)
+        if not big or beside & set(children):
+            break
+        path = big[0]
+    return path
 
 
-def deepest(shares: dict[str, int], full: int) -> str:
-    """The deepest path with enough votes; of several the first by name."""
-    good = [path for path, n in shares.items() if 1000 * n >= WINNING * full]
-    return min(good, key=lambda p: (-p.count("/"), p), default="")
+def lies_below(path: str, chosen: str) -> bool:
+    return path == chosen or path.startswith(chosen + "/")
 
 
-def main_text(html: str | None, path: str, lifted: Collection[str] = ()) -> str:
-    """The blocks below a path, or below the page's own best path if there are none; ``lifted`` are its host's."""
-    found = unexcluded(blocks(html), lifted)
-
-    def below(chosen: str) -> list[str]:
-        return [text for own, text in found if own == chosen or own.startswith(chosen + "/")]
+def main_text(html: str | None, path: str, lifted: Collection[str] = (), repeated: Collection[str] = ()) -> str:
+    """The blocks below a path, or below the page's own path if they are too small a share of the page.
 
-    return "\n".join(below(path) or below(deepest(votes(found), 1000)))
+    ``lifted`` containers are the host's that count in spite of their names, ``repeated`` ones those
+    beside its path whose text it repeats.
+    """
+    found = unexcluded(blocks(html), lifted)
+    chosen = [text for own, text in found if lies_below(own, path)]
+    others = [(own, text) for own, text in found if lies_below(own, path) or not any(own + "/" == k or lies_below(own, k) for k in repeated)]
+    if sum(map(len, chosen)) * 1000 < WINNING * sum(len(text) for _, text in others) or not chosen:
+        others = others or found
+        best = own_path(others)
+        chosen = [text for own, text in others if lies_below(own, best)]
+    return "\n".join(chosen)
 
 
 def host_of(url: Column) -> Column:
@@ -255,50 +289,84 @@ def host_of(url: Column) -> Column:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path, lifted): the winning path of every host, and its containers that count in spite of their names.
+    """(host, path, lifted, repeated): the winning path of every host, and what it needs to be applied.
 
-    Those hold, on average over the pages where they occur, as much of the text as a winner needs.
+    Lifted are containers that count in spite of their names: they hold, on average over the pages
+    where they occur, as much of the text as a winner needs. Repeated are those beside the way to
+    the winner that have, over all addresses, at most half as many different texts.
     """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: Counter = Counter()
-            counts: Counter = Counter()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows: list[tuple] = []
+            for host, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = blocks(html)
-                shares = [(False, *x) for x in votes(own_blocks(found)).items()]
-                for named, path, share in shares + [(True, *x) for x in named_shares(found).items()]:
-                    sums[host, path, named] += share
-                    counts[host, path, named] += 1
-            arrays = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
-            arrays += [pa.array([x[k] for k in sums], pa.int64()) for x in (sums, counts)]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "named", "votes", "pages"])
-
-    cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
-    cast = cast.mapInArrow(task, "host string, path string, named boolean, votes long, pages long")
-    sums = checkpointed(cast.groupBy("host", "path", "named").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages")))
+                address = zlib.crc32(url.encode("utf-8", "replace"))
+                shares = scored(own_blocks(found))
+                total = shares.get("", (0, 0))[0]
+                rows += [(host, path, False, 1000 * n // total, code, address) for path, (n, code) in shares.items()]
+                rows += [(host, path, True, share, 0, address) for path, share in named_shares(found).items()]
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            arrays = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "named", "share", "code", "address"])
+
+    address = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)[?#].*", "")
+    cast = pages.select(host_of(F.col("url")).alias("host"), address.alias("url"), F.col("html"))
+    cast = cast.mapInArrow(task, "host string, path string, named boolean, share long, code long, address long")
+    sums = cast.groupBy("host", "path", "named").agg(
+        F.sum("share").alias("votes"),
+        F.count("*").alias("pages"),
+        F.approx_count_distinct("code", ERROR).alias("texts"),
+        F.approx_count_distinct("address", ERROR).alias("addresses"),
+    )
+    sums = checkpointed(sums)
     lifted = sums.filter(F.col("named") & (F.col("votes") >= F.col("pages") * WINNING))
     lifted = lifted.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("lifted"))
-    sums = sums.filter(~F.col("named"))
-    possible = sums.filter("path = ''").select("host", F.col("votes").alias("possible"))
-    depth = F.size(F.split("path", "/"))
-    good = sums.join(possible, "host").filter(F.col("votes") * 1000 >= F.col("possible") * WINNING)
-    first = F.min(F.struct((-depth).alias("depth"), "path"))
-    return good.groupBy("host").agg(first["path"].alias("path")).join(lifted, "host", "full")
+    sums = sums.filter(~F.col("named")).drop("named")
+    possible = sums.filter("path = ''").select("host", F.col("votes").alias("possible"), F.col("pages").alias("all"))
+    direct, article = F.col("path").endswith("/"), F.col("path").rlike(r"/(article|main)(\.[^/]*)?$")
+    scores = sums.join(possible, "host").select(
+        "host",
+        "path",
+        F.when(F.col("path") != "", F.regexp_replace("path", "/[^/]*$", "")).alias("parent"),
+        (F.size(F.split("path", "/"))).alias("depth"),
+        (~direct & (F.col("votes") * 1000 >= F.col("possible") * WINNING)).alias("big"),
+        direct.alias("direct"),
+        article.alias("article"),
+        (F.col("pages") * 2 > F.col("all")).alias("usual"),
+        ((F.col("votes") < F.col("pages") * 500) & (F.col("texts") * 2 <= F.col("addresses"))).alias("repeated"),
+    )
+    other = F.expr("NOT big AND usual AND NOT repeated")
+    below = scores.filter("parent IS NOT NULL").groupBy("host", F.col("parent").alias("path"))
+    below = below.agg(
+        F.expr("bool_or(big AND article)").alias("to_article"),
+        F.bool_or(other).alias("other"),
+        F.bool_or(other & F.col("direct")).alias("other_direct"),
+        F.collect_set(F.when(F.expr("repeated AND NOT big"), F.col("path"))).alias("repeated"),
+    )
+    way = scores.filter("big").select("host", "path", "depth").join(below, ["host", "path"], "left")
+    ends = F.expr("other_direct OR (other AND NOT to_article)")
+    step = F.struct("depth", "path")
+    winners = way.groupBy("host").agg(
+        F.coalesce(F.min(F.when(ends, step)), F.max(step))["path"].alias("path"),
+        F.sort_array(F.flatten(F.collect_list("repeated"))).alias("repeated"),
+    )
+    return winners.join(lifted, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars, path."""
     winners = checkpointed(consensus(pages))
-    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.coalesce(F.length(F.concat_ws("", "lifted")), F.lit(0))
+    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.length(F.concat_ws("", "lifted", "repeated"))
     if (winners.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS:
         winners = F.broadcast(winners)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(winners, "host", "left").withColumn("path", F.coalesce("path", F.lit("")))
 
     def start():
-        def work(ids, urls, htmls, paths, lifted):
-            texts = [main_text(h, p, x or ()) for h, p, x in zip(htmls.to_pylist(), paths.to_pylist(), lifted.to_pylist())]
+        def work(ids, urls, *given):
+            paths = given[1]
+            texts = [main_text(h, p, x or (), y or ()) for h, p, x, y in zip(*(c.to_pylist() for c in given))]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             shown = pa.array([p.replace("/" + MARK, "/") for p in paths.to_pylist()], pa.string())
             return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes, shown], names)
@@ -307,4 +375,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     names = ["page_id", "url", "text", "n_chars", "path"]
     schema = "page_id long, url string, text string, n_chars long, path string"
-    return map_rows(rows, ["page_id", "url", "html", "path", "lifted"], start, schema)
+    return map_rows(rows, ["page_id", "url", "html", "path", "lifted", "repeated"], start, schema)

@@ -64,3 +64,26 @@ def test_only_real_attributes_hide():
     page = '<article><p>Read <a title="the hidden cost" data-x="display:none" href="#a">this</a> now.<p hidden>a<p aria-hidden=true>b<p style="color:red;display: none">c</article>'
     assert H.main_text(page, "") == "Read this now."
     assert H.main_text("<article><p>Text.</p><div class=comments><article class=comment-body>Nice</article></div></article>", "") == "Text."
+
+
+LONG = "long text of the story " * 30
+WHOLE = {
+    "heading and lead": ("<article><h1>T{0}</h1><p>Lead {0}</p><div class=body><p>{1}</p></div></article>", "T{0}\nLead {0}\n{1}"),
+    "list": ("<main><p>Before {0}</p><ul><li>{1}</ul><p>After {0}</p></main>", "Before {0}\n{1}\nAfter {0}"),
+    "no article": ("<div class=post><h1>T{0}</h1><blockquote>{1}</blockquote></div>", "T{0}\n{1}"),
+    "lead container": ("<div><div class=lead>Lead {0}</div><div class=body>{1}</div></div>", "Lead {0}\n{1}"),
+    "rail": ("<div class=x>{1}</div><div class=rail>More</div>", "{1}"),
+    "rail and article": ("<div><article>{1}</article><div class=rail>More {0}</div></div>", "{1}"),
+}
+
+
+@pytest.mark.parametrize("case", WHOLE)
+def test_no_text_beside_the_largest_container_is_lost(spark, case):
+    page, text = WHOLE[case]
+    other = "<body><div class=other><p>" + LONG + "</p></div><div class=x>scrap</div><article>scrap</article></body>"
+    rows = [(k, f"https://a.org/{k}", f"<body>{page.format(k, LONG)}</body>", "x") for k in range(8)]
+    rows += [(99, "https://a.org/99", other, "x"), (100, "https://one.org", rows[0][2], "x")]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    texts = {r["page_id"]: r["text"] for r in found}
+    assert [texts[k] for k in range(8)] == [text.format(k, LONG.strip()) for k in range(8)]
+    assert LONG.strip() in texts[99] and text.format(0, LONG.strip()) in texts[100]
