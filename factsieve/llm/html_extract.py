@@ -3,7 +3,8 @@
 Every page is read into blocks, each with the path of the containers around it. A path step is a
 tag with its classes, digits left out, so that pages of one template agree. Blocks in menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and hidden
-parts are left out, and so are blocks outside of articles that are mostly links. A name alone
+parts are left out. Containers outside of articles whose own blocks are mostly links do not score,
+and are left out below the winner too where the host repeats the links. A name alone
 never decides on a page's whole text: main and article count within containers of such names,
 and a container that holds four fifths of the text of the pages where a host has it counts too.
 
@@ -70,7 +71,7 @@ _DIGITS = re.compile(r"\d+")
 
 _ARTICLE = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
 
-Block = tuple[str, str]
+Block = tuple[str, str, int]
 #: Set before the step of a container that is left out for its name.
 MARK = "!"
 
@@ -122,7 +123,10 @@ def _resets(tag: str, attributes: dict[str, str], path: str) -> bool:
 
 
 def blocks(html: str | None) -> list[Block]:
-    """(path, text) of the blocks that may be main text, in page order; steps left out by name are marked."""
+    """(path, text, characters in links) of the blocks that may be main text, in page order.
+
+    Steps left out by name are marked.
+    """
     found: list[Block] = []
     stack: list[tuple[str, str, int]] = [("", "", KEPT)]  # tag, path, whether its text is passed over
     pieces: list[str] = []
@@ -132,10 +136,10 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal linked
         if pieces:
             text, path = "".join(pieces), stack[-1][1]
-            if "/article" in path or "/main" in path or 2 * linked <= len(text):
-                text = " ".join((markup.unescape(text) if "&" in text else text).split())
-                if text:
-                    found.append((path, text))
+            share = linked / len(text)
+            text = " ".join((markup.unescape(text) if "&" in text else text).split())
+            if text:
+                found.append((path, text, round(share * len(text))))
             pieces.clear()
         linked = 0
 
@@ -207,14 +211,27 @@ def blocks(html: str | None) -> list[Block]:
     return found
 
 
+def mostly_links(found: list[Block]) -> dict[str, tuple[int, int]]:
+    """The containers outside of articles whose own blocks, taken together, are mostly links: characters and a hash."""
+    sums: dict[str, tuple[int, int, int]] = {}
+    for path, text, linked in found:
+        if not _ARTICLE.search(path):
+            n, links, code = sums.get(path, (0, 0, 0))
+            sums[path] = n + len(text), links + linked, zlib.crc32(text.encode("utf-8", "replace"), code)
+    return {path: (n, code) for path, (n, links, code) in sums.items() if 2 * links > n}
+
+
 def scored(found: list[Block]) -> dict[str, tuple[int, int]]:
     """The characters below each path and a hash of them; the empty path has all.
 
     Paths end at the first article or main. The blocks that lie in a container itself, not in one
-    further down, have that container's path and a slash.
+    further down, have that container's path and a slash; where they are mostly links they do not count.
     """
     below: dict[str, tuple[int, int]] = {}
-    for path, text in found:
+    skipped = mostly_links(found)
+    for path, text, _ in found:
+        if path in skipped:
+            continue
         top = _ARTICLE.search(path)
         steps = (path[: top.end()] if top else path + "/").split("/")
         code = zlib.crc32(text.encode("utf-8", "replace"))
@@ -233,9 +250,9 @@ def marked(path: str) -> list[str]:
 
 def named_shares(found: list[Block]) -> dict[str, int]:
     """The share of the characters, in thousandths, below each container that is left out by name."""
-    total = sum(len(text) for _, text in found)
+    total = sum(len(text) for _, text, _ in found)
     below: Counter = Counter()
-    for path, text in found:
+    for path, text, _ in found:
         for container in marked(path):
             below[container] += len(text)
     return {path: 1000 * n // total for path, n in below.items()}
@@ -268,20 +285,25 @@ def lies_below(path: str, chosen: str) -> bool:
     return path == chosen or path.startswith(chosen + "/")
 
 
-def main_text(html: str | None, path: str, lifted: Collection[str] = (), repeated: Collection[str] = ()) -> str:
+def main_text(
+    html: str | None, path: str, lifted: Collection[str] = (), repeated: Collection[str] = (), menus: Collection[str] = ()
+) -> str:
     """The blocks below a path, or below the page's own path if they are too small a share of the page.
 
     ``lifted`` containers are the host's that count in spite of their names, ``repeated`` ones those
-    beside its path whose text it repeats.
+    beside its path whose text it repeats, ``menus`` those whose links it repeats.
     """
     found = unexcluded(blocks(html), lifted)
-    chosen = [text for own, text in found if lies_below(own, path)]
-    others = [(own, text) for own, text in found if lies_below(own, path) or not any(own + "/" == k or lies_below(own, k) for k in repeated)]
-    if sum(map(len, chosen)) * 1000 < WINNING * sum(len(text) for _, text in others) or not chosen:
+    links = mostly_links(found)
+    found = [b for b in found if not (b[0] in links and b[0] in menus)]
+    chosen = [b for b in found if lies_below(b[0], path)]
+    others = [b for b in found if lies_below(b[0], path) or not any(b[0] + "/" == k or lies_below(b[0], k) for k in repeated)]
+    of_text, of_page = (sum(len(text) for own, text, _ in part if own not in links) for part in (chosen, others))
+    if of_text * 1000 < WINNING * of_page or not chosen:
         others = others or found
         best = own_path(others)
-        chosen = [text for own, text in others if lies_below(own, best)]
-    return "\n".join(chosen)
+        chosen = [b for b in others if lies_below(b[0], best)]
+    return "\n".join(text for _, text, _ in chosen)
 
 
 def host_of(url: Column) -> Column:
@@ -289,11 +311,11 @@ def host_of(url: Column) -> Column:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path, lifted, repeated): the winning path of every host, and what it needs to be applied.
+    """(host, path, lifted, repeated, menus): the winning path of every host, and what it needs to be applied.
 
     Lifted are containers that count in spite of their names: they hold, on average over the pages
     where they occur, as much of the text as a winner needs. Repeated are those beside the way to
-    the winner that have, over all addresses, at most half as many different texts.
+    the winner that have, over all addresses, at most half as many different texts. Menus are containers of links that do so anywhere.
     """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,27 +324,31 @@ def consensus(pages: DataFrame) -> DataFrame:
             for host, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = blocks(html)
                 address = zlib.crc32(url.encode("utf-8", "replace"))
-                shares = scored(own_blocks(found))
+                own = own_blocks(found)
+                shares = scored(own)
                 total = shares.get("", (0, 0))[0]
-                rows += [(host, path, False, 1000 * n // total, code, address) for path, (n, code) in shares.items()]
-                rows += [(host, path, True, share, 0, address) for path, share in named_shares(found).items()]
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+                rows += [(host, path, "text", 1000 * n // total, code, address) for path, (n, code) in shares.items()]
+                rows += [(host, path, "named", share, 0, address) for path, share in named_shares(found).items()]
+                rows += [(host, path, "links", 0, code, address) for path, (_, code) in mostly_links(own).items()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "named", "share", "code", "address"])
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "kind", "share", "code", "address"])
 
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)[?#].*", "")
     cast = pages.select(host_of(F.col("url")).alias("host"), address.alias("url"), F.col("html"))
-    cast = cast.mapInArrow(task, "host string, path string, named boolean, share long, code long, address long")
-    sums = cast.groupBy("host", "path", "named").agg(
+    cast = cast.mapInArrow(task, "host string, path string, kind string, share long, code long, address long")
+    sums = cast.groupBy("host", "path", "kind").agg(
         F.sum("share").alias("votes"),
         F.count("*").alias("pages"),
         F.approx_count_distinct("code", ERROR).alias("texts"),
         F.approx_count_distinct("address", ERROR).alias("addresses"),
     )
     sums = checkpointed(sums)
-    lifted = sums.filter(F.col("named") & (F.col("votes") >= F.col("pages") * WINNING))
+    lifted = sums.filter((F.col("kind") == "named") & (F.col("votes") >= F.col("pages") * WINNING))
     lifted = lifted.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("lifted"))
-    sums = sums.filter(~F.col("named")).drop("named")
+    menus = sums.filter("kind = 'links' AND texts * 2 <= addresses")
+    menus = menus.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("menus"))
+    sums = sums.filter("kind = 'text'")
     possible = sums.filter("path = ''").select("host", F.col("votes").alias("possible"), F.col("pages").alias("all"))
     direct, article = F.col("path").endswith("/"), F.col("path").rlike(r"/(article|main)(\.[^/]*)?$")
     scores = sums.join(possible, "host").select(
@@ -351,13 +377,13 @@ def consensus(pages: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.when(ends, step)), F.max(step))["path"].alias("path"),
         F.sort_array(F.flatten(F.collect_list("repeated"))).alias("repeated"),
     )
-    return winners.join(lifted, "host", "full")
+    return winners.join(lifted, "host", "full").join(menus, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars, path."""
     winners = checkpointed(consensus(pages))
-    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.length(F.concat_ws("", "lifted", "repeated"))
+    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.length(F.concat_ws("", "lifted", "repeated", "menus"))
     if (winners.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS:
         winners = F.broadcast(winners)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
@@ -366,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def start():
         def work(ids, urls, *given):
             paths = given[1]
-            texts = [main_text(h, p, x or (), y or ()) for h, p, x, y in zip(*(c.to_pylist() for c in given))]
+            texts = [main_text(h, p, *(x or () for x in lists)) for h, p, *lists in zip(*(c.to_pylist() for c in given))]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             shown = pa.array([p.replace("/" + MARK, "/") for p in paths.to_pylist()], pa.string())
             return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes, shown], names)
@@ -375,4 +401,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     names = ["page_id", "url", "text", "n_chars", "path"]
     schema = "page_id long, url string, text string, n_chars long, path string"
-    return map_rows(rows, ["page_id", "url", "html", "path", "lifted", "repeated"], start, schema)
+    return map_rows(rows, ["page_id", "url", "html", "path", "lifted", "repeated", "menus"], start, schema)

@@ -87,3 +87,13 @@ def test_no_text_beside_the_largest_container_is_lost(spark, case):
     texts = {r["page_id"]: r["text"] for r in found}
     assert [texts[k] for k in range(8)] == [text.format(k, LONG.strip()) for k in range(8)]
     assert LONG.strip() in texts[99] and text.format(0, LONG.strip()) in texts[100]
+
+
+def test_link_lists_within_the_text_stay_and_menus_go(spark):
+    page = "<body><ul class=top><li><a href='/'>Home</a></ul><div class=post><p>{1}</p><p><a href=x>Linked {0}</a></p>"
+    page += "<ul><li><a href=y>Source {0}</a><li><a href=z>Other {0}</a></ul><ol><li><a href='/all'>All posts</a></ol></div></body>"
+    rows = [(k, f"https://a.org/{k}", page.format(k, LONG), "x") for k in range(8)]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    texts = {r["page_id"]: r["text"] for r in found}
+    assert all(texts[k] == f"{LONG.strip()}\nLinked {k}\nSource {k}\nOther {k}" for k in range(8))
+    assert "Source 0" in H.main_text(rows[0][2], "/nowhere") and "Home" not in H.main_text(rows[0][2], "/nowhere")
