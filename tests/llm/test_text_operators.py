@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factsieve.llm import decontam, encoder, language, license_rules, licenses, packing, quality, sharding, token_counts
 
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -125,6 +126,20 @@ def test_languages_on_held_out_rows(spark, odd, none, folder):
     assert {r["lang_pred"] for r in language.predict(odd, {}).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    names = [f"x{k:03d}" for k in range(230)]
+    texts = {name: " ".join(hashlib.sha256(f"{name}{i}".encode()).hexdigest().translate(LETTERS) for i in range(8)) for name in names}
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, texts[name], name) for name in names for i in ids[:2]]
+    rows += [(ids[2], "1 " * 9_000 + "\U0001d4d0long " * 9_000, "long")] + [(ids[3], texts["x000"] + " again", "copies")] * 400
+    rows += [(i, "12 !!", "long") for i in ids[:5]]
+    known = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), samples=5)
+    assert set(known) == {*names, "long", "copies"}
+    assert 0 < len(known["long"]) <= language.SAMPLE_TEXT_BYTES + 1 and len(known["copies"]) < 600
+    answers = language.judge_all(known)([None, *(texts[name] + " " + texts[name] for name in names[1:])])
+    assert [name for name, _ in answers] == ["und", *names[1:]]
+
+
 def test_labels_of_a_row_do_not_change_its_prediction(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     known = language.learn(docs)
