@@ -17,7 +17,7 @@ and link like any other. Repeated rows give repeated rows. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,21 +61,22 @@ def _row_key() -> Column:
     return F.expr("coalesce(CAST(doc_id AS BIGINT), 4611686018427387904 + (xxhash64(text) & 2305843009213693951))")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, others: Sequence[str] = ()) -> DataFrame:
     """(doc_id, row_key, code) for every row; ``code`` holds the fingerprint's bits as a signed long.
 
-    ``row_key`` is the id, or for a null id a number above 2**62 drawn from the text.
+    ``row_key`` is the id, or for a null id a number above 2**62 drawn from the text. The long columns ``others`` are kept.
     """
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), F.col("text"))
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), F.col("text"), *others)
 
     def start():
-        def work(ids, keys, texts):
+        def work(ids, keys, texts, *rest):
             codes = np.array([fingerprint(t, shingle) for t in raw(texts)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([ids, keys, pa.array(codes)], ["doc_id", "row_key", "code"])
+            return pa.RecordBatch.from_arrays([ids, keys, pa.array(codes), *rest], ["doc_id", "row_key", "code", *others])
 
         return work
 
-    return map_rows(frame, ["doc_id", "row_key", "text"], start, "doc_id long, row_key long, code long")
+    schema = ", ".join(f"`{c}` long" for c in ["doc_id", "row_key", "code", *others])
+    return map_rows(frame, ["doc_id", "row_key", "text", *others], start, schema)
 
 
 def _halves(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
@@ -267,12 +268,12 @@ def links(codes: DataFrame, budget: int = MAX_BITS, split: int = SUBTREE) -> Dat
 
 
 def classes(prints: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """(code, component_key) for every distinct code: the smallest ``row_key`` reachable by links."""
+    """(code, component, component_key) for every distinct code: its group, and the smallest ``row_key`` reachable by links."""
     least = checkpointed(prints.groupBy("code").agg(F.min("row_key").alias("row_key")))
     groups = components(links(least.select("code"), budget)).withColumnRenamed("node", "code")
     named = least.join(groups, "code", "left").withColumn("component", F.coalesce("component", "code"))
     smallest = named.groupBy("component").agg(F.min("row_key").alias("component_key"))
-    return named.join(smallest, "component").select("code", "component_key")
+    return named.join(smallest, "component").select("code", "component", "component_key")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
@@ -290,10 +291,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_B
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` less all but one of each class: the one with the smallest id.
 
-    Of repeated rows with that id one stays. A row without an id stays only where no member of
+    Of several texts with that id the one with the smallest hash stays, of repeated rows one.
+    An id may stay once for each class that it occurs in. A row without an id stays only where no member of
     its class has one. All columns are kept.
     """
     own = "_key" + "_" * max(len(c) for c in docs.columns)  # no column of docs has this name
-    keepers = near_duplicates(docs, shingle, budget).select(F.col("component_id").alias(own)).distinct()
-    kept = docs.withColumn(own, _row_key()).join(keepers, own, "left_semi")
-    return kept.dropDuplicates([own]).drop(own)
+    hashed = own + "_"
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select("doc_id", "text").withColumn(hashed, text_hash)
+    prints = checkpointed(fingerprints(rows, shingle, [hashed]))
+    least = prints.groupBy("code").agg(F.min(F.struct("row_key", hashed)).alias("least"))
+    least = least.join(classes(prints, budget), "code").groupBy("component").agg(F.min("least").alias("least"))
+    keepers = least.select(F.col("least.row_key").alias(own), F.col(f"least.{hashed}").alias(hashed))
+    kept = docs.withColumn(own, _row_key()).withColumn(hashed, text_hash).join(keepers, [own, hashed], "left_semi")
+    return kept.dropDuplicates([own, hashed]).drop(own, hashed)

@@ -95,6 +95,13 @@ def test_one_document_of_each_class_stays(odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_an_id_with_two_texts_stays_once_for_each_class(spark):
+    one, two = ("the quick brown fox jumps over a lazy dog " * 3).strip(), "eleven grey herons wait beside some frozen lake at dawn"
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two), (None, one)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([(1, one), (1, two)])
+
+
 def brute_vectors(rows, threshold=0.95):
     units = [cover_tree.unit(v) for _, v in rows]
     pairs = [
