@@ -13,6 +13,7 @@ from factsieve.llm import (
     html_extract,
     language,
     licenses,
+    merkle,
     packing,
     quality,
     sharding,
@@ -77,6 +78,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(_read(spark, folder, "documents"), merkle.lowered_text())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_extract,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_sharding,
         op10_decontaminate,
+        op13_manifest,
     ]
     return {f.__name__: f for f in found}
 
