@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factsieve.llm import (
     checks_sql,
     cover_tree,
     decontam,
+    hard_negatives,
     html_extract,
     language,
     licenses,
@@ -78,6 +80,11 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = hard_negatives.shifted_labels(_read(spark, folder, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(_read(spark, folder, "documents"), merkle.lowered_text())
 
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_sharding,
         op10_decontaminate,
+        op12_hard_negatives,
         op13_manifest,
     ]
     return {f.__name__: f for f in found}
