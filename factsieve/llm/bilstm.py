@@ -7,6 +7,7 @@ kind of span, B (its first character) and I (the rest); transitions that no span
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +58,7 @@ def span_tags(spans: list[tuple[int, int, int]], width: int) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -104,6 +105,18 @@ class Tagger:
         weights["trans"] *= 0
         return cls(weights, kinds)
 
+    def packed(self) -> bytes:
+        """The weights as bytes."""
+        out = io.BytesIO()
+        np.savez(out, **self.weights)
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tagger:
+        with np.load(io.BytesIO(data)) as found:
+            weights = dict(found)
+        return cls(weights, (weights["trans"].shape[0] - 1) // 2)
+
     # Scores ---------------------------------------------------------------------------
 
     def emissions(self, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -139,16 +152,20 @@ class Tagger:
         scores[..., 1:][ids.T == PAD] += _BARRED
         bars, first = allowed(self.kinds, scores.dtype)
         trans = self.weights["trans"] + bars
-        best, back = scores[0] + first, np.empty(scores.shape, np.int8)
-        for t in range(1, len(scores)):
-            ways = best[:, :, None] + trans
-            back[t] = ways.argmax(1)
-            best = ways.max(1) + scores[t]
+        by_tag = np.ascontiguousarray(scores.transpose(0, 2, 1))
+        best, back = by_tag[0] + first[:, None], np.zeros(by_tag.shape, np.int8)
+        for t in range(1, len(by_tag)):
+            way = best[0] + trans[0][:, None]
+            for tag in range(1, len(trans)):
+                other = best[tag] + trans[tag][:, None]
+                back[t][other > way] = tag
+                np.maximum(way, other, out=way)
+            best = way + by_tag[t]
         tags = np.empty(ids.shape, np.int64)
-        tags[:, -1] = best.argmax(1)
+        tags[:, -1] = best.argmax(0)
         rows = np.arange(len(ids))
-        for t in range(len(scores) - 1, 0, -1):
-            tags[:, t - 1] = back[t][rows, tags[:, t]]
+        for t in range(len(by_tag) - 1, 0, -1):
+            tags[:, t - 1] = back[t][tags[:, t], rows]
         return tags, scores, trans
 
     def spans(self, ids: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
@@ -214,7 +231,7 @@ class Tagger:
         }
         d_joined = d_scores @ w["out"].T
         d_states = np.stack([d_joined[..., :hidden], d_joined[::-1][..., hidden:]])
-        d_table = np.zeros((2, SIZE, 4 * hidden), joined.dtype)
+        d_gates = np.empty((2, len(keep), len(ids), 4 * hidden), joined.dtype)
         both = np.stack([ids.T, ids.T[::-1]])
         d_h = np.zeros_like(keep[0][0])
         d_c = np.zeros_like(d_h)
@@ -227,9 +244,11 @@ class Tagger:
                 [d_c * u * i * (1 - i), d_c * before * f * (1 - f), d_h * squashed * o * (1 - o), d_c * i * (1 - u * u)], -1
             )
             grads["carry"] += np.matmul(np.swapaxes(h, 1, 2), gates)
-            for way in (0, 1):
-                np.add.at(d_table[way], both[way, t], gates[way])
+            d_gates[:, t] = gates
             d_h, d_c = np.matmul(gates, back), d_c * f
+        # sums by class of character, as a product with a matrix of ones and zeros
+        marks = (np.arange(SIZE)[:, None] == both.reshape(2, 1, -1)).astype(joined.dtype)
+        d_table = np.matmul(marks, d_gates.reshape(2, -1, 4 * hidden))
         grads["bias"] = d_table.sum(1, keepdims=True)
         grads["embed"] = sum(d_table[way] @ w["inputs"][way].T for way in (0, 1))
         grads["inputs"] = np.stack([w["embed"].T @ d_table[way] for way in (0, 1)])

@@ -17,6 +17,7 @@ from factsieve.llm import (
     licenses,
     merkle,
     packing,
+    personal,
     quality,
     sharding,
     simhash,
@@ -80,6 +81,11 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op11_personal(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return personal.digest(personal.find(docs, personal.learn(docs)))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = hard_negatives.shifted_labels(_read(spark, folder, "embeddings"))
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_sharding,
         op10_decontaminate,
+        op11_personal,
         op12_hard_negatives,
         op13_manifest,
     ]
