@@ -61,9 +61,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+def _through(ahead: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """log(sum over tags of exp(ahead + log(moves))), as a matrix product."""
+    top = ahead.max(-1, keepdims=True)
+    return top + np.log(np.exp(ahead - top) @ moves + 1e-30)
 
 
 def allowed(kinds: int, dtype: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
@@ -200,18 +201,20 @@ class Tagger:
         places, windows = scores.shape[:2]
         bars, first = allowed(self.kinds, scores.dtype)
         trans = w["trans"] + bars
+        moves = np.exp(trans)
         ahead, behind = np.empty_like(scores), np.zeros_like(scores)
         ahead[0] = scores[0] + first
         for t in range(1, places):
-            ahead[t] = _logsum(ahead[t - 1][:, :, None] + trans, 1) + scores[t]
-        total = _logsum(ahead[-1], 1)
+            ahead[t] = _through(ahead[t - 1], moves) + scores[t]
+        top = ahead[-1].max(1)
+        total = top + np.log(np.exp(ahead[-1] - top[:, None]).sum(1))
         for t in range(places - 2, -1, -1):
-            behind[t] = _logsum(trans + (scores[t + 1] + behind[t + 1])[:, None, :], 2)
+            behind[t] = _through(scores[t + 1] + behind[t + 1], moves.T)
         d_scores = np.exp(ahead + behind - total[:, None])
-        d_trans = np.zeros_like(trans)
-        for t in range(1, places):
-            pair = ahead[t - 1][:, :, None] + trans + (scores[t] + behind[t] - total[:, None])[:, None, :]
-            d_trans += np.exp(pair).sum(0)
+        top = ahead[:-1].max(-1, keepdims=True)
+        before = np.exp(ahead[:-1] - top).reshape(-1, len(trans))
+        after = np.exp(scores[1:] + behind[1:] - total[:, None] + top).reshape(-1, len(trans))
+        d_trans = moves * (before.T @ after)
         gold, row = tags.T, np.arange(windows)
         path = scores[np.arange(places)[:, None], row, gold].sum(0) + first[gold[0]]
         path += trans[gold[:-1], gold[1:]].sum(0)
@@ -266,7 +269,7 @@ class Tagger:
             rows, order = order[:batch], order[batch:]
             value, grads = self.loss(ids[rows], tags[rows])
             losses.append(value)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
             slow = min(1.0, 5.0 / (norm + 1e-9))
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for n, g in grads.items():
@@ -274,5 +277,5 @@ class Tagger:
                 first[n] = 0.9 * first[n] + 0.1 * g
                 second[n] = 0.999 * second[n] + 0.001 * g * g
                 mean, spread = first[n] / (1 - 0.9**step), second[n] / (1 - 0.999**step)
-                self.weights[n] = (self.weights[n] - pace * mean / (np.sqrt(spread) + 1e-8)).astype(g.dtype)
+                self.weights[n] = (self.weights[n] - pace * mean / (np.sqrt(spread) + 1e-8)).astype(self.weights[n].dtype)
         return float(np.mean(losses[-max(1, steps // 10) :]))
