@@ -82,21 +82,28 @@ def other_columns(df: DataFrame, excluded: list[str]) -> list[str]:
 
 
 def dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """First row of every key in the given order.
+    """First row of every key in the given order: one row per key, whatever ties there are.
 
-    ``order`` tells the rows of a key apart; rows that tie in it all stay. The least place of a
-    key is a hashed minimum, reduced in each task before the shuffle, and a semi-join keeps the
-    rows that hold it. A key may be NULL.
+    NULL comes last in the order, and a key may be NULL. Of rows that tie, the one with the least
+    hash of its columns stays, so a run on the same rows keeps the same row; fully equal rows are
+    one. Both steps are hashed minima, reduced in each task before the shuffle, and semi-joins keep
+    the rows that hold them; the second step sees only the rows that are first or tie.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     if not rest and order not in keys:
         return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
-    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    firsts = firsts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first")
-    same = F.col(order).eqNullSafe(F.col("_first"))
+    firsts = _holding_least(df, keys, F.col(order)).distinct()
+    return _holding_least(firsts, keys, F.xxhash64(*df.columns))
+
+
+def _holding_least(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Rows that hold the least value of their key; all rows of a key that has none."""
+    least = df.groupBy(*keys).agg(F.min(value).alias("_least"))
+    least = least.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_least")
+    same = value.eqNullSafe(F.col("_least"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    return df.join(firsts, same, "left_semi")
+    return df.join(least, same, "left_semi")
 
 
 def drop_hidden_duplicates(df: DataFrame, id_column: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.operators.attach import attach, known_keys
+from factsieve.operators.attach import attach, known_keys, scalar_row
 from factsieve.operators.order_statistics import column_quantiles, quantiles
 
 
@@ -56,9 +56,18 @@ def _keep_where(df: DataFrame, one_row: DataFrame, condition: Column) -> DataFra
     return df.join(F.broadcast(one_row), condition).select(*[df[c] for c in df.columns])
 
 
-def percentile_trim(df: DataFrame, limits: list[Limit]) -> DataFrame:
-    """Rows strictly inside the percentile bounds of every limited column."""
-    return _keep_where(df, trim_bounds(df, limits), within(limits))
+def percentile_trim(df: DataFrame, limits: list[Limit], bounds: DataFrame | None = None) -> DataFrame:
+    """Rows strictly inside the percentile bounds of every limited column.
+
+    ``bounds`` is the row of ``trim_bounds`` if it is known already. It then comes as a scalar, so
+    the rows are read once and the filter sinks towards their scan.
+    """
+    if bounds is None:
+        return _keep_where(df, trim_bounds(df, limits), within(limits))
+    names = [c for c in bounds.columns if c not in df.columns]
+    held = df.withColumn("_bounds", scalar_row(bounds.select(*names)))
+    held = held.withColumns({n: F.col("_bounds").getField(n) for n in names})
+    return held.filter(within(limits)).select(*df.columns)
 
 
 def percentile_cap(df: DataFrame, caps: dict[str, float], positive: list[str]) -> DataFrame:

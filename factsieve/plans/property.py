@@ -28,7 +28,9 @@ LIMITS = [
 class Market:
     """Tables of the listings database and the values that single out its parts.
 
-    Tables are given as functions, so a query opens only the ones it reads.
+    Tables are given as functions, so a query opens only the ones it reads. ``stored_bounds``, if
+    given, opens the one row of ``bound_row`` as it was stored for the present flats; without it
+    every analysis finds the bounds again.
     """
 
     flats: Callable[[], DataFrame]
@@ -40,10 +42,16 @@ class Market:
     target_type: object
     first_year: int
     last_year: int
+    stored_bounds: Callable[[], DataFrame] | None = None
+
+
+def bound_row(market: Market) -> DataFrame:
+    """The bounds of all limited columns as one row, to be stored."""
+    return trim_bounds(market.flats(), LIMITS)
 
 
 def bounds(market: Market) -> DataFrame:
-    found = trim_bounds(market.flats(), LIMITS)
+    found = bound_row(market)
     return found.select(
         F.col("total_area_high").alias("total_area_limit"),
         F.col("rooms_high").alias("rooms_limit"),
@@ -59,7 +67,7 @@ def usual_flats(market: Market) -> DataFrame:
     ``id`` is the key of the table, so filtering its rows equals filtering by a list of the
     ids that pass, and one scan of flats serves in place of a scan and a semi-join.
     """
-    return percentile_trim(market.flats(), LIMITS)
+    return percentile_trim(market.flats(), LIMITS, market.stored_bounds() if market.stored_bounds else None)
 
 
 def usual_ids(market: Market) -> DataFrame:

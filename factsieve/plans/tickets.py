@@ -26,13 +26,16 @@ MOBILE, DESKTOP = "mobile", "desktop"
 class Sales:
     """Ticket orders, events (one row per ``event_id``) and rates (one row per date).
 
-    Tables are given as functions, so a query opens only the ones it reads.
+    Tables are given as functions, so a query opens only the ones it reads. ``cleaned``, if given,
+    opens the rows of ``clean_orders`` as they were stored for the present orders and rates; without
+    it every analysis prepares them again.
     """
 
     orders: Callable[[], DataFrame]
     events: Callable[[], DataFrame]
     rates: Callable[[], DataFrame]
     label_merge: dict[str, str] = field(default_factory=lambda: dict(labels.EVENT_LABEL_MERGE))
+    cleaned: Callable[[], DataFrame] | None = None
 
 
 def with_events(orders: DataFrame, sales: Sales) -> DataFrame:
@@ -85,9 +88,24 @@ def clean_orders(sales: Sales) -> DataFrame:
     Events are not joined here: they have one row per id, so they change no row count and
     no percentile, and the queries that use no event column are spared the join.
     """
+    if sales.cleaned:
+        return sales.cleaned()
     return percentile_cap(deduplicated(sales), CAPS, positive=["revenue_rub"])
 
 
+#: Stored cleaned orders are split by season, which most analyses filter by.
+CLEANED_BY = ["season"]
+
+
+def clean_layout(sales: Sales) -> DataFrame:
+    """The rows of ``clean_orders`` as they are best stored: dealt by season and day, in order of day.
+
+    A filter by season then reads that season's files only, and one by days few blocks of them.
+    """
+    days = [*CLEANED_BY, "created_dt_msk"]
+    return clean_orders(sales).repartitionByRange(*days, "order_id").sortWithinPartitions(*days)
+
+
 def cap_row(sales: Sales) -> DataFrame:
     """The caps as one row, to be stored or passed to ``clean_between``."""
     return cap_values(deduplicated(sales), CAPS)

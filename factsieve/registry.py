@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from factsieve.plans import city_usage, interface_test, property, tickets
 from factsieve.session import scratch_path
 from factsieve.sources import files, schemas, standins
 from factsieve.sources.readers import load, read_csv
+from factsieve.sources.stored import stored, table_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +30,11 @@ CITY_A, CITY_B = "BUILDING", "FURNITURE"
 LABEL_MERGE = {"small ring": "red widget"}
 
 
-def market(spark: SparkSession, folder: str) -> property.Market:
+def _version(spark: SparkSession, folder: str, *tables: str) -> str:
+    return table_version(spark, *[f"{folder.rstrip('/')}/{name}.parquet" for name in tables])
+
+
+def plain_market(spark: SparkSession, folder: str) -> property.Market:
     return property.Market(
         flats=lambda: standins.flats(spark, folder),
         advertisement=lambda: standins.advertisement(spark, folder),
@@ -42,7 +48,30 @@ def market(spark: SparkSession, folder: str) -> property.Market:
     )
 
 
+def market(spark: SparkSession, folder: str) -> property.Market:
+    """The market with bounds that are found once for each version of its tables."""
+    given = plain_market(spark, folder)
+    return replace(
+        given,
+        stored_bounds=lambda: stored(
+            spark, "trim-bounds", _version(spark, folder, "lineitem", "orders", "customer"), lambda: property.bound_row(given)
+        ),
+    )
+
+
 def sales(spark: SparkSession, folder: str) -> tickets.Sales:
+    """Ticket sales whose orders are cleaned once for each version of their tables."""
+    given = plain_sales(spark, folder)
+    return replace(
+        given,
+        cleaned=lambda: stored(
+            spark, "clean-orders", _version(spark, folder, "orders", "lineitem"), lambda: tickets.clean_layout(given),
+            tickets.CLEANED_BY,
+        ),
+    )
+
+
+def plain_sales(spark: SparkSession, folder: str) -> tickets.Sales:
     return tickets.Sales(
         orders=lambda: standins.ticket_orders_with_copies(spark, folder),
         events=lambda: standins.ticket_events(spark, folder),
@@ -261,6 +290,11 @@ def _sales(analysis: Callable[[tickets.Sales], DataFrame]) -> Query:
     return lambda spark, folder: analysis(sales(spark, folder))
 
 
+def _unprepared(analysis: Callable[[tickets.Sales], DataFrame]) -> Query:
+    """From the orders themselves, with nothing stored."""
+    return lambda spark, folder: analysis(plain_sales(spark, folder))
+
+
 def _priced(*columns: str) -> Query:
     return lambda spark, folder: tickets.priced(sales(spark, folder)).select("order_id", *columns)
 
@@ -517,8 +551,8 @@ def queries() -> dict[str, Query]:
         "price_by_type": _market(property.price_by_type),
         "days_by_city": _market(property.days_by_city),
         "days_by_type": _market(property.days_by_type),
-        "trim_bounds": _market(property.bounds),
-        "trim_ids": _market(property.usual_ids),
+        "trim_bounds": lambda s, d: property.bounds(plain_market(s, d)),
+        "trim_ids": lambda s, d: property.usual_ids(plain_market(s, d)),
         "trim_semi_join": trim_semi_join,
         "join_left_filtered": join_left_filtered,
         "bucket_days": bucket_days,
@@ -529,8 +563,8 @@ def queries() -> dict[str, Query]:
         "one_ticket_revenue": _priced("one_ticket_revenue_rub"),
         "season_label": _priced("month", "season"),
         "dedup_hidden": _sales(dedup_hidden),
-        "cap_q99": _sales(cap_q99),
-        "tickets_clean": _sales(tickets_clean),
+        "cap_q99": _unprepared(cap_q99),
+        "tickets_clean": _unprepared(tickets_clean),
         "box_stats": _sales(box_revenue),
         "box_tickets": _sales(box_tickets),
         "box_tickets_all": _sales(box_tickets_all),
@@ -557,7 +591,7 @@ def queries() -> dict[str, Query]:
         "mw_orders_per_user": lambda s, d: tested(tickets.orders_test(sales(s, d))),
         "mw_gap": lambda s, d: tested(tickets.gap_test(sales(s, d))),
         "kpi": _sales(kpi),
-        "kpi_filtered": _sales(kpi_filtered),
+        "kpi_filtered": _unprepared(kpi_filtered),
         "revenue_by_period": _sales(revenue_by_period),
         "revenue_by_segment": _sales(revenue_by_segment),
         "revenue_by_device": _sales(revenue_by_device),

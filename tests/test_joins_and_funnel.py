@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -56,6 +57,42 @@ def test_fanout_equals_the_join_it_replaces(spark):
     assert sum(r.rows for r in found) == 9
 
 
+def plain_windowed_fanout(frame, days):
+    starts = frame.filter("event_name = 'registration'").select("user_id", F.col("event_dt").alias("s"))
+    pairs = frame.join(starts, "user_id").filter(F.expr(f"event_dt < s + INTERVAL {days + 1} DAYS"))
+    return {(r["group"], r.event_name): r["count"] for r in pairs.groupBy("group", "event_name").count().collect()}
+
+
+def windowed(frame, days):
+    return funnel.windowed_fanout(frame, "user_id", "group", "event_name", "registration", "event_dt", days)
+
+
+def test_windowed_fanout_equals_the_join_it_replaces(spark):
+    """Hot users, several starts a day, events at midnight and at equal moments."""
+    names = "array('registration', 'purchase', 'login')"
+    frame = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL ELSE concat('u', id % 40) END AS user_id",
+        "CASE WHEN id % 2 = 0 THEN 'A' ELSE 'B' END AS `group`",
+        f"{names}[CAST(id * 7 % 11 % 3 AS INT)] AS event_name",
+        """CASE WHEN id % 50 = 0 THEN TIMESTAMP_NTZ '2024-05-01' + make_dt_interval(CAST(id % 20 AS INT))
+                WHEN id % 301 = 0 THEN NULL
+                ELSE TIMESTAMP_NTZ '2024-05-01' + make_dt_interval(CAST(id % 30 AS INT), CAST(id * 13 % 24 AS INT), 0, id % 5)
+           END AS event_dt""",
+    )
+    for days in (0, 7):
+        expected = plain_windowed_fanout(frame, days)
+        assert {(r["group"], r.event_name): r.joined_rows for r in windowed(frame, days).collect()} == expected
+    assert windowed(frame.limit(0), 7).count() == 0
+
+
+def test_a_hot_user_is_spread_over_days(spark):
+    """Moments are put in order inside a user's day; windows over a user alone run over days."""
+    plan = windowed(events(spark), 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"\[user_id#\d+, _day#\d+\], \[_at#", plan)
+    assert re.search(r"\[user_id#\d+\], \[_day#", plan)
+    assert not re.search(r"\[user_id#\d+\], \[_at#", plan)
+
+
 def test_conversion_counts_users_without_events(spark):
     people = spark.createDataFrame([("u1", "A"), ("u2", "A"), ("u9", "A"), ("u3", "B")], "user_id string, `group` string")
     goals = funnel.within_days(lived(spark), 7).filter("event_name = 'purchase' AND `group` = 'A'")

@@ -30,6 +30,26 @@ def test_dedup_keeps_the_first_row_of_a_hot_key(spark):
     assert [(r.row_no, r.city) for r in kept if r.puid == "hot"] == [(1, "c1")]
 
 
+def test_dedup_keeps_one_row_of_equal_null_and_tied_orders(spark):
+    rows = [
+        ("a", 1, "x", 0.5), ("a", 1, "y", None), ("a", 1, "y", None), ("a", 2, "z", 1.0),  # tied, one repeated
+        ("b", None, "p", 1.0), ("b", None, "q", 2.0),  # no order at all
+        ("c", None, "p", 1.0), ("c", 7, "q", 2.0),  # NULL comes last
+        (None, 3, "n", 1.0), (None, 3, "m", 1.0),  # a key that is NULL
+        ("d", 1, "same", 1.0), ("d", 1, "same", 1.0),
+    ] + [("hot", 1, f"c{i}", float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "puid string, row_no int, city string, hours double")
+    kept = [tuple(r) for r in quality.dedup(df, ["puid"], "row_no").collect()]
+    assert sorted(str(r[0]) for r in kept) == ["None", "a", "b", "c", "d", "hot"]
+    assert all(r in rows for r in kept)
+    by_key = {r[0]: r for r in kept}
+    assert by_key["a"][1] == 1 and by_key["c"] == ("c", 7, "q", 2.0)
+    again = quality.dedup(df.repartition(7, "city"), ["puid"], "row_no").collect()
+    assert sorted(map(str, kept)) == sorted(str(tuple(r)) for r in again)  # whatever the partitions
+    plan = quality.dedup(df, ["puid"], "row_no")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Window" not in plan
+
+
 def test_null_profile_and_counts(spark):
     df = orders(spark)
     profile = {r.column: (r.type, r.filled, r.missing) for r in quality.null_profile(df).collect()}
