@@ -23,6 +23,12 @@ ACCURACY = 50_000
 MARGIN = 4 / ACCURACY
 BRACKET_SHARE = 2 * MARGIN + 4 / ACCURACY
 
+# Stored sketches: their size parameter, the rank error that holds in 99 % of cases (as their library
+# states it), and a margin of several times that. A sketch of fewer values than its size is exact.
+STORED_SIZE = 65_535
+STORED_ERROR = 2.296 / STORED_SIZE**0.9021
+STORED_MARGIN = 4 * STORED_ERROR
+
 
 def before(keys: list[str], order: str, count: str = "_n") -> str:
     """Running total of a count over the rows ahead of this one."""
@@ -42,24 +48,47 @@ def measured(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, kind: str = "interpolated"
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    by: list[str] | None = None,
+    kind: str = "interpolated",
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Exact percentiles of one column, one output column per entry of ``probs``.
 
     ``kind='discrete'`` returns the first value whose rank reaches ``p * n`` (SQL
     ``percentile_disc``); ``'interpolated'`` returns the linear blend of the two values
-    around ``p * (n - 1)``. NULL and NaN values, and NULL group keys, are left out.
+    around ``p * (n - 1)``. NULL and NaN values, and NULL group keys, are left out. With stored
+    ``sketches`` by group (and part) the rows are read once, for the counting pass.
     """
     by = list(by or [])
     levels = sorted(set(probs.values()))
     rows = measured(df, value, by)
-    brackets = rows.groupBy(*by).agg(F.expr(f"{_sketch('_v', levels)} AS _ends"))
+    if sketches is None:
+        brackets = rows.groupBy(*by).agg(F.expr(f"{_sketch('_v', levels)} AS _ends"))
+    else:
+        brackets = known_keys(sketches, by).groupBy(*by).agg(F.expr(f"{_stored_ends(value, levels)} AS _ends"))
     placed = attach(rows, brackets, by).selectExpr(*quoted(by), "_v", f"{_place('_v', '_ends', levels)} AS _at")
     counts = placed.groupBy(*by, "_at._gap", "_at._own").agg(*_counts())
     return _pick(counts, by, probs, kind)
 
 
-def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], kind: str) -> DataFrame:
+def part_sketches(df: DataFrame, columns: list[str], parts: list[str]) -> DataFrame:
+    """One row per part (a day, a load, a group) with a mergeable sketch of every column, to be stored.
+
+    Appended data adds rows for its own parts. Percentiles that are given the stored sketches
+    take their brackets from the merged ones, and read the values only to count them.
+    """
+    values = [F.expr(f"nanvl(CAST(`{c}` AS DOUBLE), NULL)") for c in columns]
+    return df.groupBy(*parts).agg(
+        *[F.kll_sketch_agg_double(v, F.lit(STORED_SIZE)).alias(c) for v, c in zip(values, columns)]
+    )
+
+
+def column_quantiles(
+    df: DataFrame, wanted: dict[str, tuple[str, float]], kind: str, sketches: DataFrame | None = None
+) -> DataFrame:
     """Percentiles of several columns in the same two passes: one row, one column per name.
 
     ``wanted`` maps an output name to ``(column, p)``. The first pass is one aggregate row;
@@ -71,7 +100,10 @@ def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], kind:
     columns = {column: sorted(set(levels)) for column, levels in sorted(columns.items())}
     names = {column: f"c{i}" for i, column in enumerate(columns)}
     values = df.selectExpr(*[f"nanvl(CAST(`{c}` AS DOUBLE), NULL) AS {name}" for c, name in names.items()])
-    ends = values.agg(*[F.expr(f"{_sketch(names[c], levels)} AS {names[c]}") for c, levels in columns.items()])
+    if sketches is None:
+        ends = values.agg(*[F.expr(f"{_sketch(names[c], levels)} AS {names[c]}") for c, levels in columns.items()])
+    else:
+        ends = sketches.agg(*[F.expr(f"{_stored_ends(c, levels)} AS {names[c]}") for c, levels in columns.items()])
     held = values.withColumn("_ends", scalar_row(ends))
     places = ", ".join(
         f"named_struct('_column', '{names[c]}', '_v', {names[c]}, '_at', {_place(names[c], f'_ends.{names[c]}', levels)})"
@@ -95,10 +127,19 @@ def _counts() -> list[Column]:
     return [F.expr("count(*) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high")]
 
 
+def _ends(levels: list[float], margin: float) -> str:
+    """The ranks of all brackets' ends: two per level, in the order of the levels."""
+    return ", ".join(f"{min(max(p + side, 0.0), 1.0)!r}D" for p in levels for side in (-margin, margin))
+
+
 def _sketch(value: str, levels: list[float]) -> str:
-    """The ends of all brackets: two per level, in the order of the levels."""
-    ends = [f"{min(max(p + side, 0.0), 1.0)!r}D" for p in levels for side in (-MARGIN, MARGIN)]
-    return f"percentile_approx({value}, array({', '.join(ends)}), {ACCURACY})"
+    return f"percentile_approx({value}, array({_ends(levels, MARGIN)}), {ACCURACY})"
+
+
+def _stored_ends(column: str, levels: list[float]) -> str:
+    merged = f"kll_merge_agg_double(`{column}`, {STORED_SIZE})"
+    found = f"kll_sketch_get_quantile_double({merged}, array({_ends(levels, STORED_MARGIN)}))"
+    return f"CASE WHEN kll_sketch_get_n_double({merged}) > 0 THEN {found} END"
 
 
 def _place(value: str, ends: str, levels: list[float]) -> str:

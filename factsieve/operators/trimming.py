@@ -21,15 +21,18 @@ class Limit:
     keep_null: bool = True
 
 
-def trim_bounds(df: DataFrame, limits: list[Limit]) -> DataFrame:
-    """One row with ``<column>_low`` and ``<column>_high``, taken from the untrimmed table."""
+def trim_bounds(df: DataFrame, limits: list[Limit], sketches: DataFrame | None = None) -> DataFrame:
+    """One row with ``<column>_low`` and ``<column>_high``, taken from the untrimmed table.
+
+    With the table's stored ``sketches`` (see ``order_statistics.part_sketches``) its rows are read once.
+    """
     wanted: dict[str, tuple[str, float]] = {}
     for limit in limits:
         if limit.low is not None:
             wanted[f"{limit.column}_low"] = (limit.column, limit.low)
         if limit.high is not None:
             wanted[f"{limit.column}_high"] = (limit.column, limit.high)
-    return column_quantiles(df, wanted, kind="discrete")
+    return column_quantiles(df, wanted, kind="discrete", sketches=sketches)
 
 
 def within(limits: list[Limit]) -> Column:
@@ -83,9 +86,10 @@ def percentile_cap(df: DataFrame, caps: dict[str, float], positive: list[str]) -
     return _keep_where(df, cap_values(df, caps), keep)
 
 
-def cap_values(df: DataFrame, caps: dict[str, float]) -> DataFrame:
+def cap_values(df: DataFrame, caps: dict[str, float], sketches: DataFrame | None = None) -> DataFrame:
     """One row with ``<column>_cap`` for every capped column."""
-    return column_quantiles(df, {f"{c}_cap": (c, p) for c, p in caps.items()}, kind="interpolated")
+    wanted = {f"{c}_cap": (c, p) for c, p in caps.items()}
+    return column_quantiles(df, wanted, kind="interpolated", sketches=sketches)
 
 
 def iqr_fences(df: DataFrame, value: str, by: list[str] | None = None, k: float = 1.5) -> DataFrame:

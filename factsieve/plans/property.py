@@ -24,6 +24,10 @@ LIMITS = [
 ]
 
 
+#: Year of the day a listing was opened, a column of advertisements that are stored by it.
+LISTING_YEAR = "listing_year"
+
+
 @dataclass(frozen=True)
 class Market:
     """Tables of the listings database and the values that single out its parts.
@@ -45,13 +49,13 @@ class Market:
     stored_bounds: Callable[[], DataFrame] | None = None
 
 
-def bound_row(market: Market) -> DataFrame:
+def bound_row(market: Market, sketches: DataFrame | None = None) -> DataFrame:
     """The bounds of all limited columns as one row, to be stored."""
-    return trim_bounds(market.flats(), LIMITS)
+    return trim_bounds(market.flats(), LIMITS, sketches)
 
 
-def bounds(market: Market) -> DataFrame:
-    found = bound_row(market)
+def bounds(market: Market, sketches: DataFrame | None = None) -> DataFrame:
+    found = bound_row(market, sketches)
     return found.select(
         F.col("total_area_high").alias("total_area_limit"),
         F.col("rooms_high").alias("rooms_limit"),
@@ -155,6 +159,8 @@ def _season_listings(market: Market) -> DataFrame:
     flats = usual_flats(market).filter(F.col("type_id") == market.target_type).select("id", "total_area")
     opened = F.col("first_day_exposition")
     ads = market.advertisement().filter(years_between(opened, market.first_year, market.last_year))
+    if LISTING_YEAR in ads.columns:  # stored by year: other years' files are not opened
+        ads = ads.filter(F.col(LISTING_YEAR).between(market.first_year, market.last_year))
     return ads.join(flats, "id").select(
         "id",
         "total_area",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsieve.functions import labels
@@ -43,9 +43,21 @@ def with_events(orders: DataFrame, sales: Sales) -> DataFrame:
     return orders.join(replace_labels(sales.events(), "event_type_description", sales.label_merge), "event_id", "left")
 
 
+def one_per_day(rates: DataFrame) -> DataFrame:
+    """The rates, checked to have one row per day: a second one would repeat that day's orders.
+
+    The check is part of the plan and runs where the rates are read, a second rate is an error.
+    """
+    rows = F.count("*").over(Window.partitionBy("data"))
+    day = F.when(
+        F.col("_rows") > 1, F.raise_error(F.concat(F.lit("more than one rate on "), F.col("data"))).cast("date")
+    ).otherwise(F.col("data"))
+    return rates.withColumn("_rows", rows).withColumn("data", day).drop("_rows")
+
+
 def with_rates(orders: DataFrame, sales: Sales) -> DataFrame:
     """Orders with the currency rate of their day, if there is one."""
-    rates = sales.rates()
+    rates = one_per_day(sales.rates())
     return orders.join(rates, orders["created_dt_msk"] == rates["data"], "left")
 
 
@@ -133,8 +145,8 @@ def autumn(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("season") == labels.AUTUMN)
 
 
-def caps(sales: Sales) -> DataFrame:
-    found = cap_values(deduplicated(sales), CAPS)
+def caps(sales: Sales, sketches: DataFrame | None = None) -> DataFrame:
+    found = cap_values(deduplicated(sales), CAPS, sketches)
     return found.select(F.col("revenue_rub_cap").alias("revenue_q99"), F.col("tickets_count_cap").alias("tickets_q99"))
 
 
@@ -315,7 +327,11 @@ def selected(
     return rows
 
 
-def _figures() -> list[Column]:
+def _figures(rows: DataFrame) -> list[Column]:
+    """Revenue and orders, of orders or of the daily figures of ``board``."""
+    if "revenue_sum" in rows.columns:
+        orders = F.coalesce(F.sum("orders"), F.lit(0))
+        return [F.sum("revenue_sum").cast("double").alias("revenue"), orders.alias("orders")]
     return [exact_sum(F.col("revenue_rub")).alias("revenue"), F.count("order_id").alias("orders")]
 
 
@@ -324,19 +340,19 @@ def _with_mean_order(table: DataFrame) -> DataFrame:
 
 
 def kpi(rows: DataFrame) -> DataFrame:
-    return _with_mean_order(rows.agg(*_figures()))
+    return _with_mean_order(rows.agg(*_figures(rows)))
 
 
 def revenue_by_period(rows: DataFrame, grain: str = "month") -> DataFrame:
     period = F.date_trunc(grain, F.col("created_dt_msk").cast("timestamp_ntz")).cast("date")
-    return _with_mean_order(rows.groupBy(period.alias("period")).agg(*_figures())).orderBy("period")
+    return _with_mean_order(rows.groupBy(period.alias("period")).agg(*_figures(rows))).orderBy("period")
 
 
 def revenue_by_segment(rows: DataFrame, key: str) -> DataFrame:
-    segments = _with_mean_order(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*_figures()))
+    segments = _with_mean_order(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*_figures(rows)))
     return summary.add_share(segments, ["revenue"]).orderBy(F.desc("revenue"))
 
 
 def top_segments(rows: DataFrame, key: str, k: int = 10) -> DataFrame:
-    segments = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*_figures())
+    segments = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*_figures(rows))
     return top_k(_with_mean_order(segments), k, [F.desc("orders"), F.asc(key)])

@@ -15,11 +15,11 @@ from factsieve.functions.categories import days_label
 from factsieve.functions.rounding import half_even
 from factsieve.operators import joins, quality, summary
 from factsieve.operators.hypothesis import mann_whitney
-from factsieve.operators.order_statistics import quantiles
+from factsieve.operators.order_statistics import part_sketches, quantiles
 from factsieve.operators.trimming import iqr_fences, iqr_filter
-from factsieve.plans import city_usage, interface_test, property, tickets
+from factsieve.plans import board, city_usage, interface_test, property, tickets
 from factsieve.session import scratch_path
-from factsieve.sources import files, schemas, standins
+from factsieve.sources import files, layout, schemas, standins
 from factsieve.sources.readers import load, read_csv
 from factsieve.sources.stored import stored, table_version
 
@@ -71,6 +71,47 @@ def sales(spark: SparkSession, folder: str) -> tickets.Sales:
     )
 
 
+def bucketed_market(spark: SparkSession, folder: str) -> property.Market:
+    """The market over tables stored in buckets by id and by year."""
+    version = _version(spark, folder, "lineitem", "orders", "customer")
+    return layout.bucketed_market(spark, market(spark, folder), version)
+
+
+def daily_board(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily figures of the board, made once for each version of the tables behind them."""
+    version = _version(spark, folder, "orders", "lineitem", "part", "nation", "region")
+    return stored(spark, "daily-board", version, lambda: board.daily(sales(spark, folder)))
+
+
+def user_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    version = _version(spark, folder, "orders", "lineitem", "part", "nation", "region")
+    return stored(spark, "daily-users", version, lambda: board.daily_users(sales(spark, folder)))
+
+
+def flat_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of the limited columns by town, as a load by town would append them."""
+    columns = [limit.column for limit in property.LIMITS]
+    version = _version(spark, folder, "lineitem", "orders", "customer")
+    return stored(spark, "flat-sketches", version, lambda: part_sketches(standins.flats(spark, folder), columns, ["city_id"]))
+
+
+def order_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of the capped columns by month."""
+    given = plain_sales(spark, folder)
+    return stored(
+        spark, "order-sketches", _version(spark, folder, "orders", "lineitem"),
+        lambda: part_sketches(tickets.deduplicated(given), list(tickets.CAPS), ["month"]),
+    )
+
+
+def price_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of line prices by flag and year of shipping."""
+    parts = lambda: part_sketches(
+        load(spark, folder, "lineitem").withColumn("year", F.year("l_shipdate")), ["l_extendedprice"], ["l_returnflag", "year"]
+    )
+    return stored(spark, "price-sketches", _version(spark, folder, "lineitem"), parts)
+
+
 def plain_sales(spark: SparkSession, folder: str) -> tickets.Sales:
     return tickets.Sales(
         orders=lambda: standins.ticket_orders_with_copies(spark, folder),
@@ -245,10 +286,10 @@ def iqr_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found.drop("median"), 6, "q1", "q3", "fence_low", "fence_high")
 
 
-def price_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+def price_quantiles(spark: SparkSession, folder: str, sketches: DataFrame | None = None) -> DataFrame:
     levels = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
     rows = load(spark, folder, "lineitem")
-    found = quantiles(rows, "l_extendedprice", levels, ["l_returnflag"])
+    found = quantiles(rows, "l_extendedprice", levels, ["l_returnflag"], sketches=sketches)
     return rounded(found, 6, *levels)
 
 
@@ -321,8 +362,8 @@ def dedup_hidden(s: tickets.Sales) -> DataFrame:
     return quality.drop_hidden_duplicates(s.orders(), "order_id").select("order_id", "user_id", "revenue", "days_since_prev")
 
 
-def cap_q99(s: tickets.Sales) -> DataFrame:
-    return rounded(tickets.caps(s), 6, "revenue_q99", "tickets_q99")
+def cap_q99(s: tickets.Sales, sketches: DataFrame | None = None) -> DataFrame:
+    return rounded(tickets.caps(s, sketches), 6, "revenue_q99", "tickets_q99")
 
 
 def box_revenue(s: tickets.Sales) -> DataFrame:
@@ -441,6 +482,35 @@ def _top(key: str, k: int) -> Callable[[tickets.Sales], DataFrame]:
     return lambda s: rounded(tickets.top_segments(tickets.clean_tickets(s), key, k), 2, "revenue", "avg_order")
 
 
+# The same figures from the stored daily table
+
+
+def _board(analysis: Callable[[DataFrame], DataFrame], *percents: str) -> Query:
+    return lambda s, d: rounded(rounded(analysis(daily_board(s, d)), 2, "revenue", "avg_order"), 6, *percents)
+
+
+def kpi_filtered_from_board(rows: DataFrame) -> DataFrame:
+    part = tickets.selected(
+        rows, "1996-01-01", "1999-12-31", currency="rub", region="NATION_7", event_type="ECONOMY"
+    )
+    return tickets.kpi(part)
+
+
+def active_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Users by weekday, month, device and region: the exact count, and whether merged sketches come near it."""
+    orders = tickets.clean_tickets(sales(spark, folder))
+    sketches = user_sketches(spark, folder)
+
+    def both(grain: str) -> DataFrame:
+        exact = board.exact_users_by(orders, grain)
+        near = board.users_by(sketches, grain).withColumnRenamed("users", "_near")
+        close = F.abs(F.col("_near") - F.col("users")) <= F.ceil(F.col("users") * board.ERROR)
+        key = F.col(grain).cast("string").alias("key")
+        return exact.join(near, grain, "left").select(F.lit(grain).alias("grain"), key, "users", F.coalesce(close, F.lit(False)).alias("near"))
+
+    return reduce(DataFrame.unionByName, [both(g) for g in ("weekday", "month", "device", "region")])
+
+
 # City usage and conversion test -------------------------------------------------------
 
 
@@ -599,6 +669,23 @@ def queries() -> dict[str, Query]:
         "top_regions": _sales(_top("region_name", 5)),
         "top_cities": _sales(_top("city_name", 3)),
         "top_events": _sales(_top("event_id", 10)),
+        # the same from stored daily figures, user sketches, value sketches and bucketed tables
+        "kpi_from_board": _board(tickets.kpi),
+        "kpi_filtered_from_board": _board(kpi_filtered_from_board),
+        "revenue_by_period_from_board": _board(lambda b: tickets.revenue_by_period(b, "month")),
+        "revenue_by_segment_from_board": _board(lambda b: tickets.revenue_by_segment(b, "event_type_main"), "revenue_pct"),
+        "revenue_by_device_from_board": _board(lambda b: tickets.revenue_by_segment(b, "device_type_canonical"), "revenue_pct"),
+        "revenue_by_region_from_board": _board(lambda b: tickets.revenue_by_segment(b, "region_name"), "revenue_pct"),
+        "top_regions_from_board": _board(lambda b: tickets.top_segments(b, "region_name", 5)),
+        "top_cities_from_board": _board(lambda b: tickets.top_segments(b, "city_name", 3)),
+        "active_users": active_users,
+        "trim_bounds_from_sketches": lambda s, d: property.bounds(plain_market(s, d), flat_sketches(s, d)),
+        "cap_q99_from_sketches": lambda s, d: cap_q99(plain_sales(s, d), order_sketches(s, d)),
+        "quantiles_from_sketches": lambda s, d: price_quantiles(s, d, price_sketches(s, d)),
+        "segment_profile_from_buckets": lambda s, d: property.segment_profile(bucketed_market(s, d)),
+        "season_rank_from_buckets": lambda s, d: property.season_rank(bucketed_market(s, d)),
+        "season_prices_from_buckets": lambda s, d: property.season_prices(bucketed_market(s, d)),
+        "price_by_city_from_buckets": lambda s, d: property.price_by_city(bucketed_market(s, d)),
         # city usage
         "dedup_key": dedup_key,
         "city_overlap": city_overlap,

@@ -296,4 +296,12 @@ SELECT 'nominal', count(*) FILTER (WHERE nominal NOT BETWEEN -128 AND 127) FROM
         "top_cities": _full(TO_FULL, _top("city_name", 3)),
         "top_regions": _full(TO_FULL, _top("region_name", 5)),
         "top_events": _full(TO_FULL, _top("event_id", 10)),
+        "active_users": _full(TO_FULL, " UNION ALL ".join(
+            f"""SELECT '{grain}' AS grain, CAST({key} AS VARCHAR) AS key, count(DISTINCT user_id) AS users, true AS near
+                FROM tickets WHERE {key} IS NOT NULL GROUP BY {key}"""
+            for grain, key in {
+                "weekday": "isodow(created_dt_msk)", "month": "strftime(created_dt_msk, '%Y-%m')",
+                "device": "device_type_canonical", "region": "region_name",
+            }.items()
+        )),
     }
