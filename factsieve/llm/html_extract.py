@@ -6,7 +6,9 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments a
 parts are left out. Containers outside of articles whose own blocks are mostly links do not score,
 and are left out below the winner too where the host repeats the links. A name alone
 never decides on a page's whole text: main and article count within containers of such names,
-and a container that holds four fifths of the text of the pages where a host has it counts too.
+and a container that holds four fifths of the text of the pages where a host has it counts too, as
+does a form around the page. Names are compared by whole parts, and never leave out a heading or a
+part of a sentence.
 
 First pass: a page scores each of its containers by the share of the page's characters below
 it, in thousandths, and these votes are added up per host and path. The winner of a host lies on
@@ -19,8 +21,10 @@ Second pass: each page is read again and yields the blocks below its host's winn
 these hold less than four fifths of the page's text, less what the host repeats beside that
 path, the page's own path is taken, found in the same way.
 
-Null, empty and textless pages give the empty text. Pages without a host form one group.
-Repeated rows give repeated rows. An empty table gives no rows.
+Null, empty and textless pages give the empty text. Pages of any length and depth are read in linear
+time. Pages without a host form one group. Of paths with equal votes at one depth the
+first in order of text wins. Repeated rows give repeated rows, and an empty table none. Only page_id,
+url and html are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -42,32 +46,53 @@ from factsieve.llm.storage import checkpointed
 WINNING = 800
 #: Relative error of the counts of different texts, which are compared at a ratio of two.
 ERROR = 0.1
+#: Containers on a path; browsers stop nesting at some hundreds.
+DEPTH = 128
 #: Winners are broadcast up to this many characters of hosts and paths, else joined by a shuffle.
 BROADCAST_CHARS = 8 << 20
 
-# The elements and names that HTML and its authors use for each purpose.
+# The elements that HTML has for each purpose.
 CONTAINERS = frozenset("body main article section div center table tbody thead tfoot tr td th ul ol dl blockquote figure details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary header footer nav aside form fieldset menu".split())
+WRAPPERS = CONTAINERS | frozenset("header footer nav aside form fieldset menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SKIPPED = frozenset("head title noscript template iframe object svg canvas nav aside footer form menu select button textarea dialog".split())
+SKIPPED = frozenset("head title noscript template iframe object svg canvas nav aside footer menu select button textarea dialog".split())
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "caption"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|masthead|footer|sidebar|aside|widget|ad|ads|adv|advert\w*|banner|promo\w*"
-    r"|sponsor\w*|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|comment\w*|disqus|respond"
-    r"|share|sharing|social|related|breadcrumbs?|pagination|pager|toolbar|copyright|disclaimer|gdpr|overlay)s?(?=$|[\s_\d-])"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+# The author's choice of names, by whole parts of a class or id. Names of page parts mark a container
+# whatever stands before them; other names only together with words of place and shape.
+PARTS = frozenset(
+    """nav navbar navigation menu masthead footer sidebar ads advert adverts advertisement advertisements advertising
+    breadcrumb breadcrumbs pagination pager toolbar comments cookie cookies newsletter gdpr disqus""".split()
+)
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising promo sponsor sponsored newsletter cookie cookies".split())
+NAMES = PARTS | ADVERTS | frozenset(
+    """aside widget widgets banner banners promotion promotions promoted sponsors consent notice notices alert alerts popup
+    modal subscribe signup login comment respond share sharing social related copyright disclaimer overlay""".split()
+)
+SHAPES = frozenset(
+    """area articles bar block blocks body bottom box btn button buttons center col column container content desktop first
+    fixed form frame global group holder home icon icons inline inner item items js large last left link links list main media
+    mobile module news outer page panel post posts primary region right row section secondary side site slot small space
+    sticky stories sub text this thread top unit wrap wrapper zone""".split()
 )
 #: Forms that tell what a container has, lacks or is filed under, not what it is.
 MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without|category|tag)[_-]\S*")
 TOP = re.compile(r"(?:^|[\s_-])header(?=$|[\s_\d-])")
 
+# A quote opens a value only after an equals sign; an unquoted value ends at white space or at the end of the tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)|[^<]+|<",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _DIGITS = re.compile(r"\d+")
+_SPLIT = re.compile(r"[-_\d]+")
 
 _ARTICLE = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
 
@@ -93,22 +118,36 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(set(names))])
 
 
-def _named(attributes: dict[str, str], inside: bool) -> bool:
+def _boilerplate(name: str, words: frozenset[str] = NAMES) -> bool:
+    """Whether a class or id names boilerplate: ``ad-slot`` and ``site-footer`` do, ``ad-free`` does not."""
+    parts = [p for p in _SPLIT.split(name) if p]
+    if not parts or not any(p in words for p in parts):
+        return False
+    return parts[-1] in PARTS and words is NAMES or all(p in words or p in SHAPES for p in parts)
+
+
+def _named(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether a block is left out for its name; headings never are, and text in an article only as an advert."""
+    if tag in HEADINGS:
+        return False
     names = MODIFIER.sub("", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return bool(BOILERPLATE.search(names)) or (not inside and bool(TOP.search(names)))
+    words = ADVERTS if inside and tag not in WRAPPERS else NAMES
+    return any(_boilerplate(n, words) for n in names.split()) or (not inside and bool(TOP.search(names)))
 
 
 def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> int:
     """Whether an element is no part of the main text, by itself or by its name only; ``inside`` an article a header may be."""
     if tag in SKIPPED or (tag == "header" and not inside):
         return GONE
+    if tag == "form" and "hidden" not in attributes:
+        return NAMED  # one around most of the page is a wrapper like any other
     if not attributes or tag in ("html", "body", "main", "article"):
         return KEPT
     if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
         return GONE
     if _NO_DISPLAY.search(attributes.get("style", "")):
         return GONE
-    return NAMED if _named(attributes, inside) else KEPT
+    return NAMED if tag in BLOCKS and _named(tag, attributes, inside) else KEPT
 
 
 def _resets(tag: str, attributes: dict[str, str], path: str) -> bool:
@@ -118,16 +157,18 @@ def _resets(tag: str, attributes: dict[str, str], path: str) -> bool:
     """
     if tag == "article":
         before = path.partition("/" + MARK)[0]
-        return not ("/article" in before or "/main" in before or _named(attributes, True))
+        return not ("/article" in before or "/main" in before or _named(tag, attributes, True))
     return tag == "main"
 
 
 def blocks(html: str | None) -> list[Block]:
     """(path, text, characters in links) of the blocks that may be main text, in page order.
 
-    Steps left out by name are marked.
+    Steps left out by name are marked. Paths end after ``DEPTH`` steps; what lies deeper has the
+    path of the container at that depth.
     """
     found: list[Block] = []
+    opened: Counter = Counter()  # open elements by tag
     stack: list[tuple[str, str, int]] = [("", "", KEPT)]  # tag, path, whether its text is passed over
     pieces: list[str] = []
     links = linked = 0
@@ -146,12 +187,15 @@ def blocks(html: str | None) -> list[Block]:
     def close(depth: int) -> None:
         nonlocal links
         for tag, _, _ in stack[depth:]:
+            opened[tag] -= 1
             links -= tag == "a"
         if any(tag in BLOCKS for tag, _, _ in stack[depth:]):
             flush()
         del stack[depth:]
 
     def open_at(tags: frozenset | set, stop: frozenset | set) -> int:
+        if not any(opened[tag] for tag in tags):
+            return 0
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth][0] in tags:
                 return depth
@@ -201,11 +245,12 @@ def blocks(html: str | None) -> list[Block]:
         if (MARK in path or out == NAMED) and _resets(tag, named, path):
             path, out = path.replace("/" + MARK, "/"), out if out == GONE else KEPT
         if kind == NAMED and tag in BLOCKS:
-            kind = KEPT
-            path = f"{path}/{MARK}{_step(tag, named)}"
-        elif tag in CONTAINERS:
+            if path.count("/") < DEPTH:
+                kind, path = KEPT, f"{path}/{MARK}{_step(tag, named)}"
+        elif tag in CONTAINERS and path.count("/") < DEPTH:
             path = f"{path}/{_step(tag, named)}"
         stack.append((tag, path, max(out, kind)))
+        opened[tag] += 1
         links += tag == "a"
     flush()
     return found
@@ -227,18 +272,20 @@ def scored(found: list[Block]) -> dict[str, tuple[int, int]]:
     Paths end at the first article or main. The blocks that lie in a container itself, not in one
     further down, have that container's path and a slash; where they are mostly links they do not count.
     """
-    below: dict[str, tuple[int, int]] = {}
+    own: dict[str, tuple[int, int]] = {}
     skipped = mostly_links(found)
     for path, text, _ in found:
-        if path in skipped:
-            continue
+        if path not in skipped:
+            n, code = own.get(path, (0, 0))
+            own[path] = n + len(text), zlib.crc32(text.encode("utf-8", "replace"), code)
+    below: dict[str, tuple[int, int]] = {}
+    for path, (size, code) in own.items():
         top = _ARTICLE.search(path)
         steps = (path[: top.end()] if top else path + "/").split("/")
-        code = zlib.crc32(text.encode("utf-8", "replace"))
         for depth in range(1, len(steps) + 1):
             key = "/".join(steps[:depth])
             n, old = below.get(key, (0, 0))
-            below[key] = n + len(text), (old * 31 + code) & 0xFFFFFFFF
+            below[key] = n + size, (old * 31 + code) & 0xFFFFFFFF
     return below
 
 

@@ -97,3 +97,46 @@ def test_link_lists_within_the_text_stay_and_menus_go(spark):
     texts = {r["page_id"]: r["text"] for r in found}
     assert all(texts[k] == f"{LONG.strip()}\nLinked {k}\nSource {k}\nOther {k}" for k in range(8))
     assert "Source 0" in H.main_text(rows[0][2], "/nowhere") and "Home" not in H.main_text(rows[0][2], "/nowhere")
+
+
+STORY = "<p>One two three.</p><p>Four five six.</p>"
+PROBES = [
+    ("<body><form id=aspnetForm><div><article>" + STORY + "</article></div></form></body>", "One two three.\nFour five six."),
+    ("<body><form id=f><input name=q><div class=content>" + STORY * 9 + "</div></form></body>", "\n".join(["One two three.", "Four five six."] * 9)),
+    ("<p title=Bob's>one two</p><p>it isn't three</p><p>four</p>", "one two\nit isn't three\nfour"),
+    ("<p>one</p><!--><p>two</p><!---><p>three</p><!-- a --!><p>four</p>", "one\ntwo\nthree\nfour"),
+    ('The <span class="alert">warning</span> came from <a class="social">the agency</a>.', "The warning came from the agency."),
+    ("<article><h1 class='banner-title'>Title</h1><p class='ad-free'>Free.</p><p class='social-history'>Past.</p></article>", "Title\nFree.\nPast."),
+    ("<article><p class=notice>Mind this.</p><p class=ad>Buy</p><div class=notice>Cookies</div></article>", "Mind this."),
+    ("<article><p data-x='a>b' title=\"it's\" alt=a=b>one</p><p class = 'ad-slot'>Buy</p><p a=\"never closed>two</p></article>", "one\ntwo"),
+    ("<article>" + STORY + "<form><p>Your mail</p></form></article>", "One two three.\nFour five six."),
+]
+
+
+@pytest.mark.parametrize("page, text", PROBES)
+def test_no_text_is_lost_to_forms_quotes_comments_and_names(spark, page, text):
+    rows = [(k, f"https://a.org/{k}", page, "x") for k in range(3)]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert [r["text"] for r in found] == [text] * 3
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "ads", "site-footer", "td-footer", "main-nav", "cookie-notice", "share-buttons", "related-posts", "sidebar_left", "ad1"])
+def test_names_of_boilerplate(name):
+    assert H._boilerplate(name) and H.main_text(f"<body><div>{STORY}</div><div class='{name}'>Buy</div></body>", "/nowhere") == "One two three.\nFour five six."
+
+
+@pytest.mark.parametrize("name", ["ad-free", "social-history", "banner-title", "elementor-widget", "adele", "menuett", "x-alert"])
+def test_names_that_only_hold_such_a_word(name):
+    assert not H._boilerplate(name)
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div class='a b'>x", "<span>", "</p>", "<p><article><span>", "<b a='", "<!--", "<ul><li>y", "</i>"])
+def test_pages_of_any_depth_take_linear_time(unit):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        H.main_text(unit * n + "end", "")
+        return time.perf_counter() - start
+
+    assert seconds(20_000) < 2 and seconds(40_000) < 4
