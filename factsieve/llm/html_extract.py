@@ -427,25 +427,50 @@ def consensus(pages: DataFrame) -> DataFrame:
     return winners.join(lifted, "host", "full").join(menus, "host", "full")
 
 
+#: What a host's winner needs to be applied; none for a host without text.
+_LISTS = ["lifted", "repeated", "menus"]
+_NO_WINNER = ("", (), (), ())
+
+
+def _winner(row) -> tuple:
+    return (row["path"] or "", *(tuple(row[n] or ()) for n in _LISTS))
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page row: page_id, url, text, n_chars, path."""
+    """One row per page row: page_id, url, text, n_chars, path.
+
+    Up to ``BROADCAST_CHARS`` characters of winners go to every worker once; more are joined by host,
+    and come with each page.
+    """
     winners = checkpointed(consensus(pages))
-    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.length(F.concat_ws("", "lifted", "repeated", "menus"))
-    if (winners.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS:
-        winners = F.broadcast(winners)
+    chars = F.length("host") + F.length(F.coalesce("path", F.lit(""))) + F.length(F.concat_ws("", *_LISTS))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(winners, "host", "left").withColumn("path", F.coalesce("path", F.lit("")))
+    names = ["page_id", "url", "text", "n_chars", "path"]
+    schema = "page_id long, url string, text string, n_chars long, path string"
+
+    def result(ids, urls, htmls, chosen: Iterable[tuple]) -> pa.RecordBatch:
+        chosen = list(chosen)
+        texts = [main_text(h, *w) for h, w in zip(htmls.to_pylist(), chosen)]
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        shown = pa.array([w[0].replace("/" + MARK, "/") for w in chosen], pa.string())
+        return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes, shown], names)
+
+    if (winners.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS:
+        by_host = pages.sparkSession.sparkContext.broadcast({r["host"]: _winner(r) for r in winners.collect()})
+
+        def start_known():
+            def work(ids, urls, htmls, hosts):
+                return result(ids, urls, htmls, (by_host.value.get(h, _NO_WINNER) for h in hosts.to_pylist()))
+
+            return work
+
+        return map_rows(rows, ["page_id", "url", "html", "host"], start_known, schema)
 
     def start():
-        def work(ids, urls, *given):
-            paths = given[1]
-            texts = [main_text(h, p, *(x or () for x in lists)) for h, p, *lists in zip(*(c.to_pylist() for c in given))]
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            shown = pa.array([p.replace("/" + MARK, "/") for p in paths.to_pylist()], pa.string())
-            return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes, shown], names)
+        def work(ids, urls, htmls, path, *lists):
+            given = (dict(zip(["path", *_LISTS], w)) for w in zip(*(c.to_pylist() for c in (path, *lists))))
+            return result(ids, urls, htmls, map(_winner, given))
 
         return work
 
-    names = ["page_id", "url", "text", "n_chars", "path"]
-    schema = "page_id long, url string, text string, n_chars long, path string"
-    return map_rows(rows, ["page_id", "url", "html", "path", "lifted", "repeated", "menus"], start, schema)
+    return map_rows(rows.join(winners, "host", "left"), ["page_id", "url", "html", "path", *_LISTS], start, schema)

@@ -73,7 +73,9 @@ def test_year_range_reaches_the_scan(spark):
 
 
 def test_bounds_and_rows_share_one_shuffle(spark):
-    frame = QUERIES["kpi"](spark, FOLDER)
+    from factsieve.plans import tickets
+
+    frame = tickets.kpi(tickets.clean_orders(registry.plain_sales(spark, FOLDER)))
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReusedExchange \[user_id", plan)
