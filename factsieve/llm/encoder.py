@@ -25,6 +25,11 @@ WORD_END = "</w>"
 
 # Characters for which lower-casing and composing are the same here as in the tokenizer.
 _PLAIN = re.compile("[ -~¡-¬®-įı-ʯ]*")
+#: Longest chunk that is remembered, and characters of remembered chunks at most; with their ids and
+#: the table's own entries some 20 bytes a character.
+LONGEST = 64
+REMEMBERED = 1 << 22
+
 _END = "\x01"
 _BLANK = 0x20
 
@@ -37,15 +42,20 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids; remembers up to ``remembered`` chunks."""
+    """Encodes texts as little-endian unsigned 32-bit ids.
+
+    Chunks of at most ``LONGEST`` characters are remembered, up to ``remembered`` characters of
+    them; longer ones (scripts without blanks, encoded data) are encoded each time.
+    """
 
-    def __init__(self, path: str, remembered: int = 1 << 19) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.kept = 0  # characters of the known chunks
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         pattern = steps[0].get("pattern", {}).get("Regex")
         self.plain = pattern == PRE_TOKEN and spec["model"].get("end_of_word_suffix") == WORD_END
@@ -88,11 +98,14 @@ class Encoder:
         """The ids of each chunk."""
         out = list(map(self.known.get, chunks))
         if None in out:
-            if len(self.known) > self.remembered:
-                self.known = {}
-                out = [None]
-            self._learn(list({c for c in chunks if c not in self.known}))
-            out = list(map(self.known.__getitem__, chunks))
+            new = self._encoded(list({c for c, found in zip(chunks, out) if found is None}))
+            out = [new[c] if found is None else found for c, found in zip(chunks, out)]
+            short = {c: v for c, v in new.items() if len(c) <= LONGEST}
+            self.kept += sum(map(len, short))
+            if self.kept > self.remembered:
+                self.known, self.kept = {}, 0
+            else:
+                self.known.update(short)
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -101,16 +114,18 @@ class Encoder:
     def _simple(self, text: str) -> bool:
         return self.plain and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
-    def _learn(self, chunks: list[str]) -> None:
-        joined = " ".join(chunks)
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of distinct chunks."""
+        joined, found = " ".join(chunks), {}
         if not self._simple(joined):
-            self.known.update((c, self.whole(c)) for c in chunks if not self._simple(c))
-            chunks = [c for c in chunks if self._simple(c)]
+            found = {c: self.whole(c) for c in chunks if not self._simple(c)}
+            chunks = [c for c in chunks if c not in found]
             joined = " ".join(chunks)
         if not chunks:
-            return
+            return found
         ranks = np.array(self.merger.encode_ordinary(self.pre_tokens.sub(rf"\g<0>{_END}", joined.lower())), np.int64)
         cuts = np.flatnonzero(ranks == _BLANK)
         data = self.id_of_rank[np.delete(ranks, cuts)].astype(np.uint32).tobytes()
         at = [0, *((cuts - np.arange(len(cuts))) * 4).tolist(), len(data)]
-        self.known.update((c, data[a:b]) for c, a, b in zip(chunks, at, at[1:]))
+        found.update((c, data[a:b]) for c, a, b in zip(chunks, at, at[1:]))
+        return found

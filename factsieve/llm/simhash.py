@@ -11,8 +11,10 @@ A subtree with more fingerprints than one task's share is not kept whole: the sa
 applies to its remaining 48 bits (four sixths of 12), so its fingerprints go to four smaller
 subtrees each, by the sixth that agrees, and once more for the remaining 36 bits (of 9 each).
 
-Null ids take part and null texts count as empty. Texts without words have fingerprint zero
-and link like any other. Repeated rows give repeated rows. An empty table gives no rows.
+Null ids take part and null texts count as empty; a class of which no row has an id has a null
+component. Texts of any length are hashed whole. Texts without words have fingerprint zero and link
+like any other. Repeated rows give repeated rows, equal fingerprints are one node, an empty table gives
+no rows. Only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -268,12 +270,12 @@ def links(codes: DataFrame, budget: int = MAX_BITS, split: int = SUBTREE) -> Dat
 
 
 def classes(prints: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """(code, component, component_key) for every distinct code: its group, and the smallest ``row_key`` reachable by links."""
-    least = checkpointed(prints.groupBy("code").agg(F.min("row_key").alias("row_key")))
+    """(code, component, component_id) for every distinct code: its group, and the smallest id reachable by links, if any has one."""
+    least = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("doc_id")))
     groups = components(links(least.select("code"), budget)).withColumnRenamed("node", "code")
     named = least.join(groups, "code", "left").withColumn("component", F.coalesce("component", "code"))
-    smallest = named.groupBy("component").agg(F.min("row_key").alias("component_key"))
-    return named.join(smallest, "component").select("code", "component", "component_key")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(smallest, "component").select("code", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
@@ -284,24 +286,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_B
         "doc_id",
         "row_key",
         F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
-        F.col("component_key").alias("component_id"),
+        "component_id",
     )
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` less all but one of each class: the one with the smallest id.
 
-    Of several texts with that id the one with the smallest hash stays, of repeated rows one.
-    An id may stay once for each class that it occurs in. A row without an id stays only where no member of
-    its class has one. All columns are kept.
+    Of several rows with that id the one with the smallest hash of all its columns stays, of repeated rows
+    one. An id may stay once for each class that it occurs in. A row without an id stays only where no member
+    of its class has one. All columns are kept.
     """
     own = "_key" + "_" * max(len(c) for c in docs.columns)  # no column of docs has this name
     hashed = own + "_"
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.select("doc_id", "text").withColumn(hashed, text_hash)
+    row_hash = F.xxhash64(*docs.columns)
+    rows = docs.select("doc_id", "text", row_hash.alias(hashed))
     prints = checkpointed(fingerprints(rows, shingle, [hashed]))
     least = prints.groupBy("code").agg(F.min(F.struct("row_key", hashed)).alias("least"))
     least = least.join(classes(prints, budget), "code").groupBy("component").agg(F.min("least").alias("least"))
     keepers = least.select(F.col("least.row_key").alias(own), F.col(f"least.{hashed}").alias(hashed))
-    kept = docs.withColumn(own, _row_key()).withColumn(hashed, text_hash).join(keepers, [own, hashed], "left_semi")
+    kept = docs.withColumn(own, _row_key()).withColumn(hashed, row_hash).join(keepers, [own, hashed], "left_semi")
     return kept.dropDuplicates([own, hashed]).drop(own, hashed)
