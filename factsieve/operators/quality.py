@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factsieve.functions.rounding import percent
 from factsieve.operators.attach import attach, known_keys
@@ -86,14 +89,36 @@ def dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     NULL comes last in the order, and a key may be NULL. Of rows that tie, the one with the least
     hash of its columns stays, so a run on the same rows keeps the same row; fully equal rows are
-    one. Both steps are hashed minima, reduced in each task before the shuffle, and semi-joins keep
-    the rows that hold them; the second step sees only the rows that are first or tie.
+    one. The least place and hash of a key are hashed minima, reduced in each task before the
+    shuffle, and semi-joins keep the rows that hold them. Where the order is a number, a date or a
+    moment, place and hash are one number and one step finds both; otherwise the second step
+    sees only the rows that are first or tie.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     if not rest and order not in keys:
         return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
+    whole = F.xxhash64(*df.columns)
+    place = _whole_number(df, order)
+    if place is not None:
+        return _holding_least(df, keys, place * F.lit(Decimal(_HASHES)) + F.pmod(whole, F.lit(_HASHES)).cast("decimal(19,0)")).distinct()
     firsts = _holding_least(df, keys, F.col(order)).distinct()
-    return _holding_least(firsts, keys, F.xxhash64(*df.columns))
+    return _holding_least(firsts, keys, whole)
+
+
+#: Hashes that stand behind a place in one decimal number, which must hold 63 bits and these.
+_HASHES = 1 << 60
+
+
+def _whole_number(df: DataFrame, column: str) -> Column | None:
+    """The column's place as a decimal of up to 19 digits, NULL behind all others; None for other types."""
+    kind, x = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.DateType):
+        x = F.unix_date(x)
+    elif isinstance(kind, T.TimestampType):
+        x = F.unix_micros(x)
+    elif not isinstance(kind, T.IntegralType):
+        return None
+    return F.coalesce(x.cast("decimal(19,0)"), F.lit(Decimal(1 << 63)).cast("decimal(19,0)"))
 
 
 def _holding_least(df: DataFrame, keys: list[str], value: Column) -> DataFrame:

@@ -50,6 +50,24 @@ def test_dedup_keeps_one_row_of_equal_null_and_tied_orders(spark):
     assert "SortAggregate" not in plan and "Window" not in plan
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "date", "timestamp", "bigint"])
+def test_dedup_by_orders_of_other_types(spark, kind):
+    """The same rows and ties under an order of each type; extremes of long, moments before 1970."""
+    day = "date_add(DATE '1969-12-25', row_no)"
+    order = {
+        "string": "lpad(CAST(row_no AS STRING), 3, '0')", "double": "row_no / 2D", "date": day,
+        "timestamp": f"CAST({day} AS TIMESTAMP) + INTERVAL 1 MICROSECOND",
+        "bigint": "CASE row_no WHEN 0 THEN -9223372036854775808L WHEN 20 THEN 9223372036854775807L ELSE row_no END",
+    }[kind]
+    rows = [(f"k{i % 7}", None if i % 5 == 4 else (i * 3) % 21, f"c{i % 4}") for i in range(200)] + [("n", None, "x"), ("n", None, "y")]
+    df = spark.createDataFrame(rows, "puid string, row_no int, city string").selectExpr("puid", f"{order} AS place", "row_no", "city")
+    kept = quality.dedup(df, ["puid"], "place").collect()
+    assert len(kept) == 8
+    for row in kept:
+        known = [r[1] for r in rows if r[0] == row.puid and r[1] is not None]
+        assert row.row_no == min(known, default=None)
+
+
 def test_null_profile_and_counts(spark):
     df = orders(spark)
     profile = {r.column: (r.type, r.filled, r.missing) for r in quality.null_profile(df).collect()}
