@@ -35,8 +35,8 @@ _LICENSE = "(?:licen[cs]e|licence)"
 
 # The author's choice: label, pattern of the name, keywords, identifier words, and address words.
 FAMILIES = [
-    ("mit", f"(?:mit|expat|mit x11|x11) {_LICENSE}", (" mit ", " expat ", " x11 ",), "mit", "opensource org licenses mit"),
-    ("mit-0", f"mit (?:no attribution|0)(?: {_LICENSE})?", (" mit ",), "mit 0", "opensource org licenses mit 0"),
+    ("mit", f"(?:mit|expat|mit x11|x11) {_LICENSE}", ("mit licen", "expat licen", "x11 licen", "identifier mit ", "licenses mit ",), "mit", "opensource org licenses mit"),
+    ("mit-0", f"mit (?:no attribution|0)(?: {_LICENSE})?", ("mit no attribution", "mit 0 ",), "mit 0", "opensource org licenses mit 0"),
     ("apache-1.1", f"apache (?:software )?{_LICENSE}(?: v| version)? 1 1", ("apache",), "apache 1 1", "apache org licenses license 1 1"),
     ("apache-2", f"apache (?:software )?{_LICENSE}(?: v| version)? ?2(?: 0)?", ("apache",), "apache 2 0", "apache org licenses license 2 0"),
     ("apache", f"apache (?:software )?{_LICENSE}", ("apache",), "apache", "apache org licenses"),
@@ -76,7 +76,7 @@ FAMILIES = [
     ("libpng", f"libpng {_LICENSE}", ("libpng",), "libpng(?: 2 0)?", "libpng org pub png src libpng license"),
     ("unlicense", "(?:the )?unlicense", ("unlicense",), "unlicense", "unlicense org"),
     ("wtfpl", f"(?:wtfpl|do what the fuck you want to public {_LICENSE})", ("wtfpl", "want to public",), "wtfpl", "wtfpl net"),
-    ("ofl-1.1", f"(?:sil )?open font {_LICENSE}(?:(?: v| version)? 1(?: 1)?)?", ("open font", " ofl",), "ofl 1 1", "scripts sil org ofl"),
+    ("ofl-1.1", f"(?:sil )?open font {_LICENSE}(?:(?: v| version)? 1(?: 1)?)?", ("open font", " ofl ",), "ofl 1 1", "scripts sil org ofl"),
     ("psf", f"(?:python software foundation|psf) {_LICENSE}(?: agreement)?", ("python software foundation", " psf ", "python 2 0", "docs python org",), "(?:psf 2 0|python 2 0)", "docs python org license"),
     ("postgresql", f"postgresql {_LICENSE}", ("postgresql",), "postgresql", "opensource org licenses postgresql"),
     ("ruby", f"ruby {_LICENSE}", ("ruby",), "ruby", "ruby lang org en about license"),

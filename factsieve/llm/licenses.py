@@ -29,9 +29,9 @@ _NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Every pattern and phrase needs one of these; the test of the rules checks it.
 STEMS = [
-    "licen", "spdx", " cc ", "cc0", "creative", "public domain", "publicdomain", "rights reserved", "gpl", "bsd", "mpl ", "epl ",
-    "edl", "cddl", "eupl", "cecill", "wtfpl", " org ", " net ", "mariadb com", "mongodb com", "elastic co", "joinup",
-    "cecill info", " mit ", "redistribution", "copyright", " software", "hereby granted", "verbatim copies", "remotely through",
+    "licen", "spdx", " cc ", "cc0", "creative", "public domain", "publicdomain", "rights reserved", "gpl", "bsd", " mpl ", " epl ",
+    "cddl", "eupl", "cecill", "wtfpl", " org ", " net ", "mariadb com", "mongodb com", "elastic co", "joinup",
+    "cecill info", " mit 0 ", "no attribution", "redistribution", "copyright", " software", "hereby granted", "verbatim copies", "remotely through",
     "combined work", "exception", "what the fuck", "confidential", "strictly prohibited", "prior written", "functionality of the program",
     "consequential damages", "acknowledg", "endorse or promote", "derivative works",
 ]
