@@ -102,6 +102,21 @@ def test_an_id_with_two_texts_stays_once_for_each_class(spark):
     assert sorted(tuple(r) for r in kept) == sorted([(1, one), (1, two)])
 
 
+def test_a_class_without_ids_has_no_component(spark):
+    one, two = "the quick brown fox jumps over a lazy dog", "eleven grey herons wait beside some frozen lake at dawn"
+    rows = [(None, one), (None, one), (7, two), (None, two)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (0, 0), (0, 7), (7, 7)]
+
+
+def test_rows_that_differ_beside_id_and_text_are_settled_by_their_hash(spark):
+    text = "the quick brown fox jumps over a lazy dog"
+    rows = [(1, text, s) for s in ("a", "b", "c", "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [simhash.deduplicated(table.repartition(n, "source")).collect() for n in (1, 3, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
 def brute_vectors(rows, threshold=0.95):
     units = [cover_tree.unit(v) for _, v in rows]
     pairs = [

@@ -12,7 +12,7 @@ QUERIES = queries.queries()
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(driver.oracle_sql())
 
 
