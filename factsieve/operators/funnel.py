@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.calendar import lifetime_days
 from factsieve.functions.rounding import half_even, percent
-from factsieve.operators.attach import read_once
 
 
 def start_moments(events: DataFrame, key: str, event: str, name: str, moment: str, start: str, which: str) -> DataFrame:
@@ -46,57 +45,35 @@ def windowed_fanout(
 ) -> DataFrame:
     """Rows that joining every event to every start of its key leaves within the window, by group and event.
 
-    An event keeps a start that lies less than ``days + 1`` full days before it, or later. Events
-    and starts are counted by distinct moment; with events set back by that time, a running
-    count per key tells how many starts come too early for each. No pair is built.
+    An event keeps a start that lies less than ``days + 1`` full days before it, or later. Every event
+    is set back by that time, and the starts that come too early for it are counted on two levels:
+    those of earlier days from running totals over a key's days, those of the same day among the
+    moments of that day. Rows become sums by key, day, group and event before the totals over
+    days, so one step puts moments in order, and no pair is built.
     """
     known = events.na.drop(subset=[key, moment])  # others match nothing
-    counted = read_once(known.groupBy(key, group, event, moment).agg(F.count("*").alias("_n")))
-    starts = counted.filter(F.col(event) == name).groupBy(key, moment).agg(F.sum("_n").alias("_starts"))
-    marks = starts.select(key, F.col(moment).alias("_at"), "_starts")
     back = F.expr(f"`{moment}` - INTERVAL {days + 1} DAYS")
-    asked = counted.select(key, back.alias("_at"), group, event, "_n")
-    kept = running_count(marks, asked, key, "_at", "_starts", "_early", "_total")
-    kept = kept.withColumn("_kept", F.col("_total") - F.col("_early")).filter("_kept > 0")
-    return kept.groupBy(group, event).agg(F.sum(F.col("_n") * F.col("_kept")).alias("joined_rows"))
-
-
-def running_count(
-    marks: DataFrame, asked: DataFrame, key: str, at: str, counted: str, upto: str, total: str
-) -> DataFrame:
-    """The asked rows with the sum of the key's marks up to their moment, and of all of them.
-
-    Prefix sums on two levels. Marks are summed by key and day, and running totals taken over a key's
-    days; moments are put in order only within one day of a key, with the total of the days before
-    as a first entry. A key with any part of all rows so gives one row per calendar day to a task,
-    and its rows are spread over its days. Keys and moments must not be NULL.
-    """
-    day = F.to_date(at)
-    moment_type = asked.schema[at].dataType
-    rest = [c for c in asked.columns if c not in (key, at)]
-    blank = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in rest]
-    marked = marks.select(key, at, *blank, counted, F.lit(None).cast("long").alias(total), F.lit(False).alias("_asked"))
-    wanted = asked.select(
-        key, at, *rest, F.lit(0).cast("long").alias(counted), F.lit(None).cast("long").alias(total), F.lit(True).alias("_asked")
-    )
-    both = marked.unionByName(wanted).withColumn("_day", day)
-    days = both.groupBy(key, "_day").agg(F.sum(counted).alias("_sum"))
-    earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(
-        key,
-        F.col("_day").cast(moment_type).alias(at),
-        *blank,
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(counted),
-        F.sum("_sum").over(Window.partitionBy(key)).alias(total),
-        F.lit(False).alias("_asked"),
-        "_day",
+    names = [group, event]
+    asked = F.struct(back.alias("_at"), *names, F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_starts"))
+    blank = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in names]
+    start = F.struct(
+        F.col(moment).alias("_at"), *blank, F.lit(0).cast("long").alias("_n"), F.lit(1).cast("long").alias("_starts")
     )
-    within = Window.partitionBy(key, "_day")
-    sofar = within.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.unionByName(carried).select(
-        key, at, *rest, "_asked", F.sum(counted).over(sofar).alias(upto), F.max(total).over(within).alias(total)
+    both = F.when(F.col(event) == name, F.array(asked, start)).otherwise(F.array(asked))
+    marks = known.select(key, F.inline(both)).withColumn("_day", F.unix_date(F.to_date("_at")))
+    # a stated number of parts is kept as it is: rows packed in few bytes are not put together in few tasks
+    marks = marks.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_day")
+    counted = marks.groupBy(key, "_day", "_at", *names).agg(F.sum("_n").alias("_n"), F.sum("_starts").alias("_starts"))
+    sofar = Window.partitionBy(key, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_early", F.sum("_starts").over(sofar))
+    daily = placed.groupBy(key, "_day", *names).agg(
+        F.sum("_n").alias("_n"), F.sum("_starts").alias("_starts"), F.sum(F.col("_n") * F.col("_early")).alias("_early")
     )
-    return placed.filter("_asked").drop("_asked")
+    earlier = Window.partitionBy(key).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_starts").over(earlier), F.lit(0))
+    total = F.sum("_starts").over(Window.partitionBy(key))
+    kept = daily.select(*names, (F.col("_n") * (total - before) - F.col("_early")).alias("_kept"))
+    return kept.groupBy(*names).agg(F.sum("_kept").alias("joined_rows")).filter("joined_rows > 0")
 
 
 def within_days(lived: DataFrame, days: int, min_days: int | None = None) -> DataFrame:

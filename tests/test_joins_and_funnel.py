@@ -93,6 +93,21 @@ def test_a_hot_user_is_spread_over_days(spark):
     assert not re.search(r"\[user_id#\d+\], \[_at#", plan)
 
 
+def test_windowed_fanout_passes_its_rows_through_one_step(spark):
+    """The events are read once, and their parts are as many as the session says, however few their bytes."""
+    plan = windowed(events(spark), 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert re.search(rf"RepartitionByExpression \[user_id#\d+, _day#\d+\], {parts}", plan)
+
+
+def test_windowed_fanout_without_starts_or_groups(spark):
+    rows = [("u1", None, "registration", at(0)), ("u1", None, "purchase", at(1)), ("u2", "B", "purchase", at(1))]
+    frame = spark.createDataFrame(rows, "user_id string, `group` string, event_name string, event_dt timestamp_ntz")
+    found = {(r["group"], r.event_name): r.joined_rows for r in windowed(frame, 7).collect()}
+    assert found == {(None, "registration"): 1, (None, "purchase"): 1}
+
+
 def test_conversion_counts_users_without_events(spark):
     people = spark.createDataFrame([("u1", "A"), ("u2", "A"), ("u9", "A"), ("u3", "B")], "user_id string, `group` string")
     goals = funnel.within_days(lived(spark), 7).filter("event_name = 'purchase' AND `group` = 'A'")
