@@ -23,8 +23,13 @@ def cents(x: Column) -> Column:
     ``x * 100`` can land on a tie that the exact product misses by less than one unit in
     the last place. ``slip`` is that error, recovered without loss by splitting ``x`` into
     two short halves (Dekker's product), and decides such ties; a true tie goes to the even
-    cent.
+    cent. The steps name ``x`` some twenty times; as the element of an array it is computed once,
+    and the code around a column of cents stays short enough to be compiled.
     """
+    return F.transform(F.array(x), _cents).getItem(0)
+
+
+def _cents(x: Column) -> Column:
     scaled = x * F.lit(100.0)
     spread = x * F.lit(134217729.0)
     high = spread - (spread - x)

@@ -47,6 +47,15 @@ def read_once(df: DataFrame) -> DataFrame:
     return df.filter(F.spark_partition_id() >= F.least(F.lit(0), F.hash(*df.columns)))
 
 
+def session_parts(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, to be stated where rows are dealt to tasks.
+
+    A stated number is kept: rows that pack into few bytes are not put together in few tasks,
+    which would hold them all in memory.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def known_keys(df: DataFrame, by: list[str]) -> DataFrame:
     """Drop rows whose group key is NULL, as grouping in the original analyses does.
 

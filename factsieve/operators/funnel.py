@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.calendar import lifetime_days
 from factsieve.functions.rounding import half_even, percent
+from factsieve.operators.attach import session_parts
 
 
 def start_moments(events: DataFrame, key: str, event: str, name: str, moment: str, start: str, which: str) -> DataFrame:
@@ -61,8 +62,7 @@ def windowed_fanout(
     )
     both = F.when(F.col(event) == name, F.array(asked, start)).otherwise(F.array(asked))
     marks = known.select(key, F.inline(both)).withColumn("_day", F.unix_date(F.to_date("_at")))
-    # a stated number of parts is kept as it is: rows packed in few bytes are not put together in few tasks
-    marks = marks.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_day")
+    marks = marks.repartition(session_parts(events), key, "_day")
     counted = marks.groupBy(key, "_day", "_at", *names).agg(F.sum("_n").alias("_n"), F.sum("_starts").alias("_starts"))
     sofar = Window.partitionBy(key, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("_early", F.sum("_starts").over(sofar))

@@ -13,7 +13,7 @@ from factsieve.functions.calendar import is_weekend, iso_weekday, season
 from factsieve.functions.categories import change_class, in_home_currency, unit_price
 from factsieve.functions.rounding import exact_mean, exact_sum, half_even, percent, ratio
 from factsieve.operators import summary
-from factsieve.operators.attach import read_once, scalar_row
+from factsieve.operators.attach import read_once, scalar_row, session_parts
 from factsieve.operators.hypothesis import mann_whitney
 from factsieve.operators.quality import drop_hidden_duplicates, replace_labels, top_k
 from factsieve.operators.trimming import cap_values, percentile_cap
@@ -27,7 +27,7 @@ class Sales:
     """Ticket orders, events (one row per ``event_id``) and rates (one row per date).
 
     Tables are given as functions, so a query opens only the ones it reads. ``cleaned``, if given,
-    opens the rows of ``clean_orders`` as they were stored for the present orders and rates; without
+    opens the rows of ``clean_orders`` from orders stored for the present orders and rates; without
     it every analysis prepares them again.
     """
 
@@ -56,8 +56,11 @@ def one_per_day(rates: DataFrame) -> DataFrame:
 
 
 def with_rates(orders: DataFrame, sales: Sales) -> DataFrame:
-    """Orders with the currency rate of their day, if there is one."""
-    rates = one_per_day(sales.rates())
+    """Orders with the currency rate of their day, if there is one.
+
+    Rates have one row per calendar day, so they are sent to the orders, which stay where they are.
+    """
+    rates = F.broadcast(one_per_day(sales.rates()))
     return orders.join(rates, orders["created_dt_msk"] == rates["data"], "left")
 
 
@@ -82,15 +85,19 @@ def priced(sales: Sales) -> DataFrame:
     return derived(with_rates(sales.orders(), sales))
 
 
-def deduplicated(sales: Sales) -> DataFrame:
+def deduplicated(sales: Sales, dealt_by: list[str] | None = None) -> DataFrame:
     """Orders without hidden duplicates, priced.
 
     Everything joined or derived depends on an order's own columns only, so rows that agree
     in those agree in all. Duplicates are dropped first, on the narrow order rows, and the
     joins see each order once. The caps need all these orders, so whatever part of them a
-    query goes on with, both read one shuffle.
+    query goes on with, both read one shuffle. ``dealt_by``, columns other than the id, has that
+    shuffle deal the orders by ranges of them; equal rows stay together, so no second one is needed.
     """
-    orders = read_once(drop_hidden_duplicates(sales.orders(), "order_id"))
+    orders = sales.orders()
+    if dealt_by:
+        orders = orders.repartitionByRange(session_parts(orders), *dealt_by)
+    orders = read_once(drop_hidden_duplicates(orders, "order_id"))
     return derived(with_rates(orders, sales))
 
 
@@ -105,22 +112,39 @@ def clean_orders(sales: Sales) -> DataFrame:
     return percentile_cap(deduplicated(sales), CAPS, positive=["revenue_rub"])
 
 
-#: Stored cleaned orders are split by season, which most analyses filter by.
+def usual(orders: DataFrame, caps_known: DataFrame) -> DataFrame:
+    """Orders of positive revenue within the caps, which come as one row and act as a scalar."""
+    held = orders.withColumn("_caps", scalar_row(caps_known))
+    keep = F.col("revenue_rub") > 0
+    for column in CAPS:
+        keep = keep & (F.col(column) <= F.col("_caps").getField(f"{column}_cap"))
+    return held.filter(keep).drop("_caps")
+
+
+#: Stored orders are split by season, which most analyses filter by.
 CLEANED_BY = ["season"]
 
 
-def clean_layout(sales: Sales) -> DataFrame:
-    """The rows of ``clean_orders`` as they are best stored: dealt by season and day, in order of day.
+def order_layout(sales: Sales) -> DataFrame:
+    """The rows of ``deduplicated`` as they are best stored: dealt by day, in order of season and day.
 
-    A filter by season then reads that season's files only, and one by days few blocks of them.
+    A filter by season then reads that season's files only, and one by days few blocks of them. The
+    orders are dealt so where duplicates are dropped, and are not shuffled again for it; a day with a
+    large part of them is spread by user and event. The caps are found from the stored columns, and
+    ``usual`` leaves the rows of ``clean_orders``.
     """
-    days = [*CLEANED_BY, "created_dt_msk"]
-    return clean_orders(sales).repartitionByRange(*days, "order_id").sortWithinPartitions(*days)
+    orders = deduplicated(sales, ["created_dt_msk", "user_id", "event_id"])
+    return orders.sortWithinPartitions(*CLEANED_BY, "created_dt_msk")
 
 
 def cap_row(sales: Sales) -> DataFrame:
     """The caps as one row, to be stored or passed to ``clean_between``."""
-    return cap_values(deduplicated(sales), CAPS)
+    return order_caps(deduplicated(sales))
+
+
+def order_caps(orders: DataFrame) -> DataFrame:
+    """The caps of prepared orders, such as the stored ones."""
+    return cap_values(orders, CAPS)
 
 
 def clean_between(sales: Sales, stored_caps: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -130,11 +154,7 @@ def clean_between(sales: Sales, stored_caps: DataFrame, start: str | None = None
     are equal but for the id have one day), so the filter reaches the scan of the orders.
     """
     orders = drop_hidden_duplicates(selected(sales.orders(), start, end), "order_id")
-    held = derived(with_rates(orders, sales)).withColumn("_caps", scalar_row(stored_caps))
-    keep = F.col("revenue_rub") > 0
-    for column in CAPS:
-        keep = keep & (F.col(column) <= F.col("_caps").getField(f"{column}_cap"))
-    return held.filter(keep).drop("_caps")
+    return usual(derived(with_rates(orders, sales)), stored_caps)
 
 
 def clean_tickets(sales: Sales) -> DataFrame:

@@ -60,15 +60,15 @@ def market(spark: SparkSession, folder: str) -> property.Market:
 
 
 def sales(spark: SparkSession, folder: str) -> tickets.Sales:
-    """Ticket sales whose orders are cleaned once for each version of their tables."""
+    """Ticket sales whose orders are prepared, and their caps found, once for each version of their tables."""
     given = plain_sales(spark, folder)
-    return replace(
-        given,
-        cleaned=lambda: stored(
-            spark, "clean-orders", _version(spark, folder, "orders", "lineitem"), lambda: tickets.clean_layout(given),
-            tickets.CLEANED_BY,
-        ),
-    )
+
+    def cleaned() -> DataFrame:
+        version = _version(spark, folder, "orders", "lineitem")
+        orders = stored(spark, "orders", version, lambda: tickets.order_layout(given), tickets.CLEANED_BY)
+        return tickets.usual(orders, stored(spark, "order-caps", version, lambda: tickets.order_caps(orders)))
+
+    return replace(given, cleaned=cleaned)
 
 
 def bucketed_market(spark: SparkSession, folder: str) -> property.Market:

@@ -70,22 +70,26 @@ def ticket_orders(spark: SparkSession, folder: str) -> DataFrame:
 
     The previous order is found among the user's distinct order days, not among all rows:
     a second order of one day has a gap of zero, the first one looks one day entry back.
-    So a user with a large part of all orders still gives one row per calendar day.
+    So a user with a large part of all orders still gives one row per calendar day. A day's row is
+    brought to its first order by that order's key, which the lines are joined by as well, so
+    the orders are shuffled once. User and day are compared as ranges, as equalities they would become
+    keys of the shuffle; they tell apart orders that share a key.
     """
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    orders = orders.filter("o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
+    gap = "datediff(o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate))"
     days = (
         orders.groupBy("o_custkey", "o_orderdate")
         .agg(F.expr("min(o_orderkey) AS day_first"))
-        .selectExpr("*", "lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS day_before")
+        .selectExpr("o_custkey AS day_user", "o_orderdate AS day", "day_first", f"{gap} AS gap")
     )
+    first = F.expr("o_orderkey = day_first AND o_custkey BETWEEN day_user AND day_user AND o_orderdate BETWEEN day AND day")
     lines = (
         load(spark, folder, "lineitem")
         .groupBy("l_orderkey")
         .agg(F.expr("count(*) AS n"), F.expr("min(l_partkey) AS pk"), F.expr("min(l_suppkey) AS sk"))
     )
-    rows = orders.join(days.hint("merge"), ["o_custkey", "o_orderdate"]).join(
-        lines.hint("merge"), F.expr("l_orderkey = o_orderkey")
-    )
+    rows = orders.join(days.hint("merge"), first, "left").join(lines.hint("merge"), F.expr("l_orderkey = o_orderkey"))
     return rows.selectExpr(
         "o_orderkey AS order_id",
         "o_custkey AS user_id",
@@ -99,8 +103,7 @@ def ticket_orders(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN o_orderkey % 97 = 0 THEN -o_totalprice ELSE o_totalprice END AS revenue",
         "CAST(CASE WHEN o_orderkey % 1000 = 7 THEN n * 100 ELSE n END AS INT) AS tickets_count",
         "concat('service-', CAST(sk % 36 AS STRING)) AS service_name",
-        """CAST(datediff(o_orderdate, CASE WHEN o_orderkey = day_first THEN day_before ELSE o_orderdate END)
-           AS DOUBLE) AS days_since_prev""",
+        "CASE WHEN day_first IS NULL THEN 0D ELSE CAST(gap AS DOUBLE) END AS days_since_prev",
     )
 
 
