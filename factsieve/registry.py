@@ -66,7 +66,10 @@ def sales(spark: SparkSession, folder: str) -> tickets.Sales:
     def cleaned() -> DataFrame:
         version = _version(spark, folder, "orders", "lineitem")
         orders = stored(spark, "orders", version, lambda: tickets.order_layout(given), tickets.CLEANED_BY)
-        return tickets.usual(orders, stored(spark, "order-caps", version, lambda: tickets.order_caps(orders)))
+        names = [f"{column}_cap" for column in tickets.CAPS]
+        found = lambda: tickets.order_caps(orders).select(F.struct(*names).alias("caps"))
+        caps = stored(spark, "cap-row", version, found)
+        return tickets.usual(orders, caps.select(*[F.col("caps").getField(n).alias(n) for n in names]))
 
     return replace(given, cleaned=cleaned)
 
