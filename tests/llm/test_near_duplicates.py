@@ -158,3 +158,63 @@ def test_nodes_nest_and_halve():
     assert sorted(order.tolist()) == list(range(300))
     for depth, radius in enumerate(cover_tree.RADII, 1):
         assert cover_tree.Nodes(x[order], level, depth).radius.max() <= radius + 1e-5
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.95, 0.99, 1.0])
+def test_balls_and_open_pairs_equal_brute_force(spark, threshold):
+    rng = np.random.default_rng(5)
+    bases = rng.normal(size=(8, 8))
+    rows = [(k, (bases[k % 8] + rng.normal(scale=(0.02, 0.08, 0.12)[k % 3], size=8)).tolist()) for k in range(160)]
+    rows += [(k + 200, [2.0 * v for v in rows[k][1]]) for k in range(0, 160, 7)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = cover_tree.near_duplicates(frame, threshold, block=16).collect()
+    if threshold < 1:  # there, rounding decides whether a vector links with its multiple
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=str) == brute_vectors(rows, threshold)
+    else:
+        assert len(found) == len(rows)
+
+
+def test_near_copies_meet_other_blocks_as_one_ball(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    bases = rng.normal(size=(5, 16))
+    rows = [(k, (bases[k % 5] + rng.normal(scale=0.005, size=16)).tolist()) for k in range(600)]
+    sent, meet, compare = [], cover_tree._ball_links, cover_tree._member_links
+    monkeypatch.setattr(cover_tree, "_ball_links", lambda routed, *more: sent.append(routed.count()) or meet(routed, *more))
+    monkeypatch.setattr(cover_tree, "_member_links", lambda opened, *more: sent.append(opened.count()) or compare(opened, *more))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = cover_tree.near_duplicates(frame, block=64).collect()
+    assert {(r["n_links"], r["component_id"] % 5 == r["vec_id"] % 5) for r in found} == {(119, True)}
+    assert sent[0] < len(rows) / 4 and sent[1] == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_dual_join_in_small_steps(monkeypatch, same):
+    monkeypatch.setattr(cover_tree, "_CHUNK", 50)
+    rng = np.random.default_rng(7)
+
+    def tree(n):
+        x = rng.normal(size=(n, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        order, level = cover_tree.cover_tree(x)
+        return x[order], level, rng.choice([0.0, 0.1], n)
+
+    a = tree(300)
+    b = a if same else tree(200)
+    gap = np.sqrt(np.maximum(2 - 2 * a[0] @ b[0].T, 0))
+    near = gap <= a[2][:, None] + b[2] + 0.3
+    expected = {(i, j) for i, j in zip(*np.nonzero(near)) if i < j or not same}
+    steps = list(cover_tree.dual_join(a, b, same, 0.3))
+    found = [pair for i, j in steps for pair in zip(i.tolist(), j.tolist())]
+    assert len(found) == len(expected) and set(found) == expected
+    assert max(len(i) for i, _ in steps) <= 50
+
+
+def test_balls_lie_within_reach():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 6)), 5, axis=0) + rng.normal(scale=0.05, size=(200, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for reach in (0.0, 0.1, 0.3, 1.0):
+        order, start, radius = cover_tree.balls(x, reach)
+        assert sorted(order.tolist()) == list(range(200)) and len(start) == len(radius)
+        for ball in np.split(order, start[1:]):
+            assert len(ball) == 1 or (x[ball] @ x[ball].T >= 1 - reach * reach / 2).all()
